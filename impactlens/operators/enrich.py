@@ -30,7 +30,7 @@ LEAVES = {
     "gps_lat": "sensors.gps.lat", "gps_lon": "sensors.gps.lon",
     "gps_altitude": "sensors.gps.altitude", "gps_speed": "sensors.gps.speed",
     "gps_bearing": "sensors.gps.bearing", "gps_accuracy": "sensors.gps.accuracy",
-    "gps_satellites": "sensors.gps.satellite_count",
+    "gps_satellites": "sensors.gps.satellite_count", "gps_fix_time": "sensors.gps.fix_time",
     "pressure": "sensors.barometric_pressure",
     "battery_level": "sensors.device.battery_level",
     "signal_strength": "sensors.device.signal_strength",

@@ -326,3 +326,127 @@ def q_magnetic_anomalies(spark, sf_dir):
     df = magnetic_anomalies(heading(good_rows(spark, sf_dir)))
     return df.select("message_id", "vin", r6("mag_magnitude"), r6("baseline_magnitude"),
                      r6("deviation"))
+
+
+# --- A1/A2/A4: JSON ingest ---------------------------------------------------
+
+def _leaf_view(df: DataFrame) -> DataFrame:
+    from ..operators.enrich import LEAVES, PRESENCE, with_leaves
+
+    return with_leaves(df).select(
+        "message_id", "policy_id", "vin", "timestamp", "speed_mph", "current_street", "g_force",
+        *LEAVES.keys(), *PRESENCE.keys(), "reason")
+
+
+def _ingest(spark, sf_dir, layout):
+    from ..sources.fixture import as_json
+    from ..sources.ingest import parse_telemetry, quarantine_reason
+
+    ensure_utc(spark)
+    parsed = with_event_time(parse_telemetry(as_json(telemetry(spark, sf_dir), layout)))
+    return _leaf_view(parsed.withColumn("reason", quarantine_reason(parsed)))
+
+
+@query("json_ingest")
+def q_json_ingest(spark, sf_dir):
+    return _ingest(spark, sf_dir, "code")
+
+
+@query("json_layouts")
+def q_json_layouts(spark, sf_dir):
+    from ..sources.fixture import LAYOUTS
+
+    out = None
+    for layout in LAYOUTS:
+        part = _ingest(spark, sf_dir, layout).withColumn("layout", F.lit(layout))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- A5-A8: sinks, read back -------------------------------------------------
+
+ROUNDTRIP_PARTITIONS = ("year", "month", "date")
+
+
+@query("archive_roundtrip")
+def q_archive_roundtrip(spark, sf_dir):
+    from ..config import StorageConfig
+    from ..session import scratch_path
+    from ..sources.sinks import archive_telemetry, read_archive, stored_sample
+
+    path = scratch_path(spark, "archive")
+    archive_telemetry(good_rows(spark, sf_dir),
+                      StorageConfig(path=path, partition_cols=ROUNDTRIP_PARTITIONS))
+    return stored_sample(read_archive(spark, path, ROUNDTRIP_PARTITIONS))
+
+
+@query("archive_fallback")
+def q_archive_fallback(spark, sf_dir):
+    from ..config import StorageConfig
+    from ..operators.stats import with_dates
+    from ..schema import TELEMETRY
+    from ..session import scratch_path
+    from ..sources.sinks import archive_with_fallback, stored_sample
+
+    base = scratch_path(spark, "fallback")
+    # "delta" is not installed here, so the primary write fails.
+    written = archive_with_fallback(good_rows(spark, sf_dir),
+                                    StorageConfig(path=base, fmt="delta"), batch_id=0)
+    from pyspark.sql.types import StructField, StructType, TimestampType
+
+    schema = StructType(TELEMETRY.fields + [StructField("event_time", TimestampType()),
+                                            StructField("write_timestamp", TimestampType())])
+    return stored_sample(with_dates(spark.read.schema(schema).json(written)))
+
+
+@query("reports_roundtrip")
+def q_reports_roundtrip(spark, sf_dir):
+    from ..operators.report import crash_reports, flatten
+    from ..session import scratch_path
+    from ..sources.sinks import archive_crash_reports, read_archive
+
+    reports, _ = crash_reports(_analysed(spark, sf_dir, "message"), "message")
+    target = archive_crash_reports(reports, scratch_path(spark, "reports"))
+    back = read_archive(spark, target, ("severity_level", "report_date")).drop("processed_timestamp")
+    return _round_headings(back.select(flatten(back)))
+
+
+@query("published_reports")
+def q_published_reports(spark, sf_dir):
+    from ..operators.report import crash_reports, flatten
+    from ..schema import CRASH_REPORT
+    from ..session import scratch_path
+    from ..sources.sinks import publish_crash_reports
+
+    reports, _ = crash_reports(_analysed(spark, sf_dir, "message"), "message")
+    path = scratch_path(spark, "published")
+    publish_crash_reports(reports).write.text(path)
+    back = spark.read.schema(CRASH_REPORT).json(path).drop("processed_timestamp")
+    return _round_headings(back.select(flatten(back)))
+
+
+# --- F: streaming --------------------------------------------------------------
+
+def _landing(spark, sf_dir) -> str:
+    """Messages as JSON lines in a landing folder (the stream's source)."""
+    from ..session import scratch_path
+    from ..sources.fixture import as_json
+
+    ensure_utc(spark)
+    path = scratch_path(spark, "landing")
+    as_json(telemetry(spark, sf_dir)).write.text(path)
+    return path
+
+
+@query("stream_equals_batch")
+def q_stream_equals_batch(spark, sf_dir):
+    from ..operators.report import flatten
+    from ..session import scratch_path
+    from ..streaming.jobs import start_crash_pipeline
+
+    src = _landing(spark, sf_dir)
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    handles = start_crash_pipeline(spark, src, out, ckpt, available_now=True)
+    handles.await_all()
+    back = spark.read.parquet(f"{out}/reports")
+    return _round_headings(back.select(flatten(back)))

@@ -53,7 +53,7 @@ def _severity(g: str, total: str, risk: str) -> str:
              ELSE 'LOW' END"""
 
 
-def _report(crash: str, ctype: str, risk: str, total: str) -> str:
+def _report(crash: str, ctype: str, risk: str, total: str, extra: str = ", message_id") -> str:
     return _q(f"""SELECT
         'CRASH-' || regexp_replace(policy_id, '[^A-Za-z0-9]', '', 'g') || '-'
             || CAST(event_millis AS VARCHAR) AS report_id,
@@ -90,7 +90,7 @@ def _report(crash: str, ctype: str, risk: str, total: str) -> str:
         rollover AS sensor_analysis_rollover_detected,
         spinning AS sensor_analysis_spinning_detected,
         {risk} >= 0.8e0 OR g_force >= 6.0e0 AS emergency_recommended,
-        {risk} AS risk_score, {total} AS total_g_force, message_id
+        {risk} AS risk_score, {total} AS total_g_force{extra}
       FROM g WHERE {crash} AND policy_id IS NOT NULL AND gps_present""")
 
 
@@ -190,3 +190,39 @@ ORACLE.update({
         FROM g JOIN b ON g.vin = b.vin
         WHERE abs(mag_magnitude - baseline_magnitude) > 50.0e0"""),
 })
+
+
+_LEAVES = """message_id, policy_id, vin, ts_text AS timestamp, speed_mph, current_street, g_force,
+        ax AS acc_x, ay AS acc_y, az AS acc_z, gx AS gyro_x, gy AS gyro_y, gz AS gyro_z,
+        mx AS mag_x, my AS mag_y, mz AS mag_z, {heading} AS mag_heading,
+        lat AS gps_lat, lon AS gps_lon, {altitude} AS gps_altitude, gps_speed,
+        {bearing} AS gps_bearing, accuracy AS gps_accuracy, {satellites} AS gps_satellites,
+        {fix_time} AS gps_fix_time, pressure, battery AS battery_level, signal AS signal_strength,
+        {orientation} AS orientation, {screen_on} AS screen_on, {charging} AS charging,
+        gps_present AS has_gps, true AS has_magnetometer, true AS has_device,
+        CASE WHEN event_us IS NULL THEN 'bad_timestamp' END AS reason"""
+_FULL = dict(heading="heading_in", altitude="altitude", bearing="bearing", satellites="satellites",
+             fix_time="fix_time", orientation="orientation", screen_on="screen_on",
+             charging="charging")
+_SAMPLE = dict(heading="CAST(NULL AS DOUBLE)", altitude="CAST(NULL AS DOUBLE)",
+               bearing="CAST(NULL AS DOUBLE)", satellites="CAST(NULL AS INTEGER)",
+               fix_time="CAST(NULL AS VARCHAR)", orientation="CAST(NULL AS VARCHAR)",
+               screen_on="CAST(NULL AS BOOLEAN)", charging="CAST(NULL AS BOOLEAN)")
+_STORED = """SELECT message_id, policy_id, vin, current_street, g_force, speed_mph,
+        lat AS latitude, lon AS longitude, accuracy, gx AS pitch, gy AS roll, gz AS yaw,
+        battery AS battery_level, strftime(event_time, '%Y') AS year,
+        strftime(event_time, '%m') AS month, date, strftime(event_time, '%H') AS hour FROM g"""
+_MSG_REPORT = ("msg_is_crash", "msg_crash_type", "risk_score", "g_force")
+
+ORACLE.update({
+    "json_ingest": _q("SELECT " + _LEAVES.format(**_FULL) + " FROM s"),
+    "json_layouts": _q(" UNION ALL ".join(
+        "SELECT " + _LEAVES.format(**cols) + f", '{name}' AS layout FROM s"
+        for name, cols in (("code", _FULL), ("readme", _FULL), ("sample", _SAMPLE)))),
+    "archive_roundtrip": _q(_STORED),
+    "archive_fallback": _q(_STORED),
+    "reports_roundtrip": _report(*_MSG_REPORT, extra=""", message_id, date AS report_date,
+        strftime(event_time, '%H') AS report_hour"""),
+    "published_reports": _report(*_MSG_REPORT, extra=""),
+    "stream_equals_batch": _report(*_MSG_REPORT),
+})

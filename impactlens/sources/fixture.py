@@ -138,3 +138,71 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry_from_events(read_events(spark, sf_dir))
+
+
+# --- JSON text in the three documented layouts -------------------------------
+
+def _canonical_json_struct(df: DataFrame) -> Column:
+    return F.struct(*[F.col(c) for c in df.columns])
+
+
+def _readme_json_struct() -> Column:
+    """Code layout except gps latitude/longitude/speed_ms/gps_fix_time and
+    device orientation."""
+    g, d = "sensors.gps", "sensors.device"
+    gps = F.when(F.col(g).isNotNull(), F.struct(
+        F.col(f"{g}.lat").alias("latitude"), F.col(f"{g}.lon").alias("longitude"),
+        F.col(f"{g}.altitude").alias("altitude"), F.col(f"{g}.speed").alias("speed_ms"),
+        F.col(f"{g}.bearing").alias("bearing"), F.col(f"{g}.accuracy").alias("accuracy"),
+        F.col(f"{g}.satellite_count").alias("satellite_count"),
+        F.col(f"{g}.fix_time").alias("gps_fix_time")))
+    dev = F.when(F.col(d).isNotNull(), F.struct(
+        F.col(f"{d}.battery_level").alias("battery_level"),
+        F.col(f"{d}.signal_strength").alias("signal_strength"),
+        F.col(f"{d}.device_orientation").alias("orientation"),
+        F.col(f"{d}.screen_on").alias("screen_on"), F.col(f"{d}.charging").alias("charging")))
+    sensors = F.struct(gps.alias("gps"), F.col("sensors.accelerometer").alias("accelerometer"),
+                       F.col("sensors.gyroscope").alias("gyroscope"),
+                       F.col("sensors.magnetometer").alias("magnetometer"),
+                       F.col("sensors.barometric_pressure").alias("barometric_pressure"),
+                       dev.alias("device"))
+    return F.struct("message_id", "policy_id", "vin", "timestamp", "speed_mph", "current_street",
+                    "g_force", sensors.alias("sensors"))
+
+
+def _sample_json_struct() -> Column:
+    """camelCase top level, barometric.pressure, deviceHealth, and only the
+    fields that layout documents."""
+    g, d, m = "sensors.gps", "sensors.device", "sensors.magnetometer"
+    gps = F.when(F.col(g).isNotNull(), F.struct(
+        F.col(f"{g}.lat").alias("latitude"), F.col(f"{g}.lon").alias("longitude"),
+        F.col(f"{g}.accuracy").alias("accuracy"), F.col(f"{g}.speed").alias("speed")))
+    mag = F.when(F.col(m).isNotNull(), F.struct(*[F.col(f"{m}.{a}").alias(a) for a in "xyz"]))
+    baro = F.when(F.col("sensors.barometric_pressure").isNotNull(),
+                  F.struct(F.col("sensors.barometric_pressure").alias("pressure")))
+    dev = F.when(F.col(d).isNotNull(), F.struct(
+        F.col(f"{d}.battery_level").alias("batteryLevel"),
+        F.col(f"{d}.signal_strength").alias("signalStrength")))
+    sensors = F.struct(F.col("sensors.accelerometer").alias("accelerometer"),
+                       F.col("sensors.gyroscope").alias("gyroscope"), mag.alias("magnetometer"),
+                       baro.alias("barometric"), gps.alias("gps"), dev.alias("deviceHealth"))
+    return F.struct(F.col("message_id"), F.col("policy_id").alias("policyId"), F.col("vin"),
+                    F.col("timestamp"), F.col("speed_mph").alias("speedMph"),
+                    F.col("current_street").alias("currentStreet"),
+                    F.col("g_force").alias("gForce"), sensors.alias("sensors"))
+
+
+LAYOUTS = ("code", "readme", "sample")
+
+
+def as_json(df: DataFrame, layout: str = "code") -> DataFrame:
+    """Canonical telemetry -> one JSON message per row (``value``)."""
+    if layout == "code":
+        s = _canonical_json_struct(df)
+    elif layout == "readme":
+        s = _readme_json_struct()
+    elif layout == "sample":
+        s = _sample_json_struct()
+    else:
+        raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
+    return df.select(F.to_json(s).alias("value"))

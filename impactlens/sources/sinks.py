@@ -136,3 +136,27 @@ def accident_alerts(df: DataFrame, threshold_g: float = 4.0) -> DataFrame:
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").parquet(path)
+
+
+def read_archive(spark, path: str, partition_cols=(), fmt: str = "parquet") -> DataFrame:
+    """Reads an archive back with partition values kept as the strings
+    they were written as (``month=01`` stays ``"01"``)."""
+    from pyspark.sql.types import StringType, StructField, StructType as _ST
+
+    reader = spark.read.format(fmt)
+    inferred = reader.load(path).schema
+    fields = [f for f in inferred.fields if f.name not in partition_cols]
+    fields += [StructField(c, StringType(), True) for c in partition_cols]
+    return spark.read.format(fmt).schema(_ST(fields)).load(path)
+
+
+def stored_sample(df: DataFrame) -> DataFrame:
+    """The column sample shown for a written telemetry batch."""
+    return df.select(
+        "message_id", "policy_id", "vin", "current_street", "g_force", "speed_mph",
+        F.col("sensors.gps.lat").alias("latitude"), F.col("sensors.gps.lon").alias("longitude"),
+        F.col("sensors.gps.accuracy").alias("accuracy"),
+        F.col("sensors.gyroscope.x").alias("pitch"), F.col("sensors.gyroscope.y").alias("roll"),
+        F.col("sensors.gyroscope.z").alias("yaw"),
+        F.col("sensors.device.battery_level").alias("battery_level"),
+        "year", "month", "date", "hour")
