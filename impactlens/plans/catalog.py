@@ -450,3 +450,20 @@ def q_stream_equals_batch(spark, sf_dir):
     handles.await_all()
     back = spark.read.parquet(f"{out}/reports")
     return _round_headings(back.select(flatten(back)))
+
+
+@query("stream_window_stats")
+def q_stream_window_stats(spark, sf_dir):
+    """F4 on a stream: 30 s windows, 10 min watermark, append mode. A window
+    is emitted once the watermark (max event time - 10 min) passes its end,
+    so the final 10 minutes stay in state, as append mode defines."""
+    from ..session import scratch_path
+    from ..streaming.jobs import start_windowed_stats
+
+    src = _landing(spark, sf_dir)
+    out, ckpt = scratch_path(spark, "window-out"), scratch_path(spark, "window-ckpt")
+    start_windowed_stats(spark, src, out, ckpt, available_now=True).awaitTermination()
+    df = spark.read.parquet(out)
+    return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                     "policy_id", r6("avg_speed"), "max_g_force", "min_g_force",
+                     r6("avg_risk_score"), "message_count")

@@ -102,6 +102,13 @@ _PATTERNS = """SELECT message_id, policy_id, vin, current_street, speed_mph, lat
 _STORAGE = """SELECT policy_id, date, count(*) AS record_count, round(avg(speed_mph), 6) AS avg_speed,
         max(g_force) AS max_g_force, min(g_force) AS min_g_force FROM g GROUP BY policy_id, date"""
 
+_WINDOWS = """SELECT
+        strftime(make_timestamp((event_us // 30000000) * 30000000), '%Y-%m-%d %H:%M:%S') AS window_start,
+        policy_id, round(avg(speed_mph), 6) AS avg_speed, max(g_force) AS max_g_force,
+        min(g_force) AS min_g_force, round(avg(risk_weight), 6) AS avg_risk_score,
+        count(*) AS message_count
+        FROM g WHERE NOT batch_is_crash {where} GROUP BY 1, policy_id"""
+
 _DAILY = "SELECT date, count(*) AS total_records FROM g GROUP BY date"
 
 ORACLE.update({
@@ -151,12 +158,9 @@ ORACLE.update({
         strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time_utc, g_force, speed_mph,
         lat AS latitude, lon AS longitude, current_street, 'potential_accident' AS alert_type
         FROM g WHERE g_force > 4.0e0"""),
-    "driving_stats_30s": _q("""SELECT
-        strftime(make_timestamp((event_us // 30000000) * 30000000), '%Y-%m-%d %H:%M:%S') AS window_start,
-        policy_id, round(avg(speed_mph), 6) AS avg_speed, max(g_force) AS max_g_force,
-        min(g_force) AS min_g_force, round(avg(risk_weight), 6) AS avg_risk_score,
-        count(*) AS message_count
-        FROM g WHERE NOT batch_is_crash GROUP BY 1, policy_id"""),
+    "driving_stats_30s": _q(_WINDOWS.format(where="")),
+    "stream_window_stats": _q(_WINDOWS.format(where="""AND (event_us // 30000000) * 30000000 + 30000000
+            <= ((SELECT max(event_us) FROM g) // 1000 - 600000) * 1000""")),
     "g_force_reconciliation": _q("""SELECT policy_id, count(*) AS messages,
         count(*) FILTER (WHERE abs(g_force - total_g_force) > 0.5e0) AS mismatches,
         round(count(*) FILTER (WHERE abs(g_force - total_g_force) > 0.5e0) / count(*), 6) AS mismatch_rate,
