@@ -41,10 +41,12 @@ PRESENCE = {"has_gps": "sensors.gps", "has_magnetometer": "sensors.magnetometer"
             "has_device": "sensors.device"}
 
 
-def with_leaves(df: DataFrame) -> DataFrame:
-    """Adds the flat sensor leaves (idempotent)."""
-    cols = {k: F.col(v) for k, v in LEAVES.items() if k not in df.columns}
-    cols.update({k: F.col(v).isNotNull() for k, v in PRESENCE.items() if k not in df.columns})
+def with_leaves(df: DataFrame, names=None) -> DataFrame:
+    """Adds the flat sensor leaves (idempotent); ``names`` limits which."""
+    want = set(names) if names is not None else set(LEAVES) | set(PRESENCE)
+    cols = {k: F.col(v) for k, v in LEAVES.items() if k in want and k not in df.columns}
+    cols.update({k: F.col(v).isNotNull() for k, v in PRESENCE.items()
+                 if k in want and k not in df.columns})
     return df.withColumns(cols) if cols else df
 
 

@@ -49,7 +49,7 @@ def trip_distance(df: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     each bucket boundary. No join, no per-vehicle collection.
     """
     t, mid = F.col("event_time"), F.col("message_id")
-    df = with_leaves(df)
+    df = with_leaves(df, ("gps_lat", "gps_lon", "has_gps"))
     lat, lon = F.col("gps_lat"), F.col("gps_lon")
     fixes = (df.filter(F.col("has_gps"))
              .select("vin", t.alias("t"), mid.alias("mid"), lat.alias("lat"), lon.alias("lon"))
