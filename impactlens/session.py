@@ -39,10 +39,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("IMPACTLENS_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("IMPACTLENS_DRIVER_MEMORY", "4g"))
         .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
     )
-    for k, v in RECOMMENDED_CONF.items():
+    conf = dict(RECOMMENDED_CONF)
+    if os.environ.get("IMPACTLENS_HUGE_METHOD_LIMIT"):
+        conf["spark.sql.codegen.hugeMethodLimit"] = os.environ["IMPACTLENS_HUGE_METHOD_LIMIT"]
+    for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -18,105 +18,94 @@ from pyspark.sql import functions as F
 STREETS = ("Peachtree St", "Main St", "Oak Ave", "5th Ave")
 
 
-def _d(v: float) -> Column:
-    return F.lit(float(v))
-
-
-def _pick(p: Column, default: Column, overrides: dict) -> Column:
-    """``default`` unless ``p`` is one of the override keys."""
-    expr = None
+def _case(default: str, overrides: dict) -> str:
+    """SQL ``CASE`` on ``p``: ``default`` unless ``p`` is an override key."""
+    arms = []
     for keys, val in overrides.items():
         keys = keys if isinstance(keys, tuple) else (keys,)
-        v = val if isinstance(val, Column) else (F.lit(None) if val is None else _d(val))
-        cond = p.isin(*keys)
-        expr = F.when(cond, v) if expr is None else expr.when(cond, v)
-    return default if expr is None else expr.otherwise(default)
-
-
-def _wave(i: Column, mult: int, div: float) -> Column:
-    return ((i * mult) % 101 - 50) / _d(div)
+        arms.append(f"WHEN p IN ({', '.join(map(str, keys))}) THEN {val}")
+    return f"CASE {' '.join(arms)} ELSE {default} END" if arms else default
+
+
+def _wave(mult: int, div: str) -> str:
+    return f"((i * {mult}) % 101 - 50) / {div}"
+
+
+_SPEED = _case("5.1D + ((i * 7) % 700) / 10.0D", {(5, 21, 29): "3.0D", 35: "5.0D"})
+
+# Spark SQL expressions over i = event_id, p = i % 50, ts (UTC timestamp);
+# literals carry the D suffix so every operation is double arithmetic.
+_FLAT = {
+    "policy_id": "CASE WHEN p IN (20, 32) THEN NULL ELSE concat('IMC-', CAST(user_id AS STRING)) END",
+    "vin": "concat('VIN', lpad(CAST(user_id AS STRING), 14, '0'))",
+    "timestamp": """CASE WHEN p = 41 THEN 'not-a-time' WHEN p = 43 THEN '2024-01-05'
+        WHEN p = 44 THEN concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '+02:00')
+        WHEN i % 3 = 0 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        WHEN i % 3 = 1 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        ELSE concat(CAST(floor(us / 1000000) AS STRING), '.',
+                    lpad(CAST(us % 1000000 AS STRING), 6, '0'), '000') END""",
+    "speed_mph": _SPEED,
+    "current_street": "element_at(array({}), CAST(i % 4 + 1 AS INT))".format(
+        ", ".join(f"'{s}'" for s in STREETS)),
+    "g_force": _case("0.9D + (i % 20) / 100.0D", {
+        5: "2.5D", (6, 32, 33): "5.0D", (7, 19, 25, 26, 27): "4.2D", 8: "3.7D", 9: "4.0D",
+        12: "9.0D", 21: "1.9D", 24: "6.5D", 30: "3.96D", 31: "3.97D", 35: "2.0D"}),
+    "ax": _case(_wave(13, "50.0D"), {(1, 13): "32.0D", 22: "0.0D", 28: "29.0D", 29: "18.0D"}),
+    "ay": _case(_wave(17, "50.0D"), {22: "29.43D", 28: "0.0D"}),
+    "az": _case("9.81D", {2: "32.0D", 23: "49.05D", 28: "29.0D"}),
+    "gx": _case(_wave(19, "200.0D"), {11: "0.0D", 14: "2.2D"}),
+    "gy": _case(_wave(23, "200.0D"), {(3, 13): "3.5D", 11: "3.0D"}),
+    "gz": _case(_wave(29, "200.0D"), {4: "2.5D", 10: "-2.0D", 11: "0.0D"}),
+    "mx": "CAST((i * 41) % 101 - 50 AS DOUBLE)",
+    "my": "CAST((i * 43) % 101 - 50 AS DOUBLE)",
+    "mz": _case("45.0D", {39: "200.0D"}),
+    "heading_in": _case("CASE WHEN i % 5 = 0 THEN CAST((i * 9) % 360 AS DOUBLE) END",
+                        {40: "337.5D", 45: "22.5D"}),
+    "pressure": _case("1000.0D + (i % 30)", {(8, 30, 31): "970.0D", 15: "890.0D",
+                                             16: "1060.0D", 17: "CAST(NULL AS DOUBLE)"}),
+    "battery": _case("50.0D + (i % 50)", {(7, 30, 31): "15.0D", 18: "5.0D"}),
+    "signal": "CAST(" + _case("-40 - i % 40", {19: "-95"}) + " AS INT)",
+    "accuracy": _case("1.0D + (i % 40) / 10.0D", {25: "12.0D", 26: "CAST(NULL AS DOUBLE)"}),
+    "satellites": "CAST(" + _case("4 + i % 8", {27: "3"}) + " AS INT)",
+    "lat": "33.7D + ((i * 31) % 1000) / 10000.0D",
+    "lon": "-84.4D + ((i * 37) % 1000) / 10000.0D",
+    "altitude": _case("300.0D + (i % 100)", {36: "1500.0D"}),
+    "gps_speed": _case(f"({_SPEED}) / 2.237D", {37: f"({_SPEED}) / 2.237D + 10.0D",
+                                                38: "CAST(NULL AS DOUBLE)"}),
+    "bearing": "CAST((i * 11) % 360 AS DOUBLE)",
+    "orientation": "CASE i % 3 WHEN 0 THEN 'portrait' WHEN 1 THEN 'LANDSCAPE' END",
+    "screen_on": "CASE WHEN p = 46 THEN CAST(NULL AS BOOLEAN) ELSE i % 2 = 0 END",
+    "charging": "CASE WHEN p = 47 THEN CAST(NULL AS BOOLEAN) ELSE i % 4 = 0 END",
+    "fix_time": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
+}
+
+_NESTED = [
+    "i AS message_id", "policy_id", "vin", "timestamp", "speed_mph", "current_street", "g_force",
+    """named_struct(
+        'gps', CASE WHEN p = 33 THEN NULL ELSE named_struct(
+            'lat', lat, 'lon', lon, 'altitude', altitude, 'speed', gps_speed, 'bearing', bearing,
+            'accuracy', accuracy, 'satellite_count', satellites, 'fix_time', fix_time) END,
+        'accelerometer', named_struct('x', ax, 'y', ay, 'z', az),
+        'gyroscope', named_struct('x', gx, 'y', gy, 'z', gz),
+        'magnetometer', named_struct('x', mx, 'y', my, 'z', mz, 'heading', heading_in),
+        'barometric_pressure', pressure,
+        'device', named_struct('battery_level', battery, 'signal_strength', signal,
+                               'device_orientation', orientation, 'screen_on', screen_on,
+                               'charging', charging)) AS sensors""",
+]
 
 
 def telemetry_from_events(events: DataFrame) -> DataFrame:
-    """events(event_id, ts, user_id, ...) -> canonical telemetry rows."""
-    i = F.col("event_id")
-    p = i % 50
-    ts = F.col("ts").cast("timestamp")
-    uid = F.col("user_id").cast("string")
-
-    speed = _pick(p, _d(5.1) + ((i * 7) % 700) / _d(10.0), {(5, 21, 29): 3.0, 35: 5.0})
-    g_force = _pick(p, _d(0.9) + (i % 20) / _d(100.0), {
-        5: 2.5, (6, 32, 33): 5.0, (7, 19, 25, 26, 27): 4.2, 8: 3.7, 9: 4.0, 12: 9.0,
-        21: 1.9, 24: 6.5, 30: 3.96, 31: 3.97, 35: 2.0})
-    ax = _pick(p, _wave(i, 13, 50.0), {(1, 13): 32.0, 22: 0.0, 28: 29.0, 29: 18.0})
-    ay = _pick(p, _wave(i, 17, 50.0), {22: 29.43, 28: 0.0})
-    az = _pick(p, _d(9.81), {2: 32.0, 23: 49.05, 28: 29.0})
-    gx = _pick(p, _wave(i, 19, 200.0), {11: 0.0, 14: 2.2})
-    gy = _pick(p, _wave(i, 23, 200.0), {(3, 13): 3.5, 11: 3.0})
-    gz = _pick(p, _wave(i, 29, 200.0), {4: 2.5, 10: -2.0, 11: 0.0})
-    mx = ((i * 41) % 101 - 50).cast("double")
-    my = ((i * 43) % 101 - 50).cast("double")
-    mz = _pick(p, _d(45.0), {39: 200.0})
-    heading_in = _pick(p, F.when(i % 5 == 0, ((i * 9) % 360).cast("double")),
-                       {40: 337.5, 45: 22.5})
-    pressure = _pick(p, _d(1000.0) + (i % 30), {(8, 30, 31): 970.0, 15: 890.0, 16: 1060.0,
-                                               17: None})
-    battery = _pick(p, _d(50.0) + (i % 50), {(7, 30, 31): 15.0, 18: 5.0})
-    signal = _pick(p, F.lit(-40) - (i % 40), {19: F.lit(-95)}).cast("int")
-    accuracy = _pick(p, _d(1.0) + (i % 40) / _d(10.0), {25: 12.0, 26: None})
-    satellites = _pick(p, F.lit(4) + (i % 8), {27: F.lit(3)}).cast("int")
-    lat = _d(33.7) + ((i * 31) % 1000) / _d(10000.0)
-    lon = _d(-84.4) + ((i * 37) % 1000) / _d(10000.0)
-    altitude = _pick(p, _d(300.0) + (i % 100), {36: 1500.0})
-    gps_speed = _pick(p, speed / _d(2.237), {37: speed / _d(2.237) + _d(10.0), 38: None})
-    bearing = ((i * 11) % 360).cast("double")
-    orientation = F.when(i % 3 == 0, F.lit("portrait")).when(i % 3 == 1, F.lit("LANDSCAPE"))
-    screen_on = F.when(p == 46, F.lit(None)).otherwise(i % 2 == 0)
-    charging = F.when(p == 47, F.lit(None)).otherwise(i % 4 == 0)
-
-    iso_secs = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    iso_micros = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    us = F.unix_micros(ts)
-    epoch_text = F.concat(F.floor(us / 1000000).cast("string"), F.lit("."),
-                          F.lpad((us % 1000000).cast("string"), 6, "0"), F.lit("000"))
-    ts_text = (F.when(p == 41, F.lit("not-a-time"))
-               .when(p == 43, F.lit("2024-01-05"))
-               .when(p == 44, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-                                       F.lit("+02:00")))
-               .when(i % 3 == 0, iso_micros)
-               .when(i % 3 == 1, iso_secs)
-               .otherwise(epoch_text))
-
-    gps = F.when(p == 33, F.lit(None)).otherwise(F.struct(
-        lat.alias("lat"), lon.alias("lon"), altitude.alias("altitude"),
-        gps_speed.alias("speed"), bearing.alias("bearing"), accuracy.alias("accuracy"),
-        satellites.alias("satellite_count"), iso_secs.alias("fix_time")))
-    sensors = F.struct(
-        gps.alias("gps"),
-        F.struct(ax.alias("x"), ay.alias("y"), az.alias("z")).alias("accelerometer"),
-        F.struct(gx.alias("x"), gy.alias("y"), gz.alias("z")).alias("gyroscope"),
-        F.struct(mx.alias("x"), my.alias("y"), mz.alias("z"),
-                 heading_in.alias("heading")).alias("magnetometer"),
-        pressure.alias("barometric_pressure"),
-        F.struct(battery.alias("battery_level"), signal.alias("signal_strength"),
-                 orientation.alias("device_orientation"), screen_on.alias("screen_on"),
-                 charging.alias("charging")).alias("device"))
-
-    street = F.element_at(F.array(*[F.lit(s) for s in STREETS]), (i % 4 + 1).cast("int"))
-    out = events.select(
-        i.alias("message_id"),
-        F.when(p.isin(20, 32), F.lit(None)).otherwise(F.concat(F.lit("IMC-"), uid)).alias("policy_id"),
-        F.concat(F.lit("VIN"), F.lpad(uid, 14, "0")).alias("vin"),
-        ts_text.alias("timestamp"),
-        speed.alias("speed_mph"),
-        street.alias("current_street"),
-        g_force.alias("g_force"),
-        sensors.alias("sensors"),
-    )
-    # The struct is built with the canonical leaf types directly: a cast of
-    # the whole struct would hide its fields from Catalyst's struct
-    # simplification and be inlined into every downstream field access.
-    return out
+    """events(event_id, ts, user_id, ...) -> canonical telemetry rows.
+
+    Two SQL projections: the flat scenario values, then the nested message.
+    The struct is built with the canonical leaf types directly (no cast of
+    the whole struct, which would hide its fields from Catalyst's struct
+    simplification)."""
+    base = events.selectExpr("event_id AS i", "event_id % 50 AS p", "CAST(ts AS TIMESTAMP) AS ts",
+                             "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "user_id")
+    flat = base.selectExpr("i", "p", *[f"{expr} AS {name}" for name, expr in _FLAT.items()])
+    return flat.selectExpr(*_NESTED)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -126,7 +115,7 @@ def spread(df: DataFrame) -> DataFrame:
     returned unchanged: no shuffle is added at scale."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df._jdf.rdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import parse_event_time
-from ..schema import RAW_TELEMETRY, TELEMETRY
+from ..schema import RAW_TELEMETRY
 
 JSON_OPTIONS = {
     "mode": "PERMISSIVE",
@@ -121,14 +121,19 @@ def canonical_columns(c: _Coerce) -> list[Column]:
 def parse_telemetry(df: DataFrame, value_col: str = "value", keep_value: bool = True) -> DataFrame:
     """JSON text column -> canonical telemetry + ``_corrupt_record`` and
     ``_type_error`` helper columns (consumed by :func:`split_quarantine`)."""
-    parsed = df.withColumn(_R, F.from_json(F.col(value_col), RAW_TELEMETRY, JSON_OPTIONS))
+    # Parse through a one-element explode: a predicate on generated output
+    # cannot be pushed below the Generate, so the quarantine filter and every
+    # field access read the parsed struct instead of Catalyst substituting
+    # (and re-running) from_json once per field reference.
+    parsed = df.select(F.col(value_col), F.explode(F.array(
+        F.from_json(F.col(value_col), RAW_TELEMETRY, JSON_OPTIONS))).alias(_R))
     c = _Coerce()
     cols = canonical_columns(c)
     extra = [F.col(value_col).alias("value")] if keep_value else []
-    out = parsed.select(*cols, _r("_corrupt_record").alias("_corrupt_record"),
-                        c.any_error().alias("_type_error"), *extra)
-    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TELEMETRY.fields]
-    return out.select(*typed, "_corrupt_record", "_type_error", *(["value"] if keep_value else []))
+    # Leaves are built with the canonical types, so no cast of the whole
+    # struct is needed (such a cast would hide its fields from Catalyst).
+    return parsed.select(*cols, _r("_corrupt_record").alias("_corrupt_record"),
+                         c.any_error().alias("_type_error"), *extra)
 
 
 def read_telemetry(spark: SparkSession, path: str, streaming: bool = False,
