@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.sqlfuncs import CRASH_PATTERNS_SQL, register_stream_view
 from .detect import crash_condition, crash_type, risk_weight_of
 
-# Fixed preview sizes of the reports: patterns, storage stats, daily counts.
-PREVIEW_ROWS = {"patterns": 5, "storage": 10, "daily": 7}
+# Fixed preview sizes of the reports: patterns, storage stats, daily counts,
+# and the two unsorted samples of written data.
+PREVIEW_ROWS = {"patterns": 5, "storage": 10, "daily": 7, "sample": 3, "written": 5}
 
 
 def with_dates(df: DataFrame, time_col: str = "event_time") -> DataFrame:

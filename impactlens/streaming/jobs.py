@@ -122,3 +122,30 @@ def start_report_feed(spark: SparkSession, source: str, out: str, checkpoint: st
     w = (publish_crash_reports(reports).writeStream.format("text").option("path", out)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     return _trigger(w, available_now, TRIGGER_INTERVAL).start()
+
+
+def start_foreach_batch(spark: SparkSession, source: str, handler, checkpoint: str,
+                        profile: str = "message", available_now: bool = False,
+                        max_files_per_trigger: int | None = None,
+                        interval: str = TRIGGER_INTERVAL) -> StreamingQuery:
+    """Hands each micro-batch to ``handler(reports, alerts, batch_id)`` for
+    targets that have no native streaming sink (a message broker, a JDBC
+    table). The judged batch is persisted while the handler writes its
+    outputs and released afterwards. Delivery is at least once: the handler
+    must write idempotently per ``batch_id`` (e.g. overwrite a batch key)."""
+    from ..sources.sinks import accident_alerts
+
+    raw = read_telemetry(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
+    good, _ = prepare(raw)
+    judged = analyse(good, profile)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            reports, _ = crash_reports(batch, profile)
+            handler(reports, accident_alerts(batch), batch_id)
+        finally:
+            batch.unpersist()
+
+    w = judged.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(w, available_now, interval).queryName("impactlens_foreach_batch").start()

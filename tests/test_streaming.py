@@ -54,3 +54,21 @@ def test_stream_equals_batch_query(spark, sf_small):
     batch = q["crash_reports_flat"](spark, sf_small)
     assert stream.count() == batch.count() > 0
     assert stream.exceptAll(batch.select(stream.columns)).count() == 0
+
+
+def test_foreach_batch_bounded_batches(spark, tmp_path):
+    from impactlens.streaming.jobs import start_foreach_batch
+
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    _write(src, "a.json", [message(1, g=9.0), message(2, g=4.5)])
+    _write(src, "b.json", [message(3, g=9.0), message(4)])
+
+    def handler(reports, alerts, batch_id):
+        reports.drop("processed_timestamp").write.mode("overwrite").parquet(f"{out}/reports/b={batch_id}")
+        alerts.write.mode("overwrite").parquet(f"{out}/alerts/b={batch_id}")
+
+    q = start_foreach_batch(spark, src, handler, ckpt, available_now=True, max_files_per_trigger=1)
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 2
+    assert sorted(r["message_id"] for r in spark.read.parquet(f"{out}/reports").collect()) == [1, 2, 3]
+    assert sorted(r["message_id"] for r in spark.read.parquet(f"{out}/alerts").collect()) == [1, 2, 3]
