@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_THRESHOLDS, RISK_WEIGHT_DEFAULT, RISK_WEIGHTS, Thresholds
+from ..functions.cache import session_cached
 from ..functions.columns import ge, gt, lit_d
 
 PROFILES = ("message", "batch")
@@ -29,6 +30,7 @@ def _check(profile: str) -> None:
         raise ValueError(f"unknown profile {profile!r}; expected one of {PROFILES}")
 
 
+@session_cached
 def adjusted_threshold(thr: Thresholds = DEFAULT_THRESHOLDS) -> Column:
     """Message-profile g threshold, multiplied in rule order."""
     base = lit_d(thr.g_force)
@@ -41,6 +43,7 @@ def _g(profile: str) -> Column:
     return F.col("g_force") if profile == "message" else F.col("total_g_force")
 
 
+@session_cached
 def crash_condition(profile: str = "message", thr: Thresholds = DEFAULT_THRESHOLDS) -> Column:
     _check(profile)
     g, speed = _g(profile), F.col("speed_mph")
@@ -53,6 +56,7 @@ def crash_condition(profile: str = "message", thr: Thresholds = DEFAULT_THRESHOL
     return ge(g, thr.g_force) | sudden | ge(F.col("gyro_magnitude"), thr.rollover) | side | vert
 
 
+@session_cached
 def crash_type(profile: str = "message", thr: Thresholds = DEFAULT_THRESHOLDS) -> Column:
     _check(profile)
     g, speed = _g(profile), F.col("speed_mph")
@@ -89,6 +93,11 @@ def risk_score(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame
     both branches of a conditional (which would double the expression per
     rule).
     """
+    return df.withColumn("risk_score", _risk_score_column(thr))
+
+
+@session_cached
+def _risk_score_column(thr: Thresholds) -> Column:
     s = F.col("g_force") * lit_d(10.0)
     factors = [
         (F.col("rollover"), 1.5), (F.col("spinning"), 1.3),
@@ -99,8 +108,7 @@ def risk_score(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame
     ]
     for cond, f in factors:
         s = s * F.when(cond, lit_d(f)).otherwise(lit_d(1.0))
-    capped = F.when(F.isnan(s), s).otherwise(F.least(s, lit_d(100.0)))
-    return df.withColumn("risk_score", capped)
+    return F.when(F.isnan(s), s).otherwise(F.least(s, lit_d(100.0)))
 
 
 def risk_weight_of(type_col: Column) -> Column:
@@ -112,9 +120,15 @@ def risk_weight_of(type_col: Column) -> Column:
 
 def risk_weight(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     """0..1 weight of the batch-profile crash type."""
-    return df.withColumn("risk_weight", risk_weight_of(crash_type("batch", thr)))
+    return df.withColumn("risk_weight", _risk_weight_column(thr))
+
+
+@session_cached
+def _risk_weight_column(thr: Thresholds) -> Column:
+    return risk_weight_of(crash_type("batch", thr))
 
 
+@session_cached
 def risk_category(thr: Thresholds = DEFAULT_THRESHOLDS) -> Column:
     return (F.when(ge(F.col("gyro_magnitude"), thr.rollover), F.lit("ROLLOVER_RISK"))
             .when(ge(F.abs(F.col("gyro_z")), thr.spinning), F.lit("SPINNING_RISK"))
@@ -124,8 +138,13 @@ def risk_category(thr: Thresholds = DEFAULT_THRESHOLDS) -> Column:
 
 def triage(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     """Re-types crashes from the reported g (strict limits) and ranks them."""
+    return df.withColumns(_triage_columns(thr))
+
+
+@session_cached
+def _triage_columns(thr: Thresholds) -> dict:
     g, speed = F.col("g_force"), F.col("speed_mph")
-    return df.withColumns({
+    return {
         "triage_type": (F.when(gt(g, 8.0), F.lit("SEVERE_IMPACT"))
                         .when(gt(g, thr.g_force), F.lit("HIGH_G_FORCE"))
                         .when((speed < lit_d(thr.speed)) & gt(g, thr.sudden_stop_g),
@@ -133,7 +152,7 @@ def triage(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
                         .otherwise(F.lit("UNKNOWN"))),
         "severity_priority": (F.when(gt(g, 8.0), F.lit(1)).when(gt(g, 6.0), F.lit(2))
                               .when(gt(g, 4.0), F.lit(3)).otherwise(F.lit(4))),
-    })
+    }
 
 
 def severity_level(g: Column, total: Column, risk: Column) -> Column:
@@ -163,11 +182,16 @@ def report_inputs(profile: str) -> tuple[Column, Column, Column]:
 
 
 def severity(df: DataFrame, profile: str = "message") -> DataFrame:
+    return df.withColumns(_severity_columns(profile))
+
+
+@session_cached
+def _severity_columns(profile: str) -> dict:
     _, risk, total = report_inputs(profile)
-    return df.withColumns({
+    return {
         "severity_level": severity_level(F.col("g_force"), total, risk),
         "emergency_recommended": emergency(F.col("g_force"), risk),
-    })
+    }
 
 
 def analyse(df: DataFrame, profile: str = "message",

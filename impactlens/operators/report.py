@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_THRESHOLDS, Thresholds
+from ..functions.cache import session_cached
 from ..functions.columns import gt, lit_d, report_id
 from ..schema import CRASH_REPORT
 from .detect import emergency, report_inputs, severity_level
@@ -36,11 +37,15 @@ def crash_reports(df: DataFrame, profile: str = "message", keep: tuple[str, ...]
     ``reports`` has the nested report columns plus ``keep``; both frames
     are narrow filters/projections of ``df``.
     """
-    ctype, risk, total = report_inputs(profile)
     crashes = df.filter(F.col("is_crash")).withColumn("reason", unbuildable_reason())
     ok = crashes.filter(F.col("reason").isNull())
     unbuildable = crashes.filter(F.col("reason").isNotNull())
+    return ok.select(*_report_columns(profile, tuple(keep), thr)), unbuildable
+
 
+@session_cached
+def _report_columns(profile: str, keep: tuple, thr: Thresholds) -> list:
+    ctype, risk, total = report_inputs(profile)
     g, speed = F.col("g_force"), F.col("speed_mph")
     ax, ay, az = (F.col(f"acc_{a}") for a in "xyz")
     gx, gy, gz = (F.col(f"gyro_{a}") for a in "xyz")
@@ -52,7 +57,7 @@ def crash_reports(df: DataFrame, profile: str = "message", keep: tuple[str, ...]
     def vector() -> Column:
         return F.struct(ax.alias("x"), ay.alias("y"), az.alias("z"), total.alias("magnitude"))
 
-    reports = ok.select(
+    return [
         report_id(F.col("policy_id"), F.col("event_time")).alias("report_id"),
         "policy_id", "vin",
         F.col("timestamp").alias("crash_timestamp"),
@@ -81,9 +86,8 @@ def crash_reports(df: DataFrame, profile: str = "message", keep: tuple[str, ...]
         risk.alias("risk_score"),
         total.alias("total_g_force"),
         F.current_timestamp().alias("processed_timestamp"),
-        *keep,
-    )
-    return reports, unbuildable
+        *[F.col(k) for k in keep],
+    ]
 
 
 def flatten(df: DataFrame, sep: str = "_", prefix: str = "") -> list[Column]:

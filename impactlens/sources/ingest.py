@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cache import session_cached
 from ..functions.columns import parse_event_time
 from ..schema import RAW_TELEMETRY
 
@@ -148,12 +149,22 @@ def read_telemetry(spark: SparkSession, path: str, streaming: bool = False,
 
 
 def with_event_time(df: DataFrame, text_col: str = "timestamp") -> DataFrame:
-    return df.withColumn("event_time", parse_event_time(F.col(text_col)))
+    return df.withColumn("event_time", _event_time_column(text_col))
+
+
+@session_cached
+def _event_time_column(text_col: str) -> Column:
+    return parse_event_time(F.col(text_col))
 
 
 def quarantine_reason(df: DataFrame) -> Column:
     """First failing check, or null for a good row."""
-    cols = set(df.columns)
+    return _reason_column(frozenset(c for c in ("_corrupt_record", "_type_error", "event_time")
+                                    if c in df.columns))
+
+
+@session_cached
+def _reason_column(cols: frozenset) -> Column:
     expr = None
 
     def add(cond: Column, reason: str) -> None:
