@@ -128,8 +128,19 @@ def _risk_weight_column(thr: Thresholds) -> Column:
     return risk_weight_of(crash_type("batch", thr))
 
 
+def classify(df: DataFrame, profile: str = "message",
+             thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
+    """Adds only ``crash_type`` for the profile (first matching rule)."""
+    return df.withColumn("crash_type", crash_type(profile, thr))
+
+
+def risk_category(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
+    """Adds ``risk_category`` (rollover / spinning / side impact / normal)."""
+    return df.withColumn("risk_category", risk_category_column(thr))
+
+
 @session_cached
-def risk_category(thr: Thresholds = DEFAULT_THRESHOLDS) -> Column:
+def risk_category_column(thr: Thresholds = DEFAULT_THRESHOLDS) -> Column:
     return (F.when(ge(F.col("gyro_magnitude"), thr.rollover), F.lit("ROLLOVER_RISK"))
             .when(ge(F.abs(F.col("gyro_z")), thr.spinning), F.lit("SPINNING_RISK"))
             .when(ge(F.col("lateral_g_force"), thr.lateral), F.lit("SIDE_IMPACT_RISK"))

@@ -442,11 +442,11 @@ def _landing(spark, sf_dir) -> str:
 def q_stream_equals_batch(spark, sf_dir):
     from ..operators.report import flatten
     from ..session import scratch_path
-    from ..streaming.jobs import start_crash_pipeline
+    from ..streaming.jobs import start_crash_fanout
 
     src = _landing(spark, sf_dir)
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    handles = start_crash_pipeline(spark, src, out, ckpt, available_now=True)
+    handles = start_crash_fanout(spark, src, out, ckpt, available_now=True)
     handles.await_all()
     back = spark.read.parquet(f"{out}/reports")
     return _round_headings(back.select(flatten(back)))

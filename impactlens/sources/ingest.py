@@ -137,6 +137,12 @@ def parse_telemetry(df: DataFrame, value_col: str = "value", keep_value: bool =
                          c.any_error().alias("_type_error"), *extra)
 
 
+def canonicalise(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """One record shape from any of the three documented JSON layouts
+    (alias of :func:`parse_telemetry`)."""
+    return parse_telemetry(df, value_col)
+
+
 def read_telemetry(spark: SparkSession, path: str, streaming: bool = False,
                    max_files_per_trigger: int | None = None) -> DataFrame:
     """JSON-lines files (one message per line) -> canonical telemetry."""

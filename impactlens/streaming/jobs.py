@@ -71,7 +71,7 @@ def _trigger(writer, available_now: bool, interval: str):
         processingTime=interval)
 
 
-def start_crash_pipeline(spark: SparkSession, source: str, out: str, checkpoints: str,
+def start_crash_fanout(spark: SparkSession, source: str, out: str, checkpoints: str,
                          profile: str = "message", available_now: bool = False,
                          max_files_per_trigger: int | None = None,
                          thr: Thresholds = DEFAULT_THRESHOLDS,

@@ -49,3 +49,18 @@ def test_adaptive_threshold_rounding(results):
     msg, _ = results
     assert msg[8]["g_threshold"] == 4.0 * 0.9 * 1.1 == 3.9600000000000004
     assert msg[7]["g_threshold"] == 3.6
+
+
+def test_classify_and_risk_category(spark):
+    from helpers import frame
+
+    from impactlens.operators.detect import classify, risk_category
+    from impactlens.operators.enrich import enrich
+    from impactlens.sources.ingest import canonicalise, prepare
+
+    docs = [m for _, m, _ in CASES]
+    good, _ = prepare(canonicalise(frame(spark, docs)))
+    rows = by_id(risk_category(classify(enrich(good), "batch")))
+    assert rows[1]["crash_type"] == "ROLLOVER" and rows[1]["risk_category"] == "ROLLOVER_RISK"
+    assert rows[2]["crash_type"] == "SPINNING" and rows[2]["risk_category"] == "SPINNING_RISK"
+    assert rows[4]["risk_category"] == "NORMAL_RISK"

@@ -5,7 +5,7 @@ import os
 
 from helpers import message
 
-from impactlens.streaming.jobs import start_crash_pipeline
+from impactlens.streaming.jobs import start_crash_fanout
 
 
 def _write(path, name, docs):
@@ -15,7 +15,7 @@ def _write(path, name, docs):
 
 
 def _run(spark, src, out, ckpt):
-    h = start_crash_pipeline(spark, src, out, ckpt, available_now=True)
+    h = start_crash_fanout(spark, src, out, ckpt, available_now=True)
     h.await_all()
     return h
 
