@@ -37,29 +37,40 @@ def speed_reconciliation(df: DataFrame, tolerance_mph: float = 5.0) -> DataFrame
     )
 
 
-def trip_distance(df: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+def trip_distance(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Per vehicle: fixes, segments and metres between consecutive fixes
     (ordered by event time, then message id).
 
-    Exact, and bounded per task even for one vehicle with a third of all
-    rows: consecutive pairs are found inside (vin, time bucket) windows;
-    each bucket is then reduced to its first fix, last fix and partial
-    sums, and only those bucket rows (count bounded by time span, not by
-    data volume) are windowed per vehicle to add the segment that crosses
-    each bucket boundary. No join, no per-vehicle collection.
+    Exact, and bounded per task even when one vehicle, one instant or one
+    message copied many times holds a large share of all rows:
+
+    1. fixes are range-partitioned on the full ordering key
+       ``(vin, t, message_id, row id)`` - the row id makes every key unique,
+       so Spark's range partitioner can split any hot vehicle, burst or group
+       of copies across partitions of balanced size;
+    2. consecutive pairs are found inside ``(vin, range partition)`` windows
+       and each such group is reduced to its first fix, last fix and partial
+       sums (the group-by reuses the window's partitioning);
+    3. those group rows - at most one per partition a vehicle spans - are
+       windowed per vehicle in partition order to add the segment crossing
+       each partition boundary, then totalled.
+
+    No join, no per-vehicle collection.
     """
-    t, mid = F.col("event_time"), F.col("message_id")
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = with_leaves(df, ("gps_lat", "gps_lon", "has_gps"))
-    lat, lon = F.col("gps_lat"), F.col("gps_lon")
     fixes = (df.filter(F.col("has_gps"))
-             .select("vin", t.alias("t"), mid.alias("mid"), lat.alias("lat"), lon.alias("lon"))
-             .withColumn("bucket", F.floor(F.unix_micros("t") / (bucket_seconds * 1_000_000))))
-    w1 = Window.partitionBy("vin", "bucket").orderBy("t", "mid")
+             .select("vin", F.col("event_time").alias("t"), F.col("message_id").alias("mid"),
+                     F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"))
+             .withColumn("uid", F.monotonically_increasing_id()))
+    ranged = (fixes.repartitionByRange(n, "vin", "t", "mid", "uid")
+              .withColumn("part", F.spark_partition_id()))
+    w1 = Window.partitionBy("vin", "part").orderBy("t", "mid", "uid")
     seg = haversine_m(F.lag("lat").over(w1), F.lag("lon").over(w1), F.col("lat"), F.col("lon"))
-    inner = fixes.withColumn("seg", seg)
-    order_key = F.struct("t", "mid")
+    order_key = F.struct("t", "mid", "uid")
     point = F.struct("lat", "lon")
-    buckets = inner.groupBy("vin", "bucket").agg(
+    groups = ranged.withColumn("seg", seg).groupBy("vin", "part").agg(
         F.min_by(point, order_key).alias("first"),
         F.max_by(point, order_key).alias("last"),
         F.count(F.lit(1)).alias("fixes"),
@@ -67,11 +78,10 @@ def trip_distance(df: DataFrame, bucket_seconds: int = 60) -> DataFrame:
         F.sum("seg").alias("dist"),
         F.max("seg").alias("max_seg"),
     )
-    w2 = Window.partitionBy("vin").orderBy("bucket")
+    w2 = Window.partitionBy("vin").orderBy("part")
     prev = F.lag("last").over(w2)
     cross = haversine_m(prev["lat"], prev["lon"], F.col("first.lat"), F.col("first.lon"))
-    with_cross = buckets.withColumn("cross", cross)
-    return with_cross.groupBy("vin").agg(
+    return groups.withColumn("cross", cross).groupBy("vin").agg(
         F.sum("fixes").alias("fixes"),
         (F.sum("segments") + F.count("cross")).alias("segments"),
         (F.coalesce(F.sum("dist"), F.lit(0.0)) + F.coalesce(F.sum("cross"), F.lit(0.0)))

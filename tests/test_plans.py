@@ -33,12 +33,14 @@ def test_aggregations_combine_map_side(spark, sf_small):
     assert len(_hash_exchanges(plan)) == 1
 
 
-def test_trip_distance_shuffles_twice(spark, sf_small):
-    """(vin, bucket) once for the fix window and bucket reduction, then
-    vin once for the bucket window and the per-vehicle totals."""
-    ex = _hash_exchanges(_plan(entry.queries()["trip_distance"](spark, sf_small)))
-    assert len(ex) == 2
-    assert "bucket" in ex[0] or "bucket" in ex[1]
+def test_trip_distance_shuffles(spark, sf_small):
+    """One range shuffle on the ordering key, (vin, part) once for the fix
+    window and the group reduction, vin once for the boundary window and the
+    per-vehicle totals (small: one row per partition a vehicle spans)."""
+    plan = _plan(entry.queries()["trip_distance"](spark, sf_small))
+    assert len(re.findall(r"Exchange rangepartitioning\(vin", plan)) == 1
+    ex = _hash_exchanges(plan)
+    assert len(ex) == 2 and any("part" in e for e in ex)
 
 
 def test_sql_functions_are_inlined(spark, sf_small):

@@ -1,6 +1,6 @@
-"""The bucketed trip-distance job against a brute-force pandas version on a
-small fixture where one vehicle holds most rows and fixes straddle bucket
-boundaries and share timestamps."""
+"""The range-partitioned trip-distance job against a brute-force pandas
+version on a small fixture where one vehicle holds most rows, many fixes share
+one timestamp, and some messages are exact copies (same id and time)."""
 
 import math
 import random
@@ -19,17 +19,20 @@ def _haversine(lat1, lon1, lat2, lon2):
     return 6371000.0 * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
 
 
-@pytest.mark.parametrize("bucket_seconds", [1, 7, 60])
-def test_matches_brute_force(spark, bucket_seconds):
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_matches_brute_force(spark, partitions):
     rnd = random.Random(7)
     rows = []
     mid = 0
     for vin, n in (("HOT", 600), ("A", 40), ("B", 3), ("C", 1)):
         t = 1_700_000_000
         for _ in range(n):
-            t += rnd.choice([0, 1, 2, 5, 13, 61, 300])   # duplicates and gaps
-            rows.append((mid, vin, t, 33.7 + rnd.random() / 10, -84.4 + rnd.random() / 10,
-                         rnd.random() < 0.05))
+            t += rnd.choice([0, 0, 0, 1, 2, 5, 13, 61, 300])   # bursts and gaps
+            row = (mid, vin, t, 33.7 + rnd.random() / 10, -84.4 + rnd.random() / 10,
+                   rnd.random() < 0.05)
+            rows.append(row)
+            if vin == "HOT" and rnd.random() < 0.2:   # exact copies of a message
+                rows.extend([row] * rnd.randint(1, 5))
             mid += 1
     pdf = pd.DataFrame(rows, columns=["message_id", "vin", "t", "lat", "lon", "no_gps"])
     df = (spark.createDataFrame(pdf)
@@ -40,7 +43,7 @@ def test_matches_brute_force(spark, bucket_seconds):
           .withColumn("gps_lat", F.col("sensors.gps.lat"))
           .withColumn("gps_lon", F.col("sensors.gps.lon"))
           .withColumn("has_gps", F.col("sensors.gps").isNotNull()))
-    got = {r["vin"]: r for r in trip_distance(df, bucket_seconds).collect()}
+    got = {r["vin"]: r for r in trip_distance(df, partitions).collect()}
 
     want = {}
     fixes = pdf[~pdf.no_gps].sort_values(["vin", "t", "message_id"])
