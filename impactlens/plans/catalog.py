@@ -13,12 +13,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
+from ..config import StorageConfig
 from ..operators import detect as det
-from ..operators.enrich import device_health, enrich, environment, gps_quality, heading, motion
-from ..session import ensure_utc
-from ..sources.fixture import telemetry
-from ..sources.ingest import prepare, with_event_time
+from ..operators.enrich import (
+    LEAVES, PRESENCE, device_health, enrich, environment, gps_quality, heading, motion,
+    with_leaves)
+from ..operators.reconcile import (
+    g_force_reconciliation, magnetic_anomalies, speed_reconciliation, trip_distance)
+from ..operators.report import crash_alerts, crash_reports, flatten
+from ..operators.stats import (
+    batch_summary, crash_events, crash_patterns, daily_counts, driving_stats, normal_events,
+    preview, storage_stats, with_dates)
+from ..schema import CRASH_REPORT, TELEMETRY
+from ..session import ensure_utc, scratch_path
+from ..sources.fixture import LAYOUTS, as_json, telemetry
+from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_event_time
+from ..sources.sinks import (
+    accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
+    publish_crash_reports, read_archive, stored_sample)
+from ..streaming.jobs import start_crash_fanout, start_windowed_stats, windowed_driving_stats
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -145,8 +160,6 @@ def _round_headings(df: DataFrame) -> DataFrame:
 
 
 def _flat_reports(spark, sf_dir, profile):
-    from ..operators.report import crash_reports, flatten
-
     reports, _ = crash_reports(_analysed(spark, sf_dir, profile), profile)
     flat = reports.drop("processed_timestamp")
     return _round_headings(flat.select(flatten(flat)))
@@ -164,8 +177,6 @@ def q_crash_reports_batch_flat(spark, sf_dir):
 
 @query("crash_alerts")
 def q_crash_alerts(spark, sf_dir):
-    from ..operators.report import crash_alerts
-
     return _round_headings(crash_alerts(_analysed(spark, sf_dir, "message")))
 
 
@@ -180,8 +191,6 @@ def q_crash_triage(spark, sf_dir):
 # --- D: SQL analysis, aggregations, previews --------------------------------
 
 def _patterns(spark, sf_dir):
-    from ..operators.stats import crash_patterns
-
     return crash_patterns(spark, good_rows(spark, sf_dir))
 
 
@@ -192,31 +201,23 @@ def q_crash_patterns(spark, sf_dir):
 
 @query("top_patterns")
 def q_top_patterns(spark, sf_dir):
-    from ..operators.stats import preview
-
     return _round_headings(preview(_patterns(spark, sf_dir), "patterns"))
 
 
 @query("crash_events")
 def q_crash_events(spark, sf_dir):
-    from ..operators.stats import crash_events
-
     df = crash_events(enrich(good_rows(spark, sf_dir)), "batch")
     return df.select("message_id", "policy_id", "total_g_force", det.crash_type("batch").alias("crash_type"))
 
 
 @query("normal_events")
 def q_normal_events(spark, sf_dir):
-    from ..operators.stats import normal_events
-
     df = normal_events(enrich(good_rows(spark, sf_dir)), "batch")
     return df.select("message_id", "policy_id", "total_g_force", "speed_mph")
 
 
 @query("driving_stats")
 def q_driving_stats(spark, sf_dir):
-    from ..operators.stats import driving_stats
-
     df = driving_stats(enrich(good_rows(spark, sf_dir)))
     return df.select("policy_id", r6("avg_speed"), "max_g_force", "min_g_force",
                      r6("avg_risk_score"), "message_count")
@@ -224,39 +225,28 @@ def q_driving_stats(spark, sf_dir):
 
 @query("storage_stats")
 def q_storage_stats(spark, sf_dir):
-    from ..operators.stats import storage_stats
-
     return storage_stats(good_rows(spark, sf_dir)).select(
         "policy_id", "date", "record_count", r6("avg_speed"), "max_g_force", "min_g_force")
 
 
 @query("top_storage")
 def q_top_storage(spark, sf_dir):
-    from ..operators.stats import preview, storage_stats
-
     return preview(storage_stats(good_rows(spark, sf_dir)), "storage").select(
         "policy_id", "date", "record_count", r6("avg_speed"), "max_g_force", "min_g_force")
 
 
 @query("daily_counts")
 def q_daily_counts(spark, sf_dir):
-    from ..operators.stats import daily_counts
-
     return daily_counts(good_rows(spark, sf_dir))
 
 
 @query("recent_days")
 def q_recent_days(spark, sf_dir):
-    from ..operators.stats import daily_counts, preview
-
     return preview(daily_counts(good_rows(spark, sf_dir)), "daily")
 
 
 @query("batch_summary")
 def q_batch_summary(spark, sf_dir):
-    from ..operators.stats import batch_summary
-    from ..sources.ingest import quarantine_reason
-
     ensure_utc(spark)
     df = with_event_time(telemetry(spark, sf_dir))
     tagged = det.detect(enrich(df.withColumn("reason", quarantine_reason(df))), "message")
@@ -265,8 +255,6 @@ def q_batch_summary(spark, sf_dir):
 
 @query("quarantine")
 def q_quarantine(spark, sf_dir):
-    from ..operators.report import crash_reports
-
     ensure_utc(spark)
     good, bad = prepare(telemetry(spark, sf_dir))
     _, unbuildable = crash_reports(det.analyse(good, "message"), "message")
@@ -276,15 +264,11 @@ def q_quarantine(spark, sf_dir):
 
 @query("accident_alerts")
 def q_accident_alerts(spark, sf_dir):
-    from ..sources.sinks import accident_alerts
-
     return accident_alerts(good_rows(spark, sf_dir))
 
 
 @query("driving_stats_30s")
 def q_driving_stats_30s(spark, sf_dir):
-    from ..streaming.jobs import windowed_driving_stats
-
     df = windowed_driving_stats(enrich(good_rows(spark, sf_dir)), watermark=None)
     return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                      "policy_id", r6("avg_speed"), "max_g_force", "min_g_force",
@@ -295,16 +279,12 @@ def q_driving_stats_30s(spark, sf_dir):
 
 @query("g_force_reconciliation")
 def q_g_force_reconciliation(spark, sf_dir):
-    from ..operators.reconcile import g_force_reconciliation
-
     df = g_force_reconciliation(motion(good_rows(spark, sf_dir)))
     return df.select("policy_id", "messages", "mismatches", r6("mismatch_rate"), r6("avg_abs_diff"))
 
 
 @query("speed_reconciliation")
 def q_speed_reconciliation(spark, sf_dir):
-    from ..operators.reconcile import speed_reconciliation
-
     df = speed_reconciliation(gps_quality(good_rows(spark, sf_dir)))
     return df.select("policy_id", "fixes", "mismatches", r6("avg_abs_diff_mph"),
                      r6("max_abs_diff_mph"))
@@ -312,8 +292,6 @@ def q_speed_reconciliation(spark, sf_dir):
 
 @query("trip_distance")
 def q_trip_distance(spark, sf_dir):
-    from ..operators.reconcile import trip_distance
-
     df = trip_distance(good_rows(spark, sf_dir))
     return df.select("vin", "fixes", "segments", F.round("total_distance_m", 3).alias("total_distance_m"),
                      F.round("max_segment_m", 3).alias("max_segment_m"))
@@ -321,8 +299,6 @@ def q_trip_distance(spark, sf_dir):
 
 @query("magnetic_anomalies")
 def q_magnetic_anomalies(spark, sf_dir):
-    from ..operators.reconcile import magnetic_anomalies
-
     df = magnetic_anomalies(heading(good_rows(spark, sf_dir)))
     return df.select("message_id", "vin", r6("mag_magnitude"), r6("baseline_magnitude"),
                      r6("deviation"))
@@ -331,17 +307,12 @@ def q_magnetic_anomalies(spark, sf_dir):
 # --- A1/A2/A4: JSON ingest ---------------------------------------------------
 
 def _leaf_view(df: DataFrame) -> DataFrame:
-    from ..operators.enrich import LEAVES, PRESENCE, with_leaves
-
     return with_leaves(df).select(
         "message_id", "policy_id", "vin", "timestamp", "speed_mph", "current_street", "g_force",
         *LEAVES.keys(), *PRESENCE.keys(), "reason")
 
 
 def _ingest(spark, sf_dir, layout):
-    from ..sources.fixture import as_json
-    from ..sources.ingest import parse_telemetry, quarantine_reason
-
     ensure_utc(spark)
     parsed = with_event_time(parse_telemetry(as_json(telemetry(spark, sf_dir), layout)))
     return _leaf_view(parsed.withColumn("reason", quarantine_reason(parsed)))
@@ -354,8 +325,6 @@ def q_json_ingest(spark, sf_dir):
 
 @query("json_layouts")
 def q_json_layouts(spark, sf_dir):
-    from ..sources.fixture import LAYOUTS
-
     out = None
     for layout in LAYOUTS:
         part = _ingest(spark, sf_dir, layout).withColumn("layout", F.lit(layout))
@@ -370,10 +339,6 @@ ROUNDTRIP_PARTITIONS = ("year", "month", "date")
 
 @query("archive_roundtrip")
 def q_archive_roundtrip(spark, sf_dir):
-    from ..config import StorageConfig
-    from ..session import scratch_path
-    from ..sources.sinks import archive_telemetry, read_archive, stored_sample
-
     path = scratch_path(spark, "archive")
     archive_telemetry(good_rows(spark, sf_dir),
                       StorageConfig(path=path, partition_cols=ROUNDTRIP_PARTITIONS))
@@ -382,18 +347,10 @@ def q_archive_roundtrip(spark, sf_dir):
 
 @query("archive_fallback")
 def q_archive_fallback(spark, sf_dir):
-    from ..config import StorageConfig
-    from ..operators.stats import with_dates
-    from ..schema import TELEMETRY
-    from ..session import scratch_path
-    from ..sources.sinks import archive_with_fallback, stored_sample
-
     base = scratch_path(spark, "fallback")
     # "delta" is not installed here, so the primary write fails.
     written = archive_with_fallback(good_rows(spark, sf_dir),
                                     StorageConfig(path=base, fmt="delta"), batch_id=0)
-    from pyspark.sql.types import StructField, StructType, TimestampType
-
     schema = StructType(TELEMETRY.fields + [StructField("event_time", TimestampType()),
                                             StructField("write_timestamp", TimestampType())])
     return stored_sample(with_dates(spark.read.schema(schema).json(written)))
@@ -401,10 +358,6 @@ def q_archive_fallback(spark, sf_dir):
 
 @query("reports_roundtrip")
 def q_reports_roundtrip(spark, sf_dir):
-    from ..operators.report import crash_reports, flatten
-    from ..session import scratch_path
-    from ..sources.sinks import archive_crash_reports, read_archive
-
     reports, _ = crash_reports(_analysed(spark, sf_dir, "message"), "message")
     target = archive_crash_reports(reports, scratch_path(spark, "reports"))
     back = read_archive(spark, target, ("severity_level", "report_date")).drop("processed_timestamp")
@@ -413,11 +366,6 @@ def q_reports_roundtrip(spark, sf_dir):
 
 @query("published_reports")
 def q_published_reports(spark, sf_dir):
-    from ..operators.report import crash_reports, flatten
-    from ..schema import CRASH_REPORT
-    from ..session import scratch_path
-    from ..sources.sinks import publish_crash_reports
-
     reports, _ = crash_reports(_analysed(spark, sf_dir, "message"), "message")
     path = scratch_path(spark, "published")
     publish_crash_reports(reports).write.text(path)
@@ -429,8 +377,6 @@ def q_published_reports(spark, sf_dir):
 
 def _landing(spark, sf_dir) -> str:
     """Messages as JSON lines in a landing folder (the stream's source)."""
-    from ..session import scratch_path
-    from ..sources.fixture import as_json
 
     ensure_utc(spark)
     path = scratch_path(spark, "landing")
@@ -440,10 +386,6 @@ def _landing(spark, sf_dir) -> str:
 
 @query("stream_equals_batch")
 def q_stream_equals_batch(spark, sf_dir):
-    from ..operators.report import flatten
-    from ..session import scratch_path
-    from ..streaming.jobs import start_crash_fanout
-
     src = _landing(spark, sf_dir)
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
     handles = start_crash_fanout(spark, src, out, ckpt, available_now=True)
@@ -457,8 +399,6 @@ def q_stream_window_stats(spark, sf_dir):
     """F4 on a stream: 30 s windows, 10 min watermark, append mode. A window
     is emitted once the watermark (max event time - 10 min) passes its end,
     so the final 10 minutes stay in state, as append mode defines."""
-    from ..session import scratch_path
-    from ..streaming.jobs import start_windowed_stats
 
     src = _landing(spark, sf_dir)
     out, ckpt = scratch_path(spark, "window-out"), scratch_path(spark, "window-ckpt")

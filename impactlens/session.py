@@ -45,6 +45,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     conf = dict(RECOMMENDED_CONF)
     if os.environ.get("IMPACTLENS_HUGE_METHOD_LIMIT"):
         conf["spark.sql.codegen.hugeMethodLimit"] = os.environ["IMPACTLENS_HUGE_METHOD_LIMIT"]
+    for item in filter(None, os.environ.get("IMPACTLENS_CONF", "").split(",")):
+        k, _, v = item.partition("=")
+        conf[k.strip()] = v.strip()
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

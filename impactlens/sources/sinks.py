@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import REPORT_PARTITIONS, StorageConfig
-from ..functions.columns import parse_event_time
+from ..functions.columns import gt, parse_event_time
+from ..operators.report import flatten
 from ..operators.stats import with_dates
 from ..schema import CRASH_REPORT
 
@@ -37,22 +38,6 @@ def save_mode(name: str) -> str:
         raise ValueError(f"unknown save mode {name!r}") from None
 
 
-def flat_columns(df: DataFrame, sep: str = "_") -> list:
-    """Leaf columns of nested structs (CSV cannot hold structs)."""
-    out = []
-
-    def walk(dtype, path):
-        if isinstance(dtype, StructType):
-            for f in dtype.fields:
-                walk(f.dataType, path + [f.name])
-        else:
-            out.append(F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)))
-
-    for f in df.schema.fields:
-        walk(f.dataType, [f.name])
-    return out
-
-
 def telemetry_for_archive(df: DataFrame) -> DataFrame:
     """Adds date/hour/year/month (UTC, from event time) and processed time."""
     return with_dates(df).withColumn("processed_timestamp", F.current_timestamp())
@@ -62,7 +47,7 @@ def _write(df: DataFrame, path: str, fmt: str, partition_cols, compression: str
            mode: str) -> None:
     fmt = (fmt or "parquet").lower()
     if fmt == "csv":
-        df = df.select(flat_columns(df))
+        df = df.select(flatten(df))  # CSV cannot hold structs
     if partition_cols:
         df = df.hint("rebalance", *partition_cols)
     writer = df.write.mode(save_mode(mode))
@@ -122,8 +107,6 @@ def publish_crash_reports(reports: DataFrame) -> DataFrame:
 def accident_alerts(df: DataFrame, threshold_g: float = 4.0) -> DataFrame:
     """Concise potential-accident rows: sudden deceleration above the
     threshold (the reported g stands in for deceleration g)."""
-    from ..functions.columns import gt
-
     return df.filter(gt(F.col("g_force"), threshold_g)).select(
         "message_id", "policy_id", "vin",
         F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time_utc"),
@@ -141,13 +124,11 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
 def read_archive(spark, path: str, partition_cols=(), fmt: str = "parquet") -> DataFrame:
     """Reads an archive back with partition values kept as the strings
     they were written as (``month=01`` stays ``"01"``)."""
-    from pyspark.sql.types import StringType, StructField, StructType as _ST
-
     reader = spark.read.format(fmt)
     inferred = reader.load(path).schema
     fields = [f for f in inferred.fields if f.name not in partition_cols]
     fields += [StructField(c, StringType(), True) for c in partition_cols]
-    return spark.read.format(fmt).schema(_ST(fields)).load(path)
+    return spark.read.format(fmt).schema(StructType(fields)).load(path)
 
 
 def stored_sample(df: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT_THRESHOLDS, Thresholds
-from ..operators.detect import analyse, crash_type, risk_weight_of, crash_condition
+from ..operators.detect import analyse, crash_condition, crash_type, risk_weight_of
 from ..operators.report import crash_reports
 from ..sources.ingest import prepare, read_telemetry
-from ..sources.sinks import publish_crash_reports, telemetry_for_archive
+from ..sources.sinks import accident_alerts, publish_crash_reports, telemetry_for_archive
 
 TRIGGER_INTERVAL = "2 seconds"
 WINDOW = "30 seconds"
@@ -133,8 +133,6 @@ def start_foreach_batch(spark: SparkSession, source: str, handler, checkpoint: s
     table). The judged batch is persisted while the handler writes its
     outputs and released afterwards. Delivery is at least once: the handler
     must write idempotently per ``batch_id`` (e.g. overwrite a batch key)."""
-    from ..sources.sinks import accident_alerts
-
     raw = read_telemetry(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
     good, _ = prepare(raw)
     judged = analyse(good, profile)
