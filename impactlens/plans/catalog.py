@@ -377,7 +377,6 @@ def q_published_reports(spark, sf_dir):
 
 def _landing(spark, sf_dir) -> str:
     """Messages as JSON lines in a landing folder (the stream's source)."""
-
     ensure_utc(spark)
     path = scratch_path(spark, "landing")
     as_json(telemetry(spark, sf_dir)).write.text(path)
@@ -399,7 +398,6 @@ def q_stream_window_stats(spark, sf_dir):
     """F4 on a stream: 30 s windows, 10 min watermark, append mode. A window
     is emitted once the watermark (max event time - 10 min) passes its end,
     so the final 10 minutes stay in state, as append mode defines."""
-
     src = _landing(spark, sf_dir)
     out, ckpt = scratch_path(spark, "window-out"), scratch_path(spark, "window-ckpt")
     start_windowed_stats(spark, src, out, ckpt, available_now=True).awaitTermination()
