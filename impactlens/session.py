@@ -63,11 +63,17 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; registered privately only when unset."""
+    """The shared checkpoint folder the cluster names in
+    ``spark.checkpoint.dir``. Only a local-mode session (tests) without one
+    gets a private folder; on a cluster a machine-local folder would not be
+    visible to other executors, so an unset setting is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) "
+                               "for archives, round trips and streaming checkpoints")
         root = tempfile.mkdtemp(prefix="impactlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
