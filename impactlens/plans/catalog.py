@@ -28,7 +28,7 @@ from ..operators.stats import (
     preview, storage_stats, with_dates)
 from ..schema import CRASH_REPORT, TELEMETRY
 from ..session import ensure_utc, scratch_path
-from ..sources.fixture import LAYOUTS, as_json, telemetry
+from ..sources.fixture import as_json, as_json_layouts, telemetry
 from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_event_time
 from ..sources.sinks import (
     accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
@@ -306,10 +306,10 @@ def q_magnetic_anomalies(spark, sf_dir):
 
 # --- A1/A2/A4: JSON ingest ---------------------------------------------------
 
-def _leaf_view(df: DataFrame) -> DataFrame:
+def _leaf_view(df: DataFrame, *extra: str) -> DataFrame:
     return with_leaves(df).select(
         "message_id", "policy_id", "vin", "timestamp", "speed_mph", "current_street", "g_force",
-        *LEAVES.keys(), *PRESENCE.keys(), "reason")
+        *LEAVES.keys(), *PRESENCE.keys(), "reason", *extra)
 
 
 def _ingest(spark, sf_dir, layout):
@@ -325,11 +325,12 @@ def q_json_ingest(spark, sf_dir):
 
 @query("json_layouts")
 def q_json_layouts(spark, sf_dir):
-    out = None
-    for layout in LAYOUTS:
-        part = _ingest(spark, sf_dir, layout).withColumn("layout", F.lit(layout))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every message in all three layouts (one pass over the table, one
+    parser for all layouts)."""
+    ensure_utc(spark)
+    texts = as_json_layouts(telemetry(spark, sf_dir))
+    parsed = with_event_time(parse_telemetry(texts, carry=("layout",)))
+    return _leaf_view(parsed.withColumn("reason", quarantine_reason(parsed)), "layout")
 
 
 # --- A5-A8: sinks, read back -------------------------------------------------

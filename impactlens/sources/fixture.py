@@ -186,8 +186,8 @@ def _sample_json_struct() -> Column:
 LAYOUTS = ("code", "readme", "sample")
 
 
-def as_json(df: DataFrame, layout: str = "code") -> DataFrame:
-    """Canonical telemetry -> one JSON message per row (``value``)."""
+def json_text(df: DataFrame, layout: str = "code") -> Column:
+    """JSON text of each canonical row in one of the documented layouts."""
     if layout == "code":
         s = _canonical_json_struct(df)
     elif layout == "readme":
@@ -196,4 +196,16 @@ def as_json(df: DataFrame, layout: str = "code") -> DataFrame:
         s = _sample_json_struct()
     else:
         raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
-    return df.select(F.to_json(s).alias("value"))
+    return F.to_json(s)
+
+
+def as_json(df: DataFrame, layout: str = "code") -> DataFrame:
+    """Canonical telemetry -> one JSON message per row (``value``)."""
+    return df.select(json_text(df, layout).alias("value"))
+
+
+def as_json_layouts(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """Every row once per layout, in one pass: (``layout``, ``value``)."""
+    msgs = F.array(*[F.struct(F.lit(name).alias("layout"), json_text(df, name).alias("value"))
+                     for name in layouts])
+    return df.select(F.inline(msgs))

@@ -119,14 +119,16 @@ def canonical_columns(c: _Coerce) -> list[Column]:
     ]
 
 
-def parse_telemetry(df: DataFrame, value_col: str = "value", keep_value: bool = True) -> DataFrame:
+def parse_telemetry(df: DataFrame, value_col: str = "value", keep_value: bool = True,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """JSON text column -> canonical telemetry + ``_corrupt_record`` and
-    ``_type_error`` helper columns (consumed by :func:`split_quarantine`)."""
+    ``_type_error`` helper columns (consumed by :func:`split_quarantine`);
+    ``carry`` columns of the input are passed through."""
     # Parse through a one-element explode: a predicate on generated output
     # cannot be pushed below the Generate, so the quarantine filter and every
     # field access read the parsed struct instead of Catalyst substituting
     # (and re-running) from_json once per field reference.
-    parsed = df.select(F.col(value_col), F.explode(F.array(
+    parsed = df.select(F.col(value_col), *carry, F.explode(F.array(
         F.from_json(F.col(value_col), RAW_TELEMETRY, JSON_OPTIONS))).alias(_R))
     c = _Coerce()
     cols = canonical_columns(c)
@@ -134,7 +136,7 @@ def parse_telemetry(df: DataFrame, value_col: str = "value", keep_value: bool =
     # Leaves are built with the canonical types, so no cast of the whole
     # struct is needed (such a cast would hide its fields from Catalyst).
     return parsed.select(*cols, _r("_corrupt_record").alias("_corrupt_record"),
-                         c.any_error().alias("_type_error"), *extra)
+                         c.any_error().alias("_type_error"), *extra, *carry)
 
 
 def canonicalise(df: DataFrame, value_col: str = "value") -> DataFrame:
