@@ -79,3 +79,5 @@ class StorageConfig:
     compression: str = "snappy"
     mode: str = "append"
     enabled: bool = True
+    # Cap on rows per output file (None: Spark's session setting).
+    max_records_per_file: int | None = None

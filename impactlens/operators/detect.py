@@ -108,7 +108,8 @@ def _risk_score_column(thr: Thresholds) -> Column:
     ]
     for cond, f in factors:
         s = s * F.when(cond, lit_d(f)).otherwise(lit_d(1.0))
-    return F.when(F.isnan(s), s).otherwise(F.least(s, lit_d(100.0)))
+    # least() skips nulls (least(null, 100) = 100): cap only real numbers.
+    return F.when(s.isNull() | F.isnan(s), s).otherwise(F.least(s, lit_d(100.0)))
 
 
 def risk_weight_of(type_col: Column) -> Column:

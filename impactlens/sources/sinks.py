@@ -44,7 +44,7 @@ def telemetry_for_archive(df: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, fmt: str, partition_cols, compression: str | None,
-           mode: str) -> None:
+           mode: str, max_records_per_file: int | None = None) -> None:
     fmt = (fmt or "parquet").lower()
     if fmt == "csv":
         df = df.select(flatten(df))  # CSV cannot hold structs
@@ -53,6 +53,8 @@ def _write(df: DataFrame, path: str, fmt: str, partition_cols, compression: str
     writer = df.write.mode(save_mode(mode))
     if compression and fmt in ("parquet", "json", "csv", "orc"):
         writer = writer.option("compression", compression)
+    if max_records_per_file:
+        writer = writer.option("maxRecordsPerFile", str(max_records_per_file))
     if partition_cols:
         writer = writer.partitionBy(*partition_cols)
     if fmt == "csv":
@@ -69,7 +71,7 @@ def archive_telemetry(df: DataFrame, cfg: StorageConfig) -> str | None:
         return None
     out = telemetry_for_archive(df)
     parts = list(cfg.partition_cols) if cfg.partitioning_enabled else []
-    _write(out, cfg.path, cfg.fmt, parts, cfg.compression, cfg.mode)
+    _write(out, cfg.path, cfg.fmt, parts, cfg.compression, cfg.mode, cfg.max_records_per_file)
     return cfg.path
 
 

@@ -47,3 +47,24 @@ def test_sql_functions_are_inlined(spark, sf_small):
     df = entry.queries()["crash_patterns"](spark, sf_small)
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     assert "calculateTotalGForce" not in opt and "SQRT" in opt.upper()
+
+
+def test_archive_reads_prune_and_push_down(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from impactlens.config import StorageConfig
+    from impactlens.plans.catalog import good_rows
+    from impactlens.sources.sinks import accident_alerts, archive_telemetry, read_archive
+
+    path = str(tmp_path / "arch")
+    parts = ("year", "month", "date")
+    archive_telemetry(good_rows(spark, "/root/testdata/sf0.001"),
+                      StorageConfig(path=path, partition_cols=parts))
+    back = read_archive(spark, path, parts)
+    week = back.filter(F.col("date").between("2024-01-08", "2024-01-14"))
+    alerts = accident_alerts(week)
+    plan = _plan(alerts)
+    assert re.search(r"PartitionFilters: \[[^\]]*date", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(g_force,4\.0\)", plan)
+    got = alerts.collect()
+    assert got and all("2024-01-08" <= r["event_time_utc"][:10] <= "2024-01-14" for r in got)

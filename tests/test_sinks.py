@@ -74,3 +74,20 @@ def test_accident_alerts_strict(spark):
 
     got = [r["message_id"] for r in accident_alerts(good).collect()]
     assert got == [2]
+
+
+def test_max_records_per_file(spark, tmp_path):
+    good = _good(spark, [message(i) for i in range(5)])
+    path = str(tmp_path / "m")
+    archive_telemetry(good, StorageConfig(path=path, partitioning_enabled=False,
+                                          max_records_per_file=2))
+    files = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(files) >= 3 and spark.read.parquet(path).count() == 5
+
+
+def test_null_g_force_is_not_capped_to_100(spark):
+    from impactlens.operators.detect import risk_score
+    from impactlens.operators.enrich import enrich
+
+    good = _good(spark, [message(1)]).withColumn("g_force", F.lit(None).cast("double"))
+    assert risk_score(enrich(good)).collect()[0]["risk_score"] is None
