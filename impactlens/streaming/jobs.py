@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT_THRESHOLDS, Thresholds
 from ..operators.detect import analyse, crash_condition, crash_type, risk_weight_of
-from ..operators.report import crash_reports
-from ..sources.ingest import prepare, read_telemetry
+from ..operators.report import crash_reports, unbuildable_reason
+from ..sources.ingest import prepare, quarantine_reason, read_telemetry, with_event_time
 from ..sources.sinks import accident_alerts, publish_crash_reports, telemetry_for_archive
 
 TRIGGER_INTERVAL = "2 seconds"
@@ -80,9 +80,17 @@ def start_crash_fanout(spark: SparkSession, source: str, out: str, checkpoints:
     """Starts the fan-out: archive everything, report crashes, keep bad
     messages. Paths: ``out/telemetry``, ``out/reports``, ``out/quarantine``."""
     raw = read_telemetry(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
-    good, bad = prepare(raw)
+    good, _ = prepare(raw)
     analysed = observed(analyse(good, profile, thr))
-    reports, unbuildable = crash_reports(analysed, profile, keep=("message_id",), thr=thr)
+    reports, _ = crash_reports(analysed, profile, keep=("message_id",), thr=thr)
+    # One branch for the quarantine sink: the ingest reason, else the reason
+    # a crash's report cannot be built (reading the source once per batch).
+    tagged = with_event_time(raw)
+    tagged = tagged.withColumn("reason", quarantine_reason(tagged))
+    judged_all = analyse(tagged, profile, thr)
+    reason = F.coalesce(F.col("reason"), F.when(F.col("is_crash"), unbuildable_reason()))
+    quarantined = (judged_all.select("message_id", reason.alias("reason"), "value")
+                   .filter(F.col("reason").isNotNull()))
 
     arch = telemetry_for_archive(good)
     w1 = (arch.writeStream.format("parquet").option("path", f"{out}/telemetry")
@@ -91,8 +99,6 @@ def start_crash_fanout(spark: SparkSession, source: str, out: str, checkpoints:
     w2 = (reports.drop("processed_timestamp").writeStream.format("parquet")
           .option("path", f"{out}/reports")
           .option("checkpointLocation", f"{checkpoints}/reports").outputMode("append"))
-    quarantined = bad.select("message_id", "reason", "value").unionByName(
-        unbuildable.select("message_id", "reason", F.lit(None).cast("string").alias("value")))
     w3 = (quarantined.writeStream.format("parquet").option("path", f"{out}/quarantine")
           .option("checkpointLocation", f"{checkpoints}/quarantine").outputMode("append"))
     return StreamHandles(
