@@ -33,7 +33,8 @@ from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_e
 from ..sources.sinks import (
     accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
     publish_crash_reports, read_archive, stored_sample)
-from ..streaming.jobs import start_crash_fanout, start_windowed_stats, windowed_driving_stats
+from ..streaming.jobs import (
+    start_crash_fanout, start_foreach_batch, start_windowed_stats, windowed_driving_stats)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -406,3 +407,20 @@ def q_stream_window_stats(spark, sf_dir):
     return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                      "policy_id", r6("avg_speed"), "max_g_force", "min_g_force",
                      r6("avg_risk_score"), "message_count")
+
+
+@query("foreach_batch_reports")
+def q_foreach_batch_reports(spark, sf_dir):
+    """G3/F3 for external targets: each micro-batch is persisted, its crash
+    reports are written by a handler keyed by batch id (idempotent on
+    replay), and the batch is released."""
+    src = _landing(spark, sf_dir)
+    out, ckpt = scratch_path(spark, "fb-out"), scratch_path(spark, "fb-ckpt")
+
+    def handler(reports, alerts, batch_id):
+        (reports.drop("processed_timestamp").write.mode("overwrite")
+         .parquet(f"{out}/batch_id={batch_id}"))
+
+    start_foreach_batch(spark, src, handler, ckpt, available_now=True).awaitTermination()
+    back = spark.read.parquet(out).drop("batch_id")
+    return _round_headings(back.select(flatten(back)))

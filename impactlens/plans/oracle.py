@@ -229,4 +229,5 @@ ORACLE.update({
         strftime(event_time, '%H') AS report_hour"""),
     "published_reports": _report(*_MSG_REPORT, extra=""),
     "stream_equals_batch": _report(*_MSG_REPORT),
+    "foreach_batch_reports": _report(*_MSG_REPORT),
 })
