@@ -106,7 +106,8 @@ def parse_event_time(text: Column) -> Column:
     seconds by truncation, then nanoseconds from the truncated fraction, so
     '1753411278.026699000' lands on ...278.026699 (millis ...026).
     """
-    iso_text = F.regexp_replace(text, r"([Tt]\d{2}:\d{2})([Zz+-])", "$1:00$2")
+    # ISO instants are case-insensitive ('t', 'z'); seconds are optional.
+    iso_text = F.regexp_replace(F.upper(text), r"(T\d{2}:\d{2})([Z+-])", "$1:00$2")
     iso = F.when(text.rlike(ISO_INSTANT_RE), iso_text.try_cast("timestamp"))
     d = text.try_cast("double")
     secs = d.try_cast("long")

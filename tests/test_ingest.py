@@ -20,13 +20,14 @@ def test_timestamps(spark):
     got = _millis(spark, [
         "2025-07-24T17:19:14.123456Z", "1753411278.026699000", "2024-07-24T15:30:45.123Z",
         "2024-07-24T10:30:00Z", "2024-07-24T10:30:00+02:00", "2024-07-24T10:30Z",
-        "junk", "2024-07-24", None])
+        "2024-07-24t10:30:00z", "junk", "2024-07-24", None])
     assert got["2025-07-24T17:19:14.123456Z"] == 1753377554123
     assert got["1753411278.026699000"] == 1753411278026
     assert got["2024-07-24T15:30:45.123Z"] == 1721835045123
     assert got["2024-07-24T10:30:00Z"] == 1721817000000
     assert got["2024-07-24T10:30:00+02:00"] == 1721817000000 - 2 * 3600 * 1000
     assert got["2024-07-24T10:30Z"] == 1721817000000
+    assert got["2024-07-24t10:30:00z"] == 1721817000000
     assert got["junk"] is None and got["2024-07-24"] is None and got[None] is None
 
 
