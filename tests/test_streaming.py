@@ -72,3 +72,15 @@ def test_foreach_batch_bounded_batches(spark, tmp_path):
     assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 2
     assert sorted(r["message_id"] for r in spark.read.parquet(f"{out}/reports").collect()) == [1, 2, 3]
     assert sorted(r["message_id"] for r in spark.read.parquet(f"{out}/alerts").collect()) == [1, 2, 3]
+
+
+def test_report_feed_writes_json_documents(spark, tmp_path):
+    from impactlens.schema import CRASH_REPORT
+    from impactlens.streaming.jobs import start_report_feed
+
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    _write(src, "a.json", [message(1, g=9.0), message(2), message(3, g=6.5, speed=2.0)])
+    start_report_feed(spark, src, out, ckpt, available_now=True).awaitTermination()
+    docs = spark.read.schema(CRASH_REPORT).json(out).collect()
+    assert sorted(d["crash_type"] for d in docs) == ["HIGH_G_FORCE", "SUDDEN_STOP"]
+    assert all(d["report_id"] == "CRASH-TESTPOLICY-1721817000000" for d in docs)
