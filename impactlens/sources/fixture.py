@@ -109,15 +109,12 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small input (under one split per core by size, such as
-    a single-row-group file) so the per-row projections run on every core.
-    Larger inputs are returned unchanged: no shuffle is added at scale. The
-    size comes from the plan statistics of the already-listed relation."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= split * cores:
+    """Round-robin an input that arrives in fewer splits than there are
+    cores (a small file with a single row group), so the per-row projections
+    run on every core. An input with at least one split per core - any large
+    table - is returned unchanged: no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
