@@ -92,18 +92,24 @@ def trip_distance(df: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
-def magnetic_anomalies(df: DataFrame, threshold: float = 50.0) -> DataFrame:
+def magnetic_anomalies(df: DataFrame, threshold: float = 50.0, salts: int = 32) -> DataFrame:
     """Messages whose field magnitude deviates from the vehicle's mean
     magnitude by more than ``threshold``.
 
-    The baseline is a partial-then-final aggregate (one row per vehicle)
-    joined back on ``vin``; adaptive execution broadcasts it when its
-    measured size is small and otherwise splits a skewed vehicle's
-    partition of the big side.
+    The baseline is a partial-then-final aggregate (one row per vehicle).
+    The join back is salted: each message gets ``salt = hash(message_id) %
+    salts`` and the baseline is replicated once per salt value, so a vehicle
+    holding a large share of the messages is spread over up to ``salts``
+    join tasks, while the replicated side stays vehicles x salts rows.
+    Adaptive execution still broadcasts the baseline when it is measured
+    small.
     """
     rows = df.filter(F.col("has_magnetometer"))
     base = rows.groupBy("vin").agg(F.avg("mag_magnitude").alias("baseline_magnitude"))
+    base = base.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    msgs = rows.select("message_id", "vin", "mag_magnitude").withColumn(
+        "salt", F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int"))
     dev = F.abs(F.col("mag_magnitude") - F.col("baseline_magnitude"))
-    return (rows.select("message_id", "vin", "mag_magnitude").join(base, "vin")
+    return (msgs.join(base, ["vin", "salt"]).drop("salt")
             .withColumn("deviation", dev)
             .filter(gt(F.col("deviation"), threshold)))

@@ -1,6 +1,6 @@
-"""A vehicle with most of the rows: the magnetic baseline join, forced to a
-sort-merge join (no broadcast) with skew handling enabled at tiny
-thresholds, must give the brute-force answer."""
+"""A vehicle with most of the rows: the salted magnetic baseline join,
+forced to a sort-merge join (no broadcast), must give the brute-force
+answer."""
 
 import math
 import random
@@ -47,3 +47,5 @@ def test_magnetic_anomalies_under_skew(spark):
                   if abs(r.mag_magnitude - base[r.vin]) > 50.0 and not math.isnan(r.mag_magnitude))
     assert got == want and len(want) > 0
     assert "SortMergeJoin" in plan
+    # the hot vehicle is spread by the salt: the join is keyed on (vin, salt)
+    assert "hashpartitioning(vin" in plan and "salt" in plan
