@@ -13,7 +13,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import END, START, assemble, format_records, read_back
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = f"{END}{START}assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    return read_back(format_records(assemble(rows.unionByName(extra))))
+
+
 QUERIES = {
+    "op9_chat_format": op9_chat_format,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
