@@ -13,6 +13,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    found = archive_pages(read_table(spark, sf_dir, "pages"))
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import END, START, assemble, format_records, read_back
 
@@ -24,6 +31,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_warc": op7_warc,
     "op9_chat_format": op9_chat_format,
     "op6_byte_bpe": op6_byte_bpe,
 }
