@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_crf import fit, score
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip
 
@@ -31,6 +38,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_crf": op1_quality_crf,
     "op7_warc": op7_warc,
     "op9_chat_format": op9_chat_format,
     "op6_byte_bpe": op6_byte_bpe,
