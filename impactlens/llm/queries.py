@@ -14,6 +14,13 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_weak import find, fit
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find(docs, fit(docs))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip
 
@@ -41,6 +48,7 @@ QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op7_warc": op7_warc,
     "op9_chat_format": op9_chat_format,
+    "op2_pii_weak": op2_pii_weak,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
