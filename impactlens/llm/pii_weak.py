@@ -23,6 +23,7 @@ all columns; there null text stays null).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -49,7 +50,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPOKEN = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,24}\b")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_NAME = re.compile(r"(?<![A-Za-z])[A-Z][a-z]{1,20} [A-Z][a-z]{1,20}(?![A-Za-z])")
+_NAME = re.compile(r"(?<![A-Za-z])[A-Z][a-z]{1,20}(?= ([A-Z][a-z]{1,20})(?![A-Za-z]))")
 
 #: Gazetteers.
 TOP_DOMAINS = frozenset("com org net edu gov io co de fr es it uk us ca au nl se no ch at be pl eu info".split())
@@ -122,7 +123,8 @@ def _gazetteer(kind: str, found: str) -> int:
         digits = re.sub(r"[^0-9]", "", found)
         return 1 if digits.startswith(CALLING_CODES) else -1
     if kind == "local_phone":
-        return 0 if found.lstrip("(")[0] in "23456789" else -1
+        digits = re.sub(r"[^0-9]", "", found)
+        return 1 if digits[0] in "23456789" and digits[3] in "23456789" else -1
     if kind == "national_id":
         return -1 if found[:3] in ("000", "666") or found[0] == "9" or found[4:6] == "00" else 1
     return 1 if found.split(" ")[0] in FIRST_NAMES else -1
@@ -136,7 +138,7 @@ def candidates(text: str, base: bool = True) -> list[tuple]:
         found += [("spoken_email", m.start(), m.end(), 0) for m in _SPOKEN.finditer(text)]
     found += [("local_phone", m.start(), m.end(), 0) for m in _LOCAL_PHONE.finditer(text)]
     found += [("national_id", m.start(), m.end(), 0) for m in _NATIONAL.finditer(text)]
-    found += [("name", m.start(), m.end(), 0) for m in _NAME.finditer(text)]
+    found += [("name", m.start(), m.end(1), 0) for m in _NAME.finditer(text)]
     out = []
     for kind, s, e, vote in found:
         before = text[max(0, s - 32):s]
@@ -234,12 +236,21 @@ def fit(docs: DataFrame, text_col: str = "text") -> Classifier:
 
 def spans_of(text: str, model: Classifier, threshold: float = 0.5) -> list[tuple[str, int, int]]:
     """All spans: the base ones, then accepted candidates of the other kinds
-    that overlap none of them, by kind as listed and start."""
+    that overlap no span before them, by kind as listed and start."""
     base = base_spans(text)
-    more, taken = [], sorted((s, e) for _, s, e in base)
+    more, starts, ends = [], [], []  # disjoint runs of what is taken
+    for s, e in sorted((s, e) for _, s, e in base):
+        if starts and s < ends[-1]:
+            ends[-1] = max(e, ends[-1])
+        else:
+            starts.append(s)
+            ends.append(e)
     for kind, s, e, pattern in candidates(text, base=False):
-        if model.probability(pattern) >= threshold and not any(a < e and s < b for a, b in taken):
+        i = bisect.bisect_left(starts, e)
+        if (i == 0 or ends[i - 1] <= s) and model.probability(pattern) >= threshold:
             more.append((kind, s, e))
+            starts.insert(i, s)
+            ends.insert(i, e)
     return base + sorted(more, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
