@@ -21,6 +21,12 @@ def op2_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(docs, fit(docs))
 
 
+def op3_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_lsh import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip
 
@@ -34,6 +40,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .odd_sketch import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import END, START, assemble, format_records, read_back
 
@@ -49,6 +61,8 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op9_chat_format": op9_chat_format,
     "op2_pii_weak": op2_pii_weak,
+    "op3_embedding_lsh": op3_embedding_lsh,
+    "op8_odd_sketch": op8_odd_sketch,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
