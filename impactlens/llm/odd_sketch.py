@@ -26,49 +26,24 @@ give no rows. Columns other than the id and the text are ignored
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import in_blocks, map_groups
 from .common import materialise, table, texts_of
 from .components import connected_components
+from .words import P, mix, word_hashes
 
 BANDS, ROWS, SAMPLES = 24, 4, 128
 SKETCH_BITS = 256
 FLOOR = 0.6
 BLOCK = 1500
-WORDS = 1_000_000
 
 _MULTIPLIERS = np.random.default_rng(20240611).integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-@functools.lru_cache(maxsize=1)
-def _words() -> dict[bytes, int]:
-    """Word hashes a worker remembers, WORDS at most."""
-    return {}
-
-
-def word_hashes(text: str) -> np.ndarray:
-    known = _words()
-    if len(known) > WORDS:
-        known.clear()
-    words = text.encode("utf-8", "replace").lower().split()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str, width: int = 4) -> np.ndarray:
@@ -80,13 +55,13 @@ def shingles(text: str, width: int = 4) -> np.ndarray:
         total = np.uint64(len(h))
         with np.errstate(over="ignore"):
             for w in h:
-                total = total * _P + w
-        return _mix(np.array([total], np.uint64))
+                total = total * P + w
+        return mix(np.array([total], np.uint64))
     n = len(h) - width + 1
     total = np.full(n, np.uint64(width), np.uint64)
     for i in range(width):
-        total = total * _P + h[i:i + n]
-    return np.unique(_mix(total))
+        total = total * P + h[i:i + n]
+    return np.unique(mix(total))
 
 
 def minhash(items: np.ndarray) -> np.ndarray:
@@ -99,13 +74,13 @@ def minhash(items: np.ndarray) -> np.ndarray:
 def bands(samples: np.ndarray) -> np.ndarray:
     total = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
-        total = _mix(total * _P + samples[i * BANDS:(i + 1) * BANDS])
+        total = mix(total * P + samples[i * BANDS:(i + 1) * BANDS])
     return total.view(np.int64)
 
 
 def odd_sketch(samples: np.ndarray) -> bytes:
     """Each (index, sample) flips one bit."""
-    bit = _mix(samples + np.arange(1, SAMPLES + 1, dtype=np.uint64) * _P) % np.uint64(SKETCH_BITS)
+    bit = mix(samples + np.arange(1, SAMPLES + 1, dtype=np.uint64) * P) % np.uint64(SKETCH_BITS)
     return np.packbits(np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
 
 

@@ -27,6 +27,19 @@ def op3_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_bloom import score, train
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, *train(docs))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip
 
@@ -56,6 +69,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_records(assemble(rows.unionByName(extra))))
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import compare_neighbours
+
+    return compare_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op7_warc": op7_warc,
@@ -63,6 +82,9 @@ QUERIES = {
     "op2_pii_weak": op2_pii_weak,
     "op3_embedding_lsh": op3_embedding_lsh,
     "op8_odd_sketch": op8_odd_sketch,
+    "op4_packing": op4_packing,
+    "op10_spotsigs": op10_spotsigs,
+    "op5_lm_bloom": op5_lm_bloom,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
