@@ -239,7 +239,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
 
 def drop_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: its
-    smallest id. Of rows with that same id, all are kept."""
-    found = near_duplicates(docs, percent, width, id_col, text_col)
+    smallest id. Of several rows with that same id one stays; all rows without
+    id stay."""
+    found = materialise(near_duplicates(docs, percent, width, id_col, text_col), "near-found")
     gone = materialise(found.where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    own = docs[id_col].cast("long")
+    kept = docs.join(gone, own == gone["_gone"], "left_anti")
+    repeated = materialise(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), "near-again")
+    if repeated.isEmpty():
+        return kept
+    again = own == repeated["_again"]
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))
