@@ -20,7 +20,7 @@ def session_cached(builder):
     @functools.wraps(builder)
     def get(*args):
         sc = SparkContext._active_spark_context
-        key = (id(sc), id(getattr(sc, "_jsc", None)), args)
+        key = (sc.applicationId if sc else None, args)
         hit = cache.get(key)
         if hit is None:
             if len(cache) > 64:

@@ -29,6 +29,15 @@ def ge(a: Column, b) -> Column:
     return (a >= b) & ~F.isnan(a)
 
 
+def exact_avg(c: Column) -> Column:
+    """Mean that does not depend on the order of the rows: the values are
+    summed as fixed-point numbers of nine decimals and divided once. A value
+    that no fixed-point number can hold (NaN, infinite) makes the mean NaN."""
+    fixed = c.try_cast("decimal(28,9)")
+    mean = F.sum(fixed).cast("double") / F.nullif(F.count(c), F.lit(0))
+    return F.when(F.count_if(c.isNotNull() & fixed.isNull()) > 0, lit_d(float("nan"))).otherwise(mean)
+
+
 def sq(c: Column) -> Column:
     return c * c
 

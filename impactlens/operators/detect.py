@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_THRESHOLDS, RISK_WEIGHT_DEFAULT, RISK_WEIGHTS, Thresholds
 from ..functions.cache import session_cached
 from ..functions.columns import ge, gt, lit_d
+from ..functions.sqlfuncs import risk_category_sql
 
 PROFILES = ("message", "batch")
 
@@ -142,10 +143,7 @@ def risk_category(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFr
 
 @session_cached
 def risk_category_column(thr: Thresholds = DEFAULT_THRESHOLDS) -> Column:
-    return (F.when(ge(F.col("gyro_magnitude"), thr.rollover), F.lit("ROLLOVER_RISK"))
-            .when(ge(F.abs(F.col("gyro_z")), thr.spinning), F.lit("SPINNING_RISK"))
-            .when(ge(F.col("lateral_g_force"), thr.lateral), F.lit("SIDE_IMPACT_RISK"))
-            .otherwise(F.lit("NORMAL_RISK")))
+    return F.expr(risk_category_sql("gyro_magnitude", "gyro_z", "lateral_g_force", thr))
 
 
 def triage(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
@@ -153,6 +151,13 @@ def triage(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     return df.withColumns(_triage_columns(thr))
 
 
+def triage_queue(df: DataFrame, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
+    """Crashes (``is_crash``) as triage hands them on: most severe first, then
+    by reported g; the message id breaks ties where there is one."""
+    out = triage(df.filter(F.col("is_crash")), thr)
+    return out.orderBy("severity_priority", F.desc("g_force"), "message_id")
+
+
 @session_cached
 def _triage_columns(thr: Thresholds) -> dict:
     g, speed = F.col("g_force"), F.col("speed_mph")

@@ -1,6 +1,11 @@
 """Cross-checks across a whole table: reported vs derived g, GPS vs
 vehicle speed, trip distance between consecutive fixes, magnetic-field
 anomalies against each vehicle's baseline.
+
+Messages without a vin come from vehicles that are not known: they are
+reported as one group with a null vin, counted and compared with that
+group's mean, but never chained - no segment joins two of them. No
+operator needs a message id; ids only break ties of event time.
 """
 
 from __future__ import annotations
@@ -8,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import gt, haversine_m
+from ..functions.columns import exact_avg, gt, haversine_m
 from .enrich import with_leaves
 
 
@@ -20,10 +25,17 @@ def g_force_reconciliation(df: DataFrame, tolerance: float = 0.5) -> DataFrame:
         F.count(F.lit(1)).alias("messages"),
         F.count_if(gt(diff, tolerance)).alias("mismatches"),
         (F.count_if(gt(diff, tolerance)) / F.count(F.lit(1))).alias("mismatch_rate"),
-        F.avg(diff).alias("avg_abs_diff"),
+        exact_avg(diff).alias("avg_abs_diff"),
     )
 
 
+def g_force_mismatches(df: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """The messages behind the mismatches of :func:`g_force_reconciliation`."""
+    diff = F.abs(F.col("g_force") - F.col("total_g_force"))
+    return df.filter(gt(diff, tolerance)).select(
+        "message_id", "policy_id", "vin", "g_force", "total_g_force", diff.alias("abs_diff"))
+
+
 def speed_reconciliation(df: DataFrame, tolerance_mph: float = 5.0) -> DataFrame:
     """Per policy: GPS speed (converted to mph) against the vehicle speed,
     over messages that carry a GPS speed."""
@@ -32,7 +44,7 @@ def speed_reconciliation(df: DataFrame, tolerance_mph: float = 5.0) -> DataFrame
     return fixes.groupBy("policy_id").agg(
         F.count(F.lit(1)).alias("fixes"),
         F.count_if(gt(diff, tolerance_mph)).alias("mismatches"),
-        F.avg(diff).alias("avg_abs_diff_mph"),
+        exact_avg(diff).alias("avg_abs_diff_mph"),
         F.max(diff).alias("max_abs_diff_mph"),
     )
 
@@ -55,7 +67,8 @@ def trip_distance(df: DataFrame, partitions: int | None = None) -> DataFrame:
        windowed per vehicle in partition order to add the segment crossing
        each partition boundary, then totalled.
 
-    No join, no per-vehicle collection.
+    No join, no per-vehicle collection. Fixes without a vin are counted, but
+    form no segment.
     """
     df = with_leaves(df, ("gps_lat", "gps_lon", "has_gps"))
     fixes = (df.filter(F.col("has_gps"))
@@ -69,7 +82,8 @@ def trip_distance(df: DataFrame, partitions: int | None = None) -> DataFrame:
     ranged = (fixes.repartitionByRange(partitions, *keys) if partitions
               else fixes.repartitionByRange(*keys)).withColumn("part", F.spark_partition_id())
     w1 = Window.partitionBy("vin", "part").orderBy("t", "mid", "uid")
-    seg = haversine_m(F.lag("lat").over(w1), F.lag("lon").over(w1), F.col("lat"), F.col("lon"))
+    known = F.col("vin").isNotNull()
+    seg = F.when(known, haversine_m(F.lag("lat").over(w1), F.lag("lon").over(w1), F.col("lat"), F.col("lon")))
     order_key = F.struct("t", "mid", "uid")
     point = F.struct("lat", "lon")
     groups = ranged.withColumn("seg", seg).groupBy("vin", "part").agg(
@@ -82,7 +96,7 @@ def trip_distance(df: DataFrame, partitions: int | None = None) -> DataFrame:
     )
     w2 = Window.partitionBy("vin").orderBy("part")
     prev = F.lag("last").over(w2)
-    cross = haversine_m(prev["lat"], prev["lon"], F.col("first.lat"), F.col("first.lon"))
+    cross = F.when(known, haversine_m(prev["lat"], prev["lon"], F.col("first.lat"), F.col("first.lon")))
     return groups.withColumn("cross", cross).groupBy("vin").agg(
         F.sum("fixes").alias("fixes"),
         (F.sum("segments") + F.count("cross")).alias("segments"),
@@ -92,24 +106,21 @@ def trip_distance(df: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
-def magnetic_anomalies(df: DataFrame, threshold: float = 50.0, salts: int = 32) -> DataFrame:
+def magnetic_anomalies(df: DataFrame, threshold: float = 50.0) -> DataFrame:
     """Messages whose field magnitude deviates from the vehicle's mean
     magnitude by more than ``threshold``.
 
-    The baseline is a partial-then-final aggregate (one row per vehicle).
-    The join back is salted: each message gets ``salt = hash(message_id) %
-    salts`` and the baseline is replicated once per salt value, so a vehicle
-    holding a large share of the messages is spread over up to ``salts``
-    join tasks, while the replicated side stays vehicles x salts rows.
-    Adaptive execution still broadcasts the baseline when it is measured
-    small.
+    The baseline is a partial-then-final aggregate (one row per vehicle)
+    joined back on the null-safe vin. Spark broadcasts it where its measured
+    size allows; otherwise both sides of the sort-merge join are plain
+    exchanges, so adaptive execution splits a vehicle that holds a large share
+    of the messages without copying any other vehicle's baseline.
     """
     rows = df.filter(F.col("has_magnetometer"))
-    base = rows.groupBy("vin").agg(F.avg("mag_magnitude").alias("baseline_magnitude"))
-    base = base.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    msgs = rows.select("message_id", "vin", "mag_magnitude").withColumn(
-        "salt", F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int"))
+    base = rows.groupBy(F.col("vin").alias("base_vin")).agg(
+        exact_avg(F.col("mag_magnitude")).alias("baseline_magnitude"))
     dev = F.abs(F.col("mag_magnitude") - F.col("baseline_magnitude"))
-    return (msgs.join(base, ["vin", "salt"]).drop("salt")
+    return (rows.select("message_id", "vin", "mag_magnitude")
+            .join(base, F.col("vin").eqNullSafe(F.col("base_vin"))).drop("base_vin")
             .withColumn("deviation", dev)
             .filter(gt(F.col("deviation"), threshold)))

@@ -29,10 +29,22 @@ def test_row_level_jobs_do_not_shuffle_by_key(spark, sf_small, name):
 
 def test_aggregations_combine_map_side(spark, sf_small):
     plan = _plan(entry.queries()["driving_stats"](spark, sf_small))
-    assert "partial_avg" in plan and "partial_count" in plan
+    assert "partial_sum" in plan and "partial_count" in plan
     assert len(_hash_exchanges(plan)) == 1
 
 
+def test_no_query_deals_rows_round_robin(spark, sf_small):
+    from impactlens.plans.catalog import QUERIES
+
+    for name in ("crashes_message", "quarantine", "magnetic_anomalies", "driving_stats", "trip_distance"):
+        assert "RoundRobin" not in _plan(QUERIES[name](spark, sf_small))
+
+
+def test_quarantine_reads_once(spark, sf_small):
+    plan = _plan(entry.queries()["quarantine"](spark, sf_small))
+    assert plan.count("FileScan") == 1 and _hash_exchanges(plan) == []
+
+
 def test_trip_distance_shuffles(spark, sf_small):
     """One range shuffle on the ordering key, (vin, part) once for the fix
     window and the group reduction, vin once for the boundary window and the
