@@ -29,11 +29,15 @@ RISK_WEIGHTS = (
     ("SUDDEN_STOP", 0.7),
 )
 RISK_WEIGHT_DEFAULT = 0.1
-# Default archive partition layout.
-TELEMETRY_PARTITIONS = ("policy_id", "year", "month", "date")
+# Archive partition layouts by policy and by severity.
+POLICY_FIRST_PARTITIONS = ("policy_id", "year", "month", "date")
 REPORT_PARTITIONS = ("severity_level", "report_date")
 # ---------------------------------------------------------------------------
 
+# Default layout: by date alone. With the policy first, a fleet makes one
+# folder per policy and day; ask for POLICY_FIRST_PARTITIONS to get that.
+TELEMETRY_PARTITIONS = ("year", "month", "date")
+
 
 @dataclass(frozen=True)
 class Thresholds:

@@ -82,5 +82,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused folder under the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/impactlens/{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused folder under the shared checkpoint root; it goes
+    when the driver ends."""
+    path = f"{checkpoint_root(spark)}/impactlens/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

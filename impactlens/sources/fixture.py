@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 # Street names cycled by event_id % 4.
-STREETS = ("Peachtree St", "Main St", "Oak Ave", "5th Ave")
+STREETS = ("Harbour Rd", "Main St", "Oak Ave", "5th Ave")
 
 
 def _case(default: str, overrides: dict) -> str:
@@ -36,7 +36,7 @@ _SPEED = _case("5.1D + ((i * 7) % 700) / 10.0D", {(5, 21, 29): "3.0D", 35: "5.0D
 # Spark SQL expressions over i = event_id, p = i % 50, ts (UTC timestamp);
 # literals carry the D suffix so every operation is double arithmetic.
 _FLAT = {
-    "policy_id": "CASE WHEN p IN (20, 32) THEN NULL ELSE concat('IMC-', CAST(user_id AS STRING)) END",
+    "policy_id": "CASE WHEN p IN (20, 32) THEN NULL ELSE concat('POL-', CAST(user_id AS STRING)) END",
     "vin": "concat('VIN', lpad(CAST(user_id AS STRING), 14, '0'))",
     "timestamp": """CASE WHEN p = 41 THEN 'not-a-time' WHEN p = 43 THEN '2024-01-05'
         WHEN p = 44 THEN concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '+02:00')
@@ -108,20 +108,9 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
     return flat.selectExpr(*_NESTED)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an input that arrives in fewer splits than there are
-    cores (a small file with a single row group), so the per-row projections
-    run on every core. An input with at least one split per core - any large
-    table - is returned unchanged: no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    return spread(ev.select("event_id", "ts", "user_id"))
+    return ev.select("event_id", "ts", "user_id")
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,3 +195,28 @@ def as_json_layouts(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
     msgs = F.array(*[F.struct(F.lit(name).alias("layout"), json_text(df, name).alias("value"))
                      for name in layouts])
     return df.select(F.inline(msgs))
+
+
+#: Messages are damaged by ``message_id % DAMAGE``; most remainders stay whole.
+DAMAGE = 23
+
+
+def damaged(df: DataFrame) -> DataFrame:
+    """JSON messages (``message_id`` beside ``value``) as faulty devices send
+    them: cut off (1), an empty string for a number (2), an integer for a
+    boolean (3), without sensors (4), accelerometer (5), gyroscope (6),
+    magnetometer (7), a word for a number (8), without device (9), vin (10)
+    or policy (11)."""
+    k, v = F.pmod(F.col("message_id"), F.lit(DAMAGE)), F.col("value")
+    gone = lambda name: F.replace(v, F.lit(f'"{name}":'), F.lit(f'"no_{name}":'))
+    g_force = lambda text: F.regexp_replace(v, '"g_force":[^,]+', f'"g_force":"{text}"')
+    out = F.when(k == 1, F.substring(v, 1, 1)).when(k == 2, g_force("")).when(k == 3, F.regexp_replace(
+        v, '"screen_on":(true|false)', '"screen_on":1')).when(k == 8, g_force("fast"))
+    for rest, name in ((4, "sensors"), (5, "accelerometer"), (6, "gyroscope"), (7, "magnetometer"),
+                       (9, "device"), (10, "vin"), (11, "policy_id")):
+        out = out.when(k == rest, gone(name))
+    return df.withColumn("value", out.otherwise(v))
+
+
+def as_damaged_json(df: DataFrame) -> DataFrame:
+    return damaged(df.select("message_id", json_text(df, "code").alias("value"))).select("value")

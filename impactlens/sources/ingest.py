@@ -37,7 +37,9 @@ class _Coerce:
         self.errors: list[Column] = []
 
     def _bad(self, text: Column, parsed: Column) -> None:
-        self.errors.append(text.isNotNull() & parsed.isNull())
+        """Text that is there, is not empty and does not parse is an error;
+        an empty string counts as null."""
+        self.errors.append((F.trim(text) != "") & parsed.isNull())
 
     def num(self, text: Column, primitive: bool = False) -> Column:
         v = F.trim(text).try_cast("double")
@@ -52,7 +54,9 @@ class _Coerce:
 
     def bool_(self, text: Column) -> Column:
         t = F.lower(F.trim(text))
-        v = F.when(t == "true", F.lit(True)).when(t == "false", F.lit(False))
+        # An integer is a boolean too: 0 is false, any other true.
+        v = (F.when(t == "true", F.lit(True)).when(t == "false", F.lit(False))
+             .otherwise(t.try_cast("long") != 0))
         self._bad(text, v)
         return v
 

@@ -17,15 +17,22 @@ and merging small ones so each directory gets few, large files.
 
 from __future__ import annotations
 
+import logging
+from typing import NamedTuple
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from ..config import REPORT_PARTITIONS, StorageConfig
 from ..functions.columns import gt, parse_event_time
 from ..operators.report import flatten
 from ..operators.stats import with_dates
-from ..schema import CRASH_REPORT
+from ..schema import CRASH_REPORT, TELEMETRY
+
+log = logging.getLogger(__name__)
 
 _MODES = {"append": "append", "overwrite": "overwrite", "ignore": "ignore",
           "error": "error", "errorifexists": "error"}
@@ -75,35 +82,54 @@ def archive_telemetry(df: DataFrame, cfg: StorageConfig) -> str | None:
     return cfg.path
 
 
-def archive_with_fallback(df: DataFrame, cfg: StorageConfig, batch_id: str | int) -> str | None:
-    """Primary archive; on failure unpartitioned JSON keyed by ``batch_id``
-    (a re-run of the same batch overwrites its own fallback, never duplicates)."""
+class Archived(NamedTuple):
+    """Where a batch went, and why not to the archive if it did not."""
+
+    path: str | None
+    fallback: bool = False
+    cause: str | None = None
+
+
+def archive_with_fallback(df: DataFrame, cfg: StorageConfig, batch_id: str | int) -> Archived:
+    """Primary archive; if that write fails, unpartitioned JSON keyed by
+    ``batch_id`` (a re-run of the same batch overwrites its own fallback, never
+    duplicates). Faults of the frame itself (a wrong column, an unknown save
+    mode) are raised, as no write would mend them."""
+    telemetry_for_archive(df).schema  # analyses the frame
+    save_mode(cfg.mode)
     try:
-        return archive_telemetry(df, cfg)
-    except Exception:  # noqa: BLE001 - any write failure triggers the fallback
+        return Archived(archive_telemetry(df, cfg))
+    except (Py4JJavaError, PySparkException) as e:
         path = f"{cfg.path.rstrip('/')}/fallback/{batch_id}"
+        log.warning("archive of batch %s failed, writing %s: %s", batch_id, path, e)
         df.withColumn("write_timestamp", F.current_timestamp()).write.mode("overwrite").json(path)
-        return path
+        return Archived(path, True, str(e))
 
 
-def archive_crash_reports(reports: DataFrame, path: str, fmt: str = "parquet",
-                          mode: str = "append") -> str:
+def archive_crash_reports(reports: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
+                          compression: str | None = "snappy", partitioning_enabled: bool = True,
+                          enabled: bool = True) -> str | None:
     """Reports under ``<path>/crash-reports`` partitioned by severity and
-    UTC report date (taken from the crash's event time)."""
+    UTC report date (taken from the crash's event time); ``None`` when
+    storage is disabled."""
+    if not enabled:
+        return None
     t = parse_event_time(F.col("crash_timestamp"))
     out = reports.withColumns({"report_date": F.date_format(t, "yyyy-MM-dd"),
                                "report_hour": F.date_format(t, "HH")})
     fmt = fmt.lower() if fmt and fmt.lower() in ("parquet", "json") else "parquet"
+    if fmt == "json" and compression == "snappy":
+        compression = "gzip"  # a snappy text stream needs native libraries to read
     target = f"{path.rstrip('/')}/crash-reports"
-    _write(out, target, fmt, list(REPORT_PARTITIONS), None, mode)
+    _write(out, target, fmt, list(REPORT_PARTITIONS) if partitioning_enabled else [], compression, mode)
     return target
 
 
 def publish_crash_reports(reports: DataFrame) -> DataFrame:
     """One JSON document per report in a ``value`` column (for a text,
-    file or message-broker sink)."""
+    file or message-broker sink). Null fields are written as null."""
     cols = [c for c in (f.name for f in CRASH_REPORT.fields) if c in reports.columns]
-    return reports.select(F.to_json(F.struct(*cols)).alias("value"))
+    return reports.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def accident_alerts(df: DataFrame, threshold_g: float = 4.0) -> DataFrame:
@@ -123,12 +149,26 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").parquet(path)
 
 
-def read_archive(spark, path: str, partition_cols=(), fmt: str = "parquet") -> DataFrame:
-    """Reads an archive back with partition values kept as the strings
-    they were written as (``month=01`` stays ``"01"``)."""
-    reader = spark.read.format(fmt)
-    inferred = reader.load(path).schema
-    fields = [f for f in inferred.fields if f.name not in partition_cols]
+def telemetry_archive_schema() -> StructType:
+    """Columns of :func:`archive_telemetry`'s files and folders."""
+    dates = [StructField(c, StringType()) for c in ("date", "hour", "year", "month")]
+    return StructType([*TELEMETRY.fields, StructField("event_time", TimestampType()), *dates,
+                       StructField("processed_timestamp", TimestampType())])
+
+
+def report_archive_schema() -> StructType:
+    """Columns of :func:`archive_crash_reports`'s files and folders."""
+    return StructType([*CRASH_REPORT.fields, StructField("message_id", LongType()),
+                       StructField("report_date", StringType()), StructField("report_hour", StringType())])
+
+
+def read_archive(spark, path: str, partition_cols=(), fmt: str = "parquet",
+                 schema: StructType | None = None) -> DataFrame:
+    """Reads an archive back, partition values as the strings they were
+    written as (``month=01`` stays ``"01"``). The schema is known (telemetry
+    by default), so the folder is listed once and nothing is inferred."""
+    fields = (schema or telemetry_archive_schema()).fields
+    fields = [f for f in fields if f.name not in partition_cols]
     fields += [StructField(c, StringType(), True) for c in partition_cols]
     return spark.read.format(fmt).schema(StructType(fields)).load(path)
 

@@ -2,10 +2,11 @@
 
 import os
 
+import pytest
 from helpers import analysed, frame, message
 from pyspark.sql import functions as F
 
-from impactlens.config import StorageConfig
+from impactlens.config import POLICY_FIRST_PARTITIONS, StorageConfig
 from impactlens.operators.report import crash_reports
 from impactlens.schema import CRASH_REPORT
 from impactlens.sources.ingest import parse_telemetry, prepare
@@ -21,7 +22,7 @@ def _good(spark, docs):
 def test_default_layout_keeps_string_partitions(spark, tmp_path):
     good = _good(spark, [message(1), message(2, policy_id=None)])
     path = str(tmp_path / "t")
-    assert archive_telemetry(good, StorageConfig(path=path, mode="APPEND")) == path
+    assert archive_telemetry(good, StorageConfig(path=path, mode="APPEND", partition_cols=POLICY_FIRST_PARTITIONS)) == path
     assert os.path.isdir(f"{path}/policy_id=TEST-POLICY/year=2024/month=07/date=2024-07-24")
     back = read_archive(spark, path, ("policy_id", "year", "month", "date"))
     rows = {r["message_id"]: r for r in back.collect()}
@@ -44,16 +45,25 @@ def test_formats(spark, tmp_path):
     assert save_mode("Append") == "append" and save_mode("ErrorIfExists") == "error"
 
 
-def test_fallback(spark, tmp_path):
+def test_fallback(spark, tmp_path, caplog):
     good = _good(spark, [message(1), message(2)])
     base = str(tmp_path / "fb")
-    path = archive_with_fallback(good, StorageConfig(path=base, fmt="delta"), batch_id=7)
-    assert path == f"{base}/fallback/7"
-    back = spark.read.json(path)
+    good.write.parquet(base)
+    taken = StorageConfig(path=base, mode="error")
+    got = archive_with_fallback(good, taken, batch_id=7)
+    assert got.path == f"{base}/fallback/7" and got.fallback and "fallback/7" in caplog.text
+    back = spark.read.json(got.path)
     assert back.count() == 2 and "write_timestamp" in back.columns
     # a retry of the same batch replaces its own fallback output
-    archive_with_fallback(good, StorageConfig(path=base, fmt="delta"), batch_id=7)
-    assert spark.read.json(path).count() == 2
+    archive_with_fallback(good, taken, batch_id=7)
+    assert spark.read.json(got.path).count() == 2
+    fine = archive_with_fallback(good, StorageConfig(path=str(tmp_path / "ok")), batch_id=8)
+    assert fine == (str(tmp_path / "ok"), False, None)
+    # faults of the frame are no write failures
+    with pytest.raises(Exception):
+        archive_with_fallback(good.drop("event_time"), taken, batch_id=9)
+    with pytest.raises(ValueError):
+        archive_with_fallback(good, StorageConfig(path=base, mode="sometimes"), batch_id=9)
 
 
 def test_reports_partitions_and_published_json(spark, tmp_path):
@@ -61,7 +71,11 @@ def test_reports_partitions_and_published_json(spark, tmp_path):
     reports, _ = crash_reports(df, "message")
     target = archive_crash_reports(reports, str(tmp_path / "r"))
     assert os.path.isdir(f"{target}/severity_level=CRITICAL/report_date=2024-07-24")
+    flat = archive_crash_reports(reports, str(tmp_path / "j"), fmt="json", partitioning_enabled=False)
+    assert not [f for f in os.listdir(flat) if "=" in f] and any(f.endswith(".json.gz") for f in os.listdir(flat))
+    assert archive_crash_reports(reports, str(tmp_path / "off"), enabled=False) is None
     pub = publish_crash_reports(reports)
+    assert all('"accuracy_meters":null' in r.value for r in pub.collect())
     assert pub.columns == ["value"]
     back = spark.read.schema(CRASH_REPORT).json(pub.rdd.map(lambda r: r.value))
     assert back.count() == 2
