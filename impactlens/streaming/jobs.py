@@ -1,24 +1,27 @@
 """Structured Streaming jobs.
 
-The same DataFrame operators run on a streaming source: messages land as
-JSON-lines files (or any source with a string ``value`` column), are
-parsed, quarantined, enriched and judged in one narrow stage, then fan out
-to three file sinks, each with its own checkpoint (exactly once per sink):
-the telemetry archive, crash reports and quarantined messages.
+The same DataFrame operators run on any streaming source with a string
+``value`` column: a streaming DataFrame (a message broker, a socket, files),
+or the path of a folder in which messages land as JSON lines. Every message
+is parsed and judged once; the outputs are written per micro-batch from that
+one result, each under its batch id, so a replayed batch replaces its own
+output and nothing is written twice.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT_THRESHOLDS, Thresholds
+from ..functions.columns import exact_avg
 from ..operators.detect import analyse, crash_condition, crash_type, risk_weight_of
 from ..operators.report import crash_reports, unbuildable_reason
-from ..sources.ingest import prepare, quarantine_reason, read_telemetry, with_event_time
+from ..sources.ingest import (
+    parse_telemetry, prepare, quarantine_reason, read_telemetry, with_event_time)
 from ..sources.sinks import accident_alerts, publish_crash_reports, telemetry_for_archive
 
 TRIGGER_INTERVAL = "2 seconds"
@@ -26,19 +29,20 @@ WINDOW = "30 seconds"
 
 
 def windowed_driving_stats(df: DataFrame, window: str = WINDOW,
-                           watermark: str | None = "10 minutes") -> DataFrame:
+                           watermark: str | None = "10 minutes",
+                           thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     """Driving statistics of non-crash (batch profile) rows per policy and
     tumbling event-time window. With a watermark it runs on streams in
     append mode (a window is emitted once it can no longer change)."""
     if watermark:
         df = df.withWatermark("event_time", watermark)
-    normal = df.filter(~crash_condition("batch")).withColumn(
-        "risk_weight", risk_weight_of(crash_type("batch")))
+    normal = df.filter(~crash_condition("batch", thr)).withColumn(
+        "risk_weight", risk_weight_of(crash_type("batch", thr)))
     out = normal.groupBy(F.window("event_time", window).alias("w"), "policy_id").agg(
-        F.avg("speed_mph").alias("avg_speed"),
+        exact_avg(F.col("speed_mph")).alias("avg_speed"),
         F.max("g_force").alias("max_g_force"),
         F.min("g_force").alias("min_g_force"),
-        F.avg("risk_weight").alias("avg_risk_score"),
+        exact_avg(F.col("risk_weight")).alias("avg_risk_score"),
         F.count(F.lit(1)).alias("message_count"),
     )
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
@@ -53,17 +57,46 @@ def observed(df: DataFrame, name: str = "telemetry") -> DataFrame:
 
 
 @dataclass
-class StreamHandles:
-    archive: StreamingQuery
-    reports: StreamingQuery
-    quarantine: StreamingQuery
+class FanOut:
+    """A running fan-out and the folders of its outputs."""
 
-    def all(self) -> list[StreamingQuery]:
-        return [self.archive, self.reports, self.quarantine]
+    query: StreamingQuery
+    telemetry: str
+    reports: str
+    quarantine: str
 
     def await_all(self) -> None:
-        for q in self.all():
-            q.awaitTermination()
+        self.query.awaitTermination()
+
+    def metrics(self) -> list[dict]:
+        """Observed counts of the micro-batches that ran lately."""
+        seen = [p["observedMetrics"]["telemetry"] for p in self.query.recentProgress
+                if p.get("observedMetrics")]
+        return [{"messages": m["messages"], "crashes": m["crashes"]} for m in seen]
+
+
+def _source(spark: SparkSession, source: str | DataFrame,
+            max_files_per_trigger: int | None = None) -> DataFrame:
+    """Canonical telemetry from a folder, or from a DataFrame with ``value``."""
+    if isinstance(source, DataFrame):
+        return parse_telemetry(source)
+    return read_telemetry(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
+
+
+def judge(df: DataFrame, profile: str = "message", thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
+    """Telemetry with event time, all judgements and two reasons:
+    ``ingest_reason`` (the message is bad) and ``reason`` (that, or why the
+    report of a crash cannot be built)."""
+    tagged = df if "event_time" in df.columns else with_event_time(df)
+    judged = analyse(tagged.withColumn("ingest_reason", quarantine_reason(tagged)), profile, thr)
+    return judged.withColumn("reason", F.coalesce(
+        "ingest_reason", F.when(F.col("is_crash"), unbuildable_reason())))
+
+
+def quarantined(df: DataFrame, profile: str = "message", thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
+    """Every message that is kept out of an output, with its reason, in one
+    pass over the source."""
+    return judge(df, profile, thr).filter(F.col("reason").isNotNull())
 
 
 def _trigger(writer, available_now: bool, interval: str):
@@ -71,82 +104,96 @@ def _trigger(writer, available_now: bool, interval: str):
         processingTime=interval)
 
 
-def start_crash_fanout(spark: SparkSession, source: str, out: str, checkpoints: str,
-                         profile: str = "message", available_now: bool = False,
-                         max_files_per_trigger: int | None = None,
-                         thr: Thresholds = DEFAULT_THRESHOLDS,
-                         partition_cols: tuple[str, ...] = ("date",),
-                         interval: str = TRIGGER_INTERVAL) -> StreamHandles:
-    """Starts the fan-out: archive everything, report crashes, keep bad
-    messages. Paths: ``out/telemetry``, ``out/reports``, ``out/quarantine``."""
-    raw = read_telemetry(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
-    good, _ = prepare(raw)
-    analysed = observed(analyse(good, profile, thr))
-    reports, _ = crash_reports(analysed, profile, keep=("message_id",), thr=thr)
-    # One branch for the quarantine sink: the ingest reason, else the reason
-    # a crash's report cannot be built (reading the source once per batch).
-    tagged = with_event_time(raw)
-    tagged = tagged.withColumn("reason", quarantine_reason(tagged))
-    judged_all = analyse(tagged, profile, thr)
-    reason = F.coalesce(F.col("reason"), F.when(F.col("is_crash"), unbuildable_reason()))
-    quarantined = (judged_all.select("message_id", reason.alias("reason"), "value")
-                   .filter(F.col("reason").isNotNull()))
-
-    arch = telemetry_for_archive(good)
-    w1 = (arch.writeStream.format("parquet").option("path", f"{out}/telemetry")
-          .option("checkpointLocation", f"{checkpoints}/telemetry")
-          .partitionBy(*partition_cols).outputMode("append"))
-    w2 = (reports.drop("processed_timestamp").writeStream.format("parquet")
-          .option("path", f"{out}/reports")
-          .option("checkpointLocation", f"{checkpoints}/reports").outputMode("append"))
-    w3 = (quarantined.writeStream.format("parquet").option("path", f"{out}/quarantine")
-          .option("checkpointLocation", f"{checkpoints}/quarantine").outputMode("append"))
-    return StreamHandles(
-        archive=_trigger(w1, available_now, interval).queryName("impactlens_archive").start(),
-        reports=_trigger(w2, available_now, interval).queryName("impactlens_reports").start(),
-        quarantine=_trigger(w3, available_now, interval).queryName("impactlens_quarantine").start(),
-    )
+def start_crash_fanout(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
+                       profile: str = "message", available_now: bool = False,
+                       max_files_per_trigger: int | None = None,
+                       thr: Thresholds = DEFAULT_THRESHOLDS,
+                       partition_cols: tuple[str, ...] = ("date",),
+                       interval: str = TRIGGER_INTERVAL) -> FanOut:
+    """Archives everything good, reports crashes and keeps bad messages, each
+    under ``batch_id=N`` of its folder. A micro-batch is parsed and judged
+    once and held while its three outputs are written. ``interval`` also sets
+    how large the archive's files become."""
+    helpers = ("_corrupt_record", "_type_error", "value")
+    raw = _source(spark, source, max_files_per_trigger)
+    stored = [c for c in raw.columns if c not in helpers] + ["event_time"]
+    judged = observed(judge(raw, profile, thr))
+    found = FanOut(None, f"{out}/telemetry", f"{out}/reports", f"{out}/quarantine")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            good = batch.filter(F.col("ingest_reason").isNull())
+            reports, _ = crash_reports(good.drop("reason"), profile, keep=("message_id",), thr=thr)
+            bad = batch.filter(F.col("reason").isNotNull()).select("message_id", "reason", "value")
+            for df, folder, parts in ((telemetry_for_archive(good.select(*stored)), found.telemetry, partition_cols),
+                                      (reports.drop("processed_timestamp"), found.reports, ()),
+                                      (bad, found.quarantine, ())):
+                (df.write.mode("overwrite").partitionBy(*parts)
+                 .parquet(f"{folder}/batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
+
+    w = judged.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    found.query = _trigger(w, available_now, interval).queryName("impactlens_fanout").start()
+    return found
 
 
-def start_windowed_stats(spark: SparkSession, source: str, out: str, checkpoint: str,
+def start_windowed_stats(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
                          available_now: bool = False, watermark: str = "10 minutes",
-                         window: str = WINDOW) -> StreamingQuery:
-    raw = read_telemetry(spark, source, streaming=True)
-    good, _ = prepare(raw)
-    stats = windowed_driving_stats(analyse(good, "batch"), window, watermark)
-    w = (stats.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint).outputMode("append"))
+                         window: str = WINDOW, thr: Thresholds = DEFAULT_THRESHOLDS,
+                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Windowed statistics. Each micro-batch writes every window it changed
+    (update mode), the latest ones included; :func:`read_windowed_stats` reads
+    the last state of each. The watermark only bounds what is kept in memory:
+    rows later than it still reach the archive and count in
+    ``numRowsDroppedByWatermark`` of the query's progress."""
+    good, _ = prepare(_source(spark, source, max_files_per_trigger))
+    stats = windowed_driving_stats(analyse(good, "batch", thr), window, watermark, thr)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    w = stats.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, TRIGGER_INTERVAL).queryName("impactlens_window_stats").start()
 
 
-def start_report_feed(spark: SparkSession, source: str, out: str, checkpoint: str,
-                      available_now: bool = False) -> StreamingQuery:
+def read_windowed_stats(spark: SparkSession, out: str) -> DataFrame:
+    """The last state of every window and policy."""
+    rows = spark.read.parquet(out)
+    last = Window.partitionBy("window_start", "policy_id").orderBy(F.desc("batch_id"))
+    return (rows.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") == 1)
+            .drop("_n", "batch_id"))
+
+
+def start_report_feed(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
+                      available_now: bool = False, profile: str = "message",
+                      thr: Thresholds = DEFAULT_THRESHOLDS) -> StreamingQuery:
     """Crash reports as JSON documents (text sink, one document per line)."""
-    raw = read_telemetry(spark, source, streaming=True)
-    good, _ = prepare(raw)
-    reports, _ = crash_reports(analyse(good, "message"), "message")
+    good, _ = prepare(_source(spark, source))
+    reports, _ = crash_reports(analyse(good, profile, thr), profile, thr=thr)
     w = (publish_crash_reports(reports).writeStream.format("text").option("path", out)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     return _trigger(w, available_now, TRIGGER_INTERVAL).start()
 
 
-def start_foreach_batch(spark: SparkSession, source: str, handler, checkpoint: str,
+def start_foreach_batch(spark: SparkSession, source: str | DataFrame, handler, checkpoint: str,
                         profile: str = "message", available_now: bool = False,
                         max_files_per_trigger: int | None = None,
-                        interval: str = TRIGGER_INTERVAL) -> StreamingQuery:
+                        interval: str = TRIGGER_INTERVAL,
+                        thr: Thresholds = DEFAULT_THRESHOLDS) -> StreamingQuery:
     """Hands each micro-batch to ``handler(reports, alerts, batch_id)`` for
     targets that have no native streaming sink (a message broker, a JDBC
     table). The judged batch is persisted while the handler writes its
     outputs and released afterwards. Delivery is at least once: the handler
     must write idempotently per ``batch_id`` (e.g. overwrite a batch key)."""
-    raw = read_telemetry(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
-    good, _ = prepare(raw)
-    judged = analyse(good, profile)
+    good, _ = prepare(_source(spark, source, max_files_per_trigger))
+    judged = analyse(good, profile, thr)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            reports, _ = crash_reports(batch, profile)
+            reports, _ = crash_reports(batch, profile, thr=thr)
             handler(reports, accident_alerts(batch), batch_id)
         finally:
             batch.unpersist()

@@ -30,9 +30,7 @@ def test_fan_out_and_restart(spark, tmp_path):
     assert spark.read.parquet(f"{out}/telemetry").count() == 3
     reasons = sorted(r["reason"] for r in spark.read.parquet(f"{out}/quarantine").collect())
     assert reasons == ["bad_timestamp", "malformed_json", "report_missing_policy_id"]
-    metrics = [p["observedMetrics"] for p in h.reports.recentProgress if p.get("observedMetrics")]
-    assert metrics and metrics[0]["telemetry"]["messages"] == 3
-    assert metrics[0]["telemetry"]["crashes"] == 2
+    assert h.metrics()[0] == {"messages": 5, "crashes": 2}
 
     # restart on the same checkpoint: nothing is reprocessed
     _run(spark, src, out, ckpt)
@@ -46,6 +44,37 @@ def test_fan_out_and_restart(spark, tmp_path):
     assert spark.read.parquet(f"{out}/telemetry").count() == 4
 
 
+def test_streaming_frame_and_thresholds(spark, tmp_path):
+    """A streaming DataFrame as the source; tuned thresholds reach every job."""
+    from impactlens.config import Thresholds
+    from impactlens.streaming.jobs import read_windowed_stats, start_windowed_stats
+
+    src = str(tmp_path / "src")
+    _write(src, "a.json", [message(1, g=3.0), message(2, g=5.0), message(3, ax=30.0)])
+    frame = spark.readStream.format("text").load(src)
+    low = Thresholds(g_force=2.5)
+    h = start_crash_fanout(spark, frame, str(tmp_path / "o"), str(tmp_path / "c"), available_now=True, thr=low)
+    h.await_all()
+    assert sorted(r["message_id"] for r in spark.read.parquet(h.reports).collect()) == [1, 2, 3]
+    for thr, count in ((Thresholds(), 2), (Thresholds(g_force=1.0), 0)):
+        out = str(tmp_path / f"w{count}")
+        frame = spark.readStream.format("text").load(src)
+        start_windowed_stats(spark, frame, out, out + "-c", available_now=True, thr=thr).awaitTermination()
+        assert sum(r["message_count"] for r in read_windowed_stats(spark, out).collect()) == count
+
+
+def test_windows_are_complete_over_batches(spark, tmp_path):
+    from impactlens.streaming.jobs import read_windowed_stats, start_windowed_stats
+
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    _write(src, "a.json", [message(1, speed=10.0)])
+    _write(src, "b.json", [message(2, speed=20.0), message(3, speed=20.0, timestamp="2024-07-24T10:39:00Z")])
+    start_windowed_stats(spark, src, out, str(tmp_path / "c"), available_now=True,
+                         max_files_per_trigger=1).awaitTermination()
+    got = sorted((r["message_count"], r["avg_speed"]) for r in read_windowed_stats(spark, out).collect())
+    assert got == [(1, 20.0), (2, 15.0)]
+
+
 def test_stream_equals_batch_query(spark, sf_small):
     import __spark_entry__ as entry
 
