@@ -15,26 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, TimestampType
 
-from ..config import StorageConfig
+from ..config import POLICY_FIRST_PARTITIONS, StorageConfig
 from ..operators import detect as det
 from ..operators.enrich import (
     LEAVES, PRESENCE, device_health, enrich, environment, gps_quality, heading, motion,
     with_leaves)
 from ..operators.reconcile import (
-    g_force_reconciliation, magnetic_anomalies, speed_reconciliation, trip_distance)
+    g_force_mismatches, g_force_reconciliation, magnetic_anomalies, speed_reconciliation, trip_distance)
 from ..operators.report import crash_alerts, crash_reports, flatten
 from ..operators.stats import (
     batch_summary, crash_events, crash_patterns, daily_counts, driving_stats, normal_events,
     preview, storage_stats, with_dates)
 from ..schema import CRASH_REPORT, TELEMETRY
 from ..session import ensure_utc, scratch_path
-from ..sources.fixture import as_json, as_json_layouts, telemetry
+from ..sources.fixture import as_damaged_json, as_json, as_json_layouts, telemetry
 from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_event_time
 from ..sources.sinks import (
     accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
-    publish_crash_reports, read_archive, stored_sample)
+    publish_crash_reports, read_archive, report_archive_schema, stored_sample)
 from ..streaming.jobs import (
-    start_crash_fanout, start_foreach_batch, start_windowed_stats, windowed_driving_stats)
+    judge, quarantined, read_windowed_stats, start_crash_fanout, start_foreach_batch,
+    start_windowed_stats, windowed_driving_stats)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -121,6 +122,11 @@ def q_risk_weight(spark, sf_dir):
     return df.select("message_id", "crash_type", "risk_weight")
 
 
+@query("risk_category")
+def q_risk_category(spark, sf_dir):
+    return det.risk_category(enrich(good_rows(spark, sf_dir))).select("message_id", "risk_category")
+
+
 @query("severity")
 def q_severity(spark, sf_dir):
     df = det.risk_weight(det.risk_score(enrich(good_rows(spark, sf_dir))))
@@ -183,10 +189,9 @@ def q_crash_alerts(spark, sf_dir):
 
 @query("crash_triage")
 def q_crash_triage(spark, sf_dir):
-    df = _analysed(spark, sf_dir, "batch").filter(F.col("is_crash"))
-    return (df.select("message_id", "policy_id", "g_force", "speed_mph",
-                      F.col("triage_type").alias("crash_type"), "severity_priority")
-            .orderBy("severity_priority", F.desc("g_force"), "message_id"))
+    df = det.triage_queue(det.detect(enrich(good_rows(spark, sf_dir)), "batch"))
+    return df.select("message_id", "policy_id", "g_force", "speed_mph",
+                     F.col("triage_type").alias("crash_type"), "severity_priority")
 
 
 # --- D: SQL analysis, aggregations, previews --------------------------------
@@ -256,11 +261,10 @@ def q_batch_summary(spark, sf_dir):
 
 @query("quarantine")
 def q_quarantine(spark, sf_dir):
+    """Every reason in one pass: the ingest reason, else why a crash's report
+    cannot be built."""
     ensure_utc(spark)
-    good, bad = prepare(telemetry(spark, sf_dir))
-    _, unbuildable = crash_reports(det.analyse(good, "message"), "message")
-    return (bad.select("message_id", "reason")
-            .unionByName(unbuildable.select("message_id", "reason")))
+    return quarantined(with_event_time(telemetry(spark, sf_dir))).select("message_id", "reason")
 
 
 @query("accident_alerts")
@@ -284,6 +288,12 @@ def q_g_force_reconciliation(spark, sf_dir):
     return df.select("policy_id", "messages", "mismatches", r6("mismatch_rate"), r6("avg_abs_diff"))
 
 
+@query("g_force_mismatches")
+def q_g_force_mismatches(spark, sf_dir):
+    return g_force_mismatches(motion(good_rows(spark, sf_dir))).select(
+        "message_id", "policy_id", "vin", "g_force", r6("total_g_force"), r6("abs_diff"))
+
+
 @query("speed_reconciliation")
 def q_speed_reconciliation(spark, sf_dir):
     df = speed_reconciliation(gps_quality(good_rows(spark, sf_dir)))
@@ -334,38 +344,100 @@ def q_json_layouts(spark, sf_dir):
     return _leaf_view(parsed.withColumn("reason", quarantine_reason(parsed)), "layout")
 
 
+@query("json_damaged")
+def q_json_damaged(spark, sf_dir):
+    """Messages as faulty devices send them: what is read, and every reason."""
+    ensure_utc(spark)
+    parsed = parse_telemetry(as_damaged_json(telemetry(spark, sf_dir)))
+    return with_leaves(judge(parsed)).select(
+        "message_id", "policy_id", "vin", "g_force", "screen_on", "has_magnetometer", "has_device", "reason")
+
+
 # --- A5-A8: sinks, read back -------------------------------------------------
 
-ROUNDTRIP_PARTITIONS = ("year", "month", "date")
+def _archived(spark, sf_dir, name, parts=("year", "month", "date"), **options):
+    """Writes and reads back one archive."""
+    path = scratch_path(spark, f"archive-{name}")
+    archive_telemetry(good_rows(spark, sf_dir), StorageConfig(path=path, partition_cols=parts, **options))
+    return read_archive(spark, path, parts if options.get("partitioning_enabled", True) else (),
+                        options.get("fmt", "parquet"))
 
 
 @query("archive_roundtrip")
 def q_archive_roundtrip(spark, sf_dir):
-    path = scratch_path(spark, "archive")
-    archive_telemetry(good_rows(spark, sf_dir),
-                      StorageConfig(path=path, partition_cols=ROUNDTRIP_PARTITIONS))
-    return stored_sample(read_archive(spark, path, ROUNDTRIP_PARTITIONS))
+    return stored_sample(_archived(spark, sf_dir, "parquet"))
+
+
+@query("archive_policy_first")
+def q_archive_policy_first(spark, sf_dir):
+    return stored_sample(_archived(spark, sf_dir, "policy", POLICY_FIRST_PARTITIONS))
+
+
+@query("archive_unpartitioned")
+def q_archive_unpartitioned(spark, sf_dir):
+    return stored_sample(_archived(spark, sf_dir, "flat", partitioning_enabled=False))
+
+
+@query("archive_json")
+def q_archive_json(spark, sf_dir):
+    return stored_sample(_archived(spark, sf_dir, "json", fmt="json", compression="gzip"))
+
+
+@query("archive_csv")
+def q_archive_csv(spark, sf_dir):
+    """CSV holds no structs: columns are flat, values text."""
+    path = scratch_path(spark, "archive-csv")
+    archive_telemetry(good_rows(spark, sf_dir), StorageConfig(path=path, fmt="csv", compression="gzip",
+                                                              partitioning_enabled=False))
+    df = spark.read.option("header", "true").csv(path)
+    return df.select(F.col("message_id").cast("long").alias("message_id"), "policy_id", "vin",
+                     F.col("g_force").cast("double").alias("g_force"),
+                     F.col("sensors_gps_lat").cast("double").alias("latitude"), "date", "hour")
 
 
 @query("archive_fallback")
 def q_archive_fallback(spark, sf_dir):
+    """The archive's folder exists already and must not: the write fails."""
     base = scratch_path(spark, "fallback")
-    # "delta" is not installed here, so the primary write fails.
-    written = archive_with_fallback(good_rows(spark, sf_dir),
-                                    StorageConfig(path=base, fmt="delta"), batch_id=0)
+    good = good_rows(spark, sf_dir)
+    good.limit(1).write.parquet(base)
+    written = archive_with_fallback(good, StorageConfig(path=base, mode="error"), batch_id=0)
+    if not written.fallback:
+        raise RuntimeError("the primary write should have failed")
     schema = StructType(TELEMETRY.fields + [StructField("event_time", TimestampType()),
                                             StructField("write_timestamp", TimestampType())])
-    return stored_sample(with_dates(spark.read.schema(schema).json(written)))
+    return stored_sample(with_dates(spark.read.schema(schema).json(written.path)))
 
 
 @query("reports_roundtrip")
 def q_reports_roundtrip(spark, sf_dir):
     reports, _ = crash_reports(_analysed(spark, sf_dir, "message"), "message")
     target = archive_crash_reports(reports, scratch_path(spark, "reports"))
-    back = read_archive(spark, target, ("severity_level", "report_date")).drop("processed_timestamp")
+    back = read_archive(spark, target, ("severity_level", "report_date"), schema=report_archive_schema())
+    back = back.drop("processed_timestamp")
+    return _round_headings(back.select(flatten(back)))
+
+
+@query("reports_json_flat")
+def q_reports_json_flat(spark, sf_dir):
+    """Reports as compressed JSON without partitions."""
+    reports, _ = crash_reports(_analysed(spark, sf_dir, "message"), "message")
+    target = archive_crash_reports(reports, scratch_path(spark, "reports-json"), fmt="json",
+                                   compression="gzip", partitioning_enabled=False)
+    back = read_archive(spark, target, (), "json", report_archive_schema()).drop("processed_timestamp")
     return _round_headings(back.select(flatten(back)))
 
 
+@query("published_null_fields")
+def q_published_null_fields(spark, sf_dir):
+    """Documents as text: null fields are there."""
+    reports, _ = crash_reports(_analysed(spark, sf_dir, "message"), "message")
+    docs = publish_crash_reports(reports).withColumn("k", F.json_object_keys("value"))
+    return docs.select(F.get_json_object("value", "$.report_id").alias("report_id"),
+                       F.size("k").cast("long").alias("fields"),
+                       F.contains("value", F.lit('"accuracy_meters":null')).alias("null_accuracy"))
+
+
 @query("published_reports")
 def q_published_reports(spark, sf_dir):
     reports, _ = crash_reports(_analysed(spark, sf_dir, "message"), "message")
@@ -385,25 +457,70 @@ def _landing(spark, sf_dir) -> str:
     return path
 
 
-@query("stream_equals_batch")
-def q_stream_equals_batch(spark, sf_dir):
+def _fanout(spark, sf_dir, **options):
     src = _landing(spark, sf_dir)
-    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    handles = start_crash_fanout(spark, src, out, ckpt, available_now=True)
+    handles = start_crash_fanout(spark, src, scratch_path(spark, "stream-out"),
+                                 scratch_path(spark, "stream-ckpt"), available_now=True, **options)
     handles.await_all()
-    back = spark.read.parquet(f"{out}/reports")
+    return handles
+
+
+def _stream_reports(spark, handles):
+    back = spark.read.parquet(handles.reports).drop("batch_id")
     return _round_headings(back.select(flatten(back)))
 
 
+@query("stream_equals_batch")
+def q_stream_equals_batch(spark, sf_dir):
+    return _stream_reports(spark, _fanout(spark, sf_dir))
+
+
+@query("stream_archive")
+def q_stream_archive(spark, sf_dir):
+    handles = _fanout(spark, sf_dir)
+    return stored_sample(read_archive(spark, handles.telemetry, ("batch_id", "date")))
+
+
+@query("stream_quarantine")
+def q_stream_quarantine(spark, sf_dir):
+    return spark.read.parquet(_fanout(spark, sf_dir).quarantine).select("message_id", "reason")
+
+
+@query("stream_bounded_batches")
+def q_stream_bounded_batches(spark, sf_dir):
+    """F2: a file per micro-batch gives the same reports."""
+    return _stream_reports(spark, _fanout(spark, sf_dir, max_files_per_trigger=1))
+
+
+@query("stream_restart")
+def q_stream_restart(spark, sf_dir):
+    """the job stops, more messages land, it goes on where it was."""
+    ensure_utc(spark)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("restart-in", "restart-out", "restart-ckpt"))
+    texts = telemetry(spark, sf_dir)
+    for part in (0, 1):
+        half = texts.filter(F.col("message_id") % 2 == part)
+        as_json(half).write.mode("append").text(src)
+        handles = start_crash_fanout(spark, src, out, ckpt, available_now=True)
+        handles.await_all()
+    return _stream_reports(spark, handles)
+
+
+@query("stream_metrics")
+def q_stream_metrics(spark, sf_dir):
+    """counts observed while the stream ran."""
+    seen = _fanout(spark, sf_dir, max_files_per_trigger=1).metrics()
+    rows = spark.createDataFrame([(m["messages"], m["crashes"]) for m in seen], "messages long, crashes long")
+    return rows.agg(F.sum("messages").alias("messages"), F.sum("crashes").alias("crashes"))
+
+
 @query("stream_window_stats")
 def q_stream_window_stats(spark, sf_dir):
-    """F4 on a stream: 30 s windows, 10 min watermark, append mode. A window
-    is emitted once the watermark (max event time - 10 min) passes its end,
-    so the final 10 minutes stay in state, as append mode defines."""
+    """F4 on a stream: 30 s windows, every window in its last state."""
     src = _landing(spark, sf_dir)
     out, ckpt = scratch_path(spark, "window-out"), scratch_path(spark, "window-ckpt")
     start_windowed_stats(spark, src, out, ckpt, available_now=True).awaitTermination()
-    df = spark.read.parquet(out)
+    df = read_windowed_stats(spark, out)
     return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                      "policy_id", r6("avg_speed"), "max_g_force", "min_g_force",
                      r6("avg_risk_score"), "message_count")

@@ -7,6 +7,11 @@ from .oracle_base import ENRICHED
 R6 = "round({0}, 6) AS {0}"
 
 
+def _mean(c: str) -> str:
+    """Order-independent mean: a sum of nine decimals, divided once."""
+    return f"round(CAST(sum(CAST({c} AS DECIMAL(28, 9))) AS DOUBLE) / count({c}), 6)"
+
+
 def _q(select: str) -> str:
     return ENRICHED + select
 
@@ -28,6 +33,7 @@ ORACLE: dict[str, str] = {
     "crashes_batch": _q("""SELECT message_id, policy_id, batch_is_crash AS is_crash,
         batch_crash_type AS crash_type FROM g"""),
     "risk_score": _q("SELECT message_id, risk_score FROM g"),
+    "risk_category": _q("SELECT message_id, risk_category FROM g"),
     "risk_weight": _q("SELECT message_id, batch_crash_type AS crash_type, risk_weight FROM g"),
     "severity": _q("""SELECT message_id,
         CASE WHEN g_force >= 8.0e0 OR g_force >= 10.0e0 OR risk_score >= 0.9e0 THEN 'CRITICAL'
@@ -99,15 +105,15 @@ _PATTERNS = """SELECT message_id, policy_id, vin, current_street, speed_mph, lat
         round(heading_computed, 6) AS heading, batch_crash_type AS crash_type, risk_category
       FROM g WHERE batch_is_crash"""
 
-_STORAGE = """SELECT policy_id, date, count(*) AS record_count, round(avg(speed_mph), 6) AS avg_speed,
+_STORAGE = f"""SELECT policy_id, date, count(*) AS record_count, {_mean('speed_mph')} AS avg_speed,
         max(g_force) AS max_g_force, min(g_force) AS min_g_force FROM g GROUP BY policy_id, date"""
 
-_WINDOWS = """SELECT
+_WINDOWS = f"""SELECT
         strftime(make_timestamp((event_us // 30000000) * 30000000), '%Y-%m-%d %H:%M:%S') AS window_start,
-        policy_id, round(avg(speed_mph), 6) AS avg_speed, max(g_force) AS max_g_force,
-        min(g_force) AS min_g_force, round(avg(risk_weight), 6) AS avg_risk_score,
+        policy_id, {_mean('speed_mph')} AS avg_speed, max(g_force) AS max_g_force,
+        min(g_force) AS min_g_force, {_mean('risk_weight')} AS avg_risk_score,
         count(*) AS message_count
-        FROM g WHERE NOT batch_is_crash {where} GROUP BY 1, policy_id"""
+        FROM g WHERE NOT batch_is_crash {{where}} GROUP BY 1, policy_id"""
 
 _DAILY = "SELECT date, count(*) AS total_records FROM g GROUP BY date"
 
@@ -135,9 +141,9 @@ ORACLE.update({
         FROM g WHERE batch_is_crash"""),
     "normal_events": _q("""SELECT message_id, policy_id, total_g_force, speed_mph
         FROM g WHERE NOT batch_is_crash"""),
-    "driving_stats": _q("""SELECT policy_id, round(avg(speed_mph), 6) AS avg_speed,
+    "driving_stats": _q(f"""SELECT policy_id, {_mean('speed_mph')} AS avg_speed,
         max(g_force) AS max_g_force, min(g_force) AS min_g_force,
-        round(avg(risk_weight), 6) AS avg_risk_score, count(*) AS message_count
+        {_mean('risk_weight')} AS avg_risk_score, count(*) AS message_count
         FROM g WHERE NOT batch_is_crash GROUP BY policy_id"""),
     "storage_stats": _q(_STORAGE),
     "top_storage": _q(_STORAGE + " ORDER BY date DESC, record_count DESC, policy_id ASC NULLS FIRST LIMIT 10"),
@@ -148,6 +154,7 @@ ORACLE.update({
         count(*) FILTER (WHERE event_us IS NULL) AS quarantined,
         count(*) FILTER (WHERE event_us IS NOT NULL AND msg_is_crash) AS message_crashes,
         count(*) FILTER (WHERE event_us IS NOT NULL AND batch_is_crash) AS batch_crashes,
+        count(*) FILTER (WHERE event_us IS NOT NULL AND batch_is_crash) AS risk_events,
         count(DISTINCT policy_id) FILTER (WHERE event_us IS NOT NULL) AS policies FROM s"""),
     "quarantine": _q("""SELECT message_id, 'bad_timestamp' AS reason FROM s WHERE event_us IS NULL
         UNION ALL
@@ -159,20 +166,23 @@ ORACLE.update({
         lat AS latitude, lon AS longitude, current_street, 'potential_accident' AS alert_type
         FROM g WHERE g_force > 4.0e0"""),
     "driving_stats_30s": _q(_WINDOWS.format(where="")),
-    "stream_window_stats": _q(_WINDOWS.format(where="""AND (event_us // 30000000) * 30000000 + 30000000
-            <= ((SELECT max(event_us) FROM g) // 1000 - 600000) * 1000""")),
-    "g_force_reconciliation": _q("""SELECT policy_id, count(*) AS messages,
+    "stream_window_stats": _q(_WINDOWS.format(where="")),
+    "g_force_reconciliation": _q(f"""SELECT policy_id, count(*) AS messages,
         count(*) FILTER (WHERE abs(g_force - total_g_force) > 0.5e0) AS mismatches,
         round(count(*) FILTER (WHERE abs(g_force - total_g_force) > 0.5e0) / count(*), 6) AS mismatch_rate,
-        round(avg(abs(g_force - total_g_force)), 6) AS avg_abs_diff FROM g GROUP BY policy_id"""),
-    "speed_reconciliation": _q("""SELECT policy_id, count(*) AS fixes,
+        {_mean('abs(g_force - total_g_force)')} AS avg_abs_diff FROM g GROUP BY policy_id"""),
+    "g_force_mismatches": _q("""SELECT message_id, policy_id, vin, g_force,
+        round(total_g_force, 6) AS total_g_force, round(abs(g_force - total_g_force), 6) AS abs_diff
+        FROM g WHERE abs(g_force - total_g_force) > 0.5e0"""),
+    "speed_reconciliation": _q(f"""SELECT policy_id, count(*) AS fixes,
         count(*) FILTER (WHERE abs(gps_speed_mph - speed_mph) > 5.0e0) AS mismatches,
-        round(avg(abs(gps_speed_mph - speed_mph)), 6) AS avg_abs_diff_mph,
+        {_mean('abs(gps_speed_mph - speed_mph)')} AS avg_abs_diff_mph,
         round(max(abs(gps_speed_mph - speed_mph)), 6) AS max_abs_diff_mph
         FROM g WHERE gps_present AND gps_speed IS NOT NULL GROUP BY policy_id"""),
     "trip_distance": _q(""", seg AS (
           SELECT vin, lat, lon,
-            lag(lat) OVER w AS plat, lag(lon) OVER w AS plon
+            CASE WHEN vin IS NOT NULL THEN lag(lat) OVER w END AS plat,
+            CASE WHEN vin IS NOT NULL THEN lag(lon) OVER w END AS plon
           FROM g WHERE gps_present
           WINDOW w AS (PARTITION BY vin ORDER BY event_us, message_id)),
         d AS (
@@ -187,11 +197,12 @@ ORACLE.update({
           round(coalesce(sum(m), 0.0e0), 3) AS total_distance_m, round(max(m), 3) AS max_segment_m
         FROM d GROUP BY vin"""),
     "magnetic_anomalies": _q(""", b AS (
-          SELECT vin, avg(mag_magnitude) AS baseline_magnitude FROM g GROUP BY vin)
+          SELECT vin, CAST(sum(CAST(mag_magnitude AS DECIMAL(28, 9))) AS DOUBLE) / count(*) AS baseline_magnitude
+          FROM g GROUP BY vin)
         SELECT message_id, g.vin, round(mag_magnitude, 6) AS mag_magnitude,
           round(baseline_magnitude, 6) AS baseline_magnitude,
           round(abs(mag_magnitude - baseline_magnitude), 6) AS deviation
-        FROM g JOIN b ON g.vin = b.vin
+        FROM g JOIN b ON g.vin IS NOT DISTINCT FROM b.vin
         WHERE abs(mag_magnitude - baseline_magnitude) > 50.0e0"""),
 })
 
@@ -225,6 +236,40 @@ ORACLE.update({
         for name, cols in (("code", _FULL), ("readme", _FULL), ("sample", _SAMPLE)))),
     "archive_roundtrip": _q(_STORED),
     "archive_fallback": _q(_STORED),
+    "archive_policy_first": _q(_STORED),
+    "archive_unpartitioned": _q(_STORED),
+    "archive_json": _q(_STORED),
+    "archive_csv": _q("""SELECT message_id, policy_id, vin, g_force, lat AS latitude, date,
+        strftime(event_time, '%H') AS hour FROM g"""),
+    "stream_archive": _q(_STORED),
+    "stream_quarantine": ORACLE["quarantine"],
+    "stream_bounded_batches": _report(*_MSG_REPORT),
+    "stream_restart": _report(*_MSG_REPORT),
+    "stream_metrics": _q("""SELECT count(*) AS messages, count(*) FILTER (WHERE msg_is_crash) AS crashes FROM s"""),
+    "reports_json_flat": _report(*_MSG_REPORT, extra=""", message_id, date AS report_date,
+        strftime(event_time, '%H') AS report_hour"""),
+    "published_null_fields": _q("""SELECT
+        'CRASH-' || regexp_replace(policy_id, '[^A-Za-z0-9]', '', 'g') || '-' || CAST(event_millis AS VARCHAR) AS report_id,
+        14 AS fields, true AS null_accuracy FROM g WHERE msg_is_crash AND policy_id IS NOT NULL AND gps_present"""),
+    "json_damaged": _q("""SELECT CASE WHEN k <> 1 THEN message_id END AS message_id,
+        CASE WHEN k NOT IN (1, 11) THEN policy_id END AS policy_id, CASE WHEN k NOT IN (1, 10) THEN vin END AS vin,
+        CASE WHEN k IN (1, 2, 8) THEN 0.0e0 ELSE g_force END AS g_force,
+        CASE WHEN k IN (1, 4, 9) THEN NULL WHEN k = 3 AND screen_on IS NOT NULL THEN true ELSE screen_on END AS screen_on,
+        k NOT IN (1, 4, 7) AS has_magnetometer, k NOT IN (1, 4, 9) AS has_device,
+        CASE WHEN k = 1 THEN 'malformed_json' WHEN k = 8 THEN 'bad_value' WHEN k = 4 THEN 'missing_sensors'
+             WHEN k = 5 THEN 'missing_accelerometer' WHEN k = 6 THEN 'missing_gyroscope'
+             WHEN event_us IS NULL THEN 'bad_timestamp'
+             WHEN crash AND (policy_id IS NULL OR k = 11) THEN 'report_missing_policy_id'
+             WHEN crash AND NOT gps_present THEN 'report_missing_gps'
+             WHEN crash AND k = 7 THEN 'report_missing_magnetometer' END AS reason
+      FROM (SELECT *, message_id % 23 AS k,
+              -- the rule again for what damage changes: no reported g, no device issues
+              CASE WHEN message_id % 23 = 2 THEN rollover OR spinning OR lateral_g_force >= 3.0e0 OR vertical_g_force >= 2.0e0
+                   WHEN message_id % 23 = 9 THEN g_force >= (CASE WHEN environmental_risk THEN 4.0e0 * 0.9e0 ELSE 4.0e0 END)
+                        * (CASE WHEN gps_reliable THEN 1.0e0 ELSE 1.1e0 END)
+                        OR (speed_mph <= 5.0e0 AND g_force >= 2.0e0) OR rollover OR spinning
+                        OR lateral_g_force >= 3.0e0 OR vertical_g_force >= 2.0e0
+                   ELSE msg_is_crash END AS crash FROM s)"""),
     "reports_roundtrip": _report(*_MSG_REPORT, extra=""", message_id, date AS report_date,
         strftime(event_time, '%H') AS report_hour"""),
     "published_reports": _report(*_MSG_REPORT, extra=""),

@@ -11,8 +11,10 @@ from check_oracle import TABLES, rows_of  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 
+from impactlens.plans.catalog import QUERIES  # noqa: E402
+
 SQL = entry.oracle_sql()
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +29,7 @@ def con(sf_small):
 
 
 def test_every_query_has_an_oracle():
-    assert set(SQL) == set(NAMES)
+    assert set(NAMES) <= set(SQL) & set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
