@@ -227,7 +227,7 @@ def build_filter(items: DataFrame, bits: int = FILTER_BITS) -> Filter:
 
     dealt = items.select(block.alias("block"), "h", "q").repartition("block")
     out = np.zeros(blocks * BLOCK // 8, np.uint8)
-    for r in dealt.mapInArrow(run, "block int, bits binary").toLocalIterator():
+    for r in dealt.mapInArrow(run, "block int, bits binary").collect():
         at = r.block * (BLOCK // 8)
         out[at:at + BLOCK // 8] |= np.frombuffer(r.bits, np.uint8)
     return Filter(out)
@@ -287,7 +287,7 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT, id
         if held + r.n > frequent:
             break
         threshold, held = r.c, held + r.n
-    common = sorted((r.h, r.c) for r in words.where(F.col("c") >= threshold).toLocalIterator())
+    common = sorted((r.h, r.c) for r in words.where(F.col("c") >= threshold).collect())
     h = np.array([x[0] for x in common], np.int64).view(np.uint64)
     c = np.array([x[1] for x in common], np.int64)
     order = np.argsort(h)
