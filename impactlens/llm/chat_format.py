@@ -38,7 +38,8 @@ from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
 
-#: Names that chat layouts give the canonical roles.
+#: Names that layouts which say who speaks (not in which role)
+#: give the canonical roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -114,7 +115,8 @@ def canonical(record: str | None) -> tuple[str | None, str | None, list[tuple[st
         return key, None, None
     if layout.items:
         at, role, text = layout.items
-        turns = [(ROLES.get(r := _text(m.get(role)), r), _text(m.get(text))) for m in value[at]]
+        names = {} if role == "role" else ROLES
+        turns = [(names.get(r := _text(m.get(role)), r), _text(m.get(text))) for m in value[at]]
         return key, layout.name, turns
     turns = []
     for path, role in layout.fields:

@@ -66,7 +66,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{END}{START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
                                   "conv_id long, turn long, role string, text string")
-    return read_back(format_records(assemble(rows.unionByName(extra))))
+    return read_back(format_records(assemble(rows.unionByName(extra)))).drop("layout")
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +88,67 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+def _component(ids: str, links: str) -> str:
+    """SQL for the smallest id each id reaches over symmetric links (a, b)."""
+    return f"""reach(id, other) AS (
+          SELECT id, id FROM {ids}
+          UNION
+          SELECT r.id, l.b FROM reach r JOIN {links} l ON l.a = r.other),
+        component AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+
+ORACLE: dict[str, str] = {
+    "op3_embedding_lsh": f"""WITH RECURSIVE v AS (
+          SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        n AS (SELECT id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE len(x) > 0),
+        links AS (
+          SELECT p.id AS a, q.id AS b FROM n p JOIN n q ON p.label = q.label AND p.id <> q.id AND len(p.x) = len(q.x)
+          WHERE p.norm > 0 AND q.norm > 0 AND list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.93e0),
+        ids AS (SELECT vec_id AS id FROM embeddings),
+        {_component("ids", "links")}
+        SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = c.id) AS n_links, component_id,
+               id = component_id AS kept FROM component c""",
+    "op7_warc": """WITH p AS (
+          SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        d AS (
+          SELECT page_id, strlen(html) AS bytes, hex, min(page_id) OVER (PARTITION BY hex) AS first,
+            list_transform(range(0, 8), lambda j: CAST('0x' || substr(hex, CAST(1 + 5 * j AS INTEGER), 5) AS INTEGER)) AS v
+          FROM p)
+        SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes,
+          array_to_string(list_transform(v, lambda x:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 15) & 31), 1)
+            || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 10) & 31), 1)
+            || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 5) & 31), 1)
+            || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (x & 31), 1)), '') AS payload_digest,
+          CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d""",
+    "op8_odd_sketch": f"""WITH RECURSIVE w AS (
+          SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        u AS (SELECT id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+        r AS (
+          SELECT id, i, n, concat_ws(' ', word, lead(word, 1) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p) AS item
+          FROM u WINDOW p AS (PARTITION BY id ORDER BY i)),
+        e AS (SELECT DISTINCT id, item FROM r WHERE i = 1 OR i <= n - 3),
+        n AS (SELECT id, (SELECT count(*) FROM e WHERE e.id = w.id) AS n FROM w),
+        runs AS (SELECT p.id AS a, q.id AS b, count(*) AS shared FROM e p JOIN e q ON p.item = q.item AND p.id <> q.id GROUP BY 1, 2),
+        links AS (
+          SELECT a, b FROM runs JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+        {_component("n", "links")}
+        SELECT id AS doc_id, n AS n_shingles, component_id, id = component_id AS kept FROM component JOIN n USING (id)""",
+    "op9_chat_format": """WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+          UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        c AS (
+          SELECT conv_id, count(*) AS n_turns,
+            string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+            coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+            sum(length('<|im_start|>') + length(role) + 1 + length(text)
+                + len(regexp_extract_all(text, '<\\\\*\\|')) + length('<|im_end|>') + 1) AS formatted_chars
+          FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars,
+               sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM c""",
+}
