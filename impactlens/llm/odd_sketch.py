@@ -12,10 +12,12 @@ threshold); the rest are confirmed on full sets.
 
 Groups of near copies are never expanded into pairs. First every class is
 confirmed against one partner: the smallest class of the bucket it shares most
-often. Then components are formed, and only classes that still differ in
-component are compared inside their buckets, by sketch, in blocks of bounded
-size (:mod:`blocks`); those that pass are confirmed and components formed
-again. No cap limits buckets, partners or candidates.
+often. Then components are formed, and classes that still differ in component
+are compared inside their buckets, by sketch, in blocks of bounded size
+(:mod:`blocks`). Only the full sets of those that have an alike partner travel
+to their blocks, where pairs of unlike component are confirmed, most alike
+first; what leaves a block is the links that join components. No cap limits
+buckets, partners or candidates.
 
 Defined results: null, empty and blank texts have an empty set, link with
 nothing and stay; a row with a null id has a null component and stays; rows of
@@ -34,21 +36,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import in_blocks, map_groups
-from .common import materialise, table, texts_of
+from .common import byte_sizes, materialise, slices, table, texts_of
 from .components import connected_components
 from .words import P, mix, word_hashes
 
 BANDS, ROWS, SAMPLES = 24, 4, 128
 SKETCH_BITS = 256
 FLOOR = 0.6
-BLOCK = 1500
+BLOCK = 512
+CHUNK_BYTES = 4 << 20
 
 _MULTIPLIERS = np.random.default_rng(20240611).integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str, width: int = 4) -> np.ndarray:
-    """Sorted distinct hashes of a text's set."""
-    h = word_hashes(text)
+def shingle_sets(texts: list[str], width: int = 4):
+    """Sorted distinct hashes of each text's set."""
+    hashes, sizes = word_hashes(texts)
+    for part in np.split(hashes, np.cumsum(sizes)[:-1]) if len(texts) else []:
+        yield shingles(part, width)
+
+
+def shingles(h: np.ndarray, width: int = 4) -> np.ndarray:
+    """Sorted distinct hashes of the set of a sequence of word hashes."""
     if not len(h):
         return h
     if len(h) < width:
@@ -108,20 +117,20 @@ def signatures(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col
     arrow = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
                        ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
+    def rows(texts):
+        for items in shingle_sets(texts, width):
+            if len(items):
+                samples = minhash(items)
+                yield (len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), bands(samples), odd_sketch(samples))
+            else:
+                yield 0, None, None, None
+
     def run(batches):
         for batch in batches:
-            out = {f.name: [] for f in arrow}
-            for text in texts_of(batch.column(1)):
-                items = shingles(text, width)
-                out["n_shingles"].append(len(items))
-                if not len(items):
-                    row = None, None, None
-                else:
-                    samples = minhash(items)
-                    row = (hashlib.blake2b(items.tobytes(), digest_size=16).digest(), bands(samples), odd_sketch(samples))
-                for name, value in zip(("digest", "bands", "sketch"), row):
-                    out[name].append(value)
-            yield table(out | {"id": batch.column(0)}, arrow)
+            for a, b in slices(byte_sizes(batch.column(1)), CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                columns = zip(arrow.names[1:], zip(*rows(texts_of(part.column(1)))))
+                yield table({"id": part.column(0)} | {k: list(v) for k, v in columns}, arrow)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(
         run, "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
@@ -133,12 +142,21 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: st
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-                [shingles(t, width).tobytes() for t in texts_of(batch.column(1))], pa.binary())], ["node", "items"])
+            for a, b in slices(byte_sizes(batch.column(1)), CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(
+                    [x.tobytes() for x in shingle_sets(texts_of(part.column(1)), width)], pa.binary())], ["node", "items"])
 
     return wanted.mapInArrow(run, "node long, items binary")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-ids")
@@ -150,9 +168,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int, id_col
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
@@ -173,22 +189,76 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(table_: pa.Table, starts: list):
-    """Pairs of unlike component within each group whose sketches are alike:
-    every row is compared with the one d rows on, for all d."""
-    n = len(table_)
+def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy() for c in names]
+
+
+def _band_table(rows: pa.Table) -> np.ndarray:
+    return rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+
+
+def _marked(rows: pa.Table, starts: list):
+    """The rows that have a partner of another component in their group whose
+    sketch is alike and which they meet here first: every row is compared with
+    the one d rows on, for all d."""
+    n = len(rows)
     group = np.zeros(n, np.int64)
     group[starts] = 1
     group = np.cumsum(group)
-    node, part, comp = (table_.column(c).to_numpy() for c in ("node", "part", "component"))
-    single = table_.column("lo").to_numpy() == table_.column("hi").to_numpy()
-    sketch = _sketches(table_.column("sketch"))
+    key, lo, hi, part, comp = _columns(rows, "key", "lo", "hi", "part", "component")
+    sketch, band, mark = _sketches(rows.column("sketch")), _band_table(rows), np.zeros(n, bool)
     for d in range(1, int(np.diff([*starts, n]).max())):
-        i = np.flatnonzero((group[:-d] == group[d:]) & (comp[:-d] != comp[d:]) & (single[:-d] | (part[:-d] != part[d:])))
-        if len(i):
-            i = i[_bits(sketch[i], sketch[i + d]) <= MOST_BITS]
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[i + d])), pa.array(np.maximum(node[i], node[i + d]))], ["a", "b"])
+        i = np.flatnonzero((group[:-d] == group[d:]) & (comp[:-d] != comp[d:]) & ((lo[:-d] == hi[:-d]) | (part[:-d] != part[d:])))
+        i = i[_bits(sketch[i], sketch[i + d]) <= MOST_BITS]
+        first = (band[i] == band[i + d]).argmax(axis=1)
+        i = i[band[i, first] == key[i]]
+        mark[i] = mark[i + d] = True
+    if mark.any():
+        yield rows.select(["key", "lo", "hi", "node", "part", "component"]).filter(pa.array(mark)).combine_chunks().to_batches()[0]
+
+
+def _linked(percent: int):
+    """Links confirmed on full sets between the components of a group: most
+    alike first, and none between components that a link has joined already."""
+
+    def work(rows: pa.Table, starts: list):
+        node, lo, hi, key, part, comp = _columns(rows, "node", "lo", "hi", "key", "part", "component")
+        sketch, band = _sketches(rows.column("sketch")), _band_table(rows)
+        items = rows.column("items")
+        out = {"a": [], "b": []}
+        for s, e in zip(starts, [*starts[1:], len(rows)]):
+            pairs = []
+            for i in range(s, e - 1):
+                j = np.arange(i + 1, e)
+                j = j[(comp[j] != comp[i]) & ((lo[i] == hi[i]) | (part[j] != part[i]))]
+                bits = _bits(sketch[j], sketch[i][None])
+                j, bits = j[bits <= MOST_BITS], bits[bits <= MOST_BITS]
+                here = band[i, (band[j] == band[i]).argmax(axis=1)] == key[i] if len(j) else np.zeros(0, bool)
+                pairs.append(np.stack([bits[here].astype(np.int64), np.full(here.sum(), i), j[here]]))
+            pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), int)
+            of: dict = {}
+
+            def root(c):
+                while (up := of.get(c, c)) != c:
+                    c = up
+                return c
+
+            sets: dict = {}
+            for _, i, j in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
+                p, q = root(comp[i]), root(comp[j])
+                if p == q:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = np.frombuffer(items[k].as_py(), np.uint64)
+                if _similar(sets[i], sets[j], percent):
+                    of[q] = p
+                    out["a"].append(node[i])
+                    out["b"].append(node[j])
+        if out["a"]:
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return work
 
 
 def link_classes(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent: int = 80, width: int = 4,
@@ -211,10 +281,13 @@ def link_classes(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent
     mixed = (known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
              .where("x < y").select("key", "n"))
     mixed = materialise(mixed, "near-mixed")
-    dealt = in_blocks(known.join(mixed.select("key"), "key"), mixed, "key", "node", BLOCK)
-    dealt = dealt.join(nodes.select("node", "sketch").dropDuplicates(["node"]), "node")
-    pairs = map_groups(dealt, ["key", "lo", "hi"], "node", _across, "a long, b long").distinct()
-    more = materialise(_confirm(docs, materialise(pairs, "near-pairs"), percent, width, id_col, text_col), "near-more")
+    sketched = nodes.dropDuplicates(["node"])
+    keys = ["key", "lo", "hi"]
+    dealt = in_blocks(known.join(mixed.select("key"), "key"), mixed, "key", "node", BLOCK).join(sketched, "node")
+    marked = materialise(map_groups(dealt, keys, "node", _marked, "key long, lo int, hi int, node long, part int, component long"), "near-marked")
+    sets = materialise(_sets(docs, materialise(marked.select("node").distinct(), "near-ids"), width, id_col, text_col), "near-sets")
+    more = map_groups(marked.join(sketched, "node").join(sets, "node"), keys, "node", _linked(percent), "a long, b long")
+    more = materialise(more.distinct(), "near-more")
     if more.isEmpty():
         return found
     return connected_components(links.unionByName(more))
