@@ -8,28 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
-#: Bytes that separate words: space, tab, line feed, vertical tab, form feed,
-#: carriage return - what ``bytes.split()`` splits on.
-WHITE = " \t\n\x0b\x0c\r"
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, deleted with the driver."""
-    path = scratch_path(spark, name)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and reads it back, so
     that neither a lost executor nor a second use computes it again."""
-    path = scratch(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, table
+from ..session import scratch_path
+from .common import materialise, table
 
 VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -293,7 +294,7 @@ def read_archives(paths: DataFrame, files: int) -> DataFrame:
 def archive_pages(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0,
                   max_file: int = MAX_FILE, **names) -> DataFrame:
     """Writes all pages and reads the archives back (see :func:`read_archives`)."""
-    folder = folder or scratch(pages.sparkSession, "warc")
+    folder = folder or scratch_path(pages.sparkSession, "warc")
     if "://" not in folder:
         folder = folder.replace("file:", "", 1) if folder.startswith("file:") else folder
         folder = f"file://{folder}"
