@@ -43,7 +43,7 @@ from .words import P, mix, word_hashes
 BANDS, ROWS, SAMPLES = 24, 4, 128
 SKETCH_BITS = 256
 FLOOR = 0.6
-BLOCK = 512
+BLOCK = 768
 CHUNK_BYTES = 4 << 20
 
 _MULTIPLIERS = np.random.default_rng(20240611).integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -214,7 +214,8 @@ def _marked(rows: pa.Table, starts: list):
         i = i[band[i, first] == key[i]]
         mark[i] = mark[i + d] = True
     if mark.any():
-        yield rows.select(["key", "lo", "hi", "node", "part", "component"]).filter(pa.array(mark)).combine_chunks().to_batches()[0]
+        kept = ["key", "lo", "hi", "node", "part", "component", "sketch", "bands"]
+        yield from rows.select(kept).filter(pa.array(mark)).combine_chunks().to_batches()
 
 
 def _linked(percent: int):
@@ -284,9 +285,10 @@ def link_classes(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent
     sketched = nodes.dropDuplicates(["node"])
     keys = ["key", "lo", "hi"]
     dealt = in_blocks(known.join(mixed.select("key"), "key"), mixed, "key", "node", BLOCK).join(sketched, "node")
-    marked = materialise(map_groups(dealt, keys, "node", _marked, "key long, lo int, hi int, node long, part int, component long"), "near-marked")
+    marked = materialise(map_groups(dealt, keys, "node", _marked, "key long, lo int, hi int, node long, part int, "
+                                    "component long, sketch binary, bands array<long>"), "near-marked")
     sets = materialise(_sets(docs, materialise(marked.select("node").distinct(), "near-ids"), width, id_col, text_col), "near-sets")
-    more = map_groups(marked.join(sketched, "node").join(sets, "node"), keys, "node", _linked(percent), "a long, b long")
+    more = map_groups(marked.join(sets, "node"), keys, "node", _linked(percent), "a long, b long")
     more = materialise(more.distinct(), "near-more")
     if more.isEmpty():
         return found
