@@ -30,6 +30,7 @@ from __future__ import annotations
 import functools
 import heapq
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -43,11 +44,23 @@ from .common import byte_sizes, materialise, slices, table, texts_of
 
 SIZE = 2048
 END = 1
-WORDS = 400_000
-CHUNK_BYTES = 2 << 20
+WORDS = 900_000
+CHUNK_BYTES = 4 << 20
 _RANK_BITS = 48
 
 
+#: A run of symbols after a letter: the vocabulary's rules end a token there.
+_SYMBOLS = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]+")
+
+
+def _words(text: str) -> list[bytes]:
+    """Parts of a text that are encoded independently. The vocabulary folds
+    case and never joins letters and symbols, so both are done here once, where
+    no special token (``<|...``) can be in the way."""
+    raw = text.encode("utf-8", "replace")
+    return raw.split() if b"<|" in raw else _SYMBOLS.sub(rb" \g<0>", raw.lower()).split()
+
+
 class WordCoder:
     """Ids (little-endian, 32 bits) of texts, word by word."""
 
@@ -58,18 +71,26 @@ class WordCoder:
         self.model = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes words as one text, white space between; offsets tell them apart."""
+        for at in range(0, len(words), 20_000):
+            part = words[at:at + 20_000]
+            texts = [w.decode() for w in part]
+            got = self.model.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.array([o[0] for o in got.offsets], np.int64)
+            ends = 4 * np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]), side="left")
+            raw, last = np.array(got.ids, "<u4").tobytes(), 0
+            for word, end in zip(part, ends.tolist()):
+                self.known[word] = raw[last:end]
+                last = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
+        split = [_words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
-            new = {w for words in split for w in words}
-        if new:
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                part = new[at:at + 20_000]
-                got = self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
+            new = set().union(*split)
+        self._learn(list(new))
         of = self.known.__getitem__
         return [b"".join(map(of, words)) for words in split]
 
