@@ -40,20 +40,35 @@ _STRIP = ".,;:!?\"'()[]{}<>|&$%#*+=/\\-_@~^`\x01"
 _BLANK = "\t\n\x0b\x0c\r"
 
 
-def with_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """``df`` with the array column ``name`` of sorted distinct signatures."""
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body
+    uses it: a lambda variable cannot be replaced by its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def signatures(text: Column) -> Column:
+    """Sorted distinct spot signatures of a text."""
     words = "|".join(sorted(set(ANCHORS), key=lambda w: (w[0], -len(w))))
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), _BLANK + _STRIP, " " * len(_BLANK))
     joined = F.regexp_replace(F.trim(plain), f"(?<![^ ])({words}) +(?=[^ ])", f"$1{_JOIN}")
     has = lambda e: F.instr(e, _JOIN) > 0
-    df = df.withColumn("_w", F.when(F.length(joined) > 0, F.split(joined, " +")).otherwise(F.array().cast("array<string>")))
-    stretches = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / STRETCH).cast("int"))
-    df = df.withColumn("_s", F.when(F.size("_w") > 0, F.transform(
-        stretches, lambda b: F.exists(F.slice(F.col("_w"), b * STRETCH + 1, F.lit(STRETCH)), has))))
-    spots = F.transform(F.col("_w"), lambda e, i: F.when(
-        has(e) | ~F.get(F.col("_s"), F.shiftright(i, 5)),
-        F.hash(e, F.substring_index(F.get(F.col("_w"), i + 1), _JOIN, -1))))
-    return df.withColumn(name, F.sort_array(F.array_distinct(F.filter(spots, lambda x: x.isNotNull())))).drop("_w", "_s")
+
+    def stretches(w):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / STRETCH).cast("int")),
+                           lambda b: F.exists(F.slice(w, b * STRETCH + 1, F.lit(STRETCH)), has))
+
+    def spots(w):
+        return _let(stretches(w), lambda s: F.transform(w, lambda e, i: F.when(
+            has(e) | ~F.get(s, F.shiftright(i, 5)), F.hash(e, F.substring_index(F.get(w, i + 1), _JOIN, -1)))))
+
+    found = _let(F.split(joined, " +"), lambda w: F.array_distinct(F.filter(spots(w), lambda x: x.isNotNull())))
+    # The only word of a blank text is the empty one.
+    return F.when(F.length(F.trim(plain)) > 0, F.sort_array(found)).otherwise(F.array().cast("array<int>"))
+
+
+def with_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the array column ``name`` of :func:`signatures`."""
+    return df.withColumn(name, signatures(text))
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -88,19 +103,22 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near_edited, near_next; see the module's text. Texts are shuffled once, by
     id (both joins use that exchange), and the beginnings that replace the
     ends once."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = lambda df: df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain, no_id = docs.select(id_col, text_col), F.col(id_col).isNull()
     quarter = F.floor(F.char_length("text") / 4).cast("int")
-    known = rows.where("doc_id is not null")
-    wanted = materialise(_neighbours(known.select("doc_id", quarter.alias("need"))), "spot-next")
-    signed = with_signatures(known, F.col("text"), "sigs")
+    wanted = materialise(_neighbours(named(plain.where(~no_id)).select("doc_id", quarter.alias("need"))), "spot-next")
+    # Dealt by hand, below every new name: so both joins see one exchange.
+    known = named(plain.where(~no_id).repartition(id_col))
     wanted = wanted.select(F.col("doc_id").alias("for_id"), "need", "next_id")
-    heads = (signed.join(wanted, F.col("doc_id") == F.col("next_id"))
-             .select("for_id", F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("sigs").alias("next_sigs")).alias("x"))
+    # Signatures are worked out behind the exchange of the texts: one made of
+    # plain columns can be used again, and is smaller.
+    heads = with_signatures(known.join(wanted, F.col("doc_id") == F.col("next_id")), F.col("text"), "next_sigs")
+    heads = (heads.select("for_id", F.struct(F.expr("substring(text, 1, need)").alias("head"), "next_sigs").alias("x"))
              .groupBy("for_id").agg(F.min("x").alias("x")).select("for_id", "x.head", "x.next_sigs"))
-    both = signed.join(heads, F.col("doc_id") == F.col("for_id")).select("doc_id", "text", "sigs", "head", "next_sigs")
-    alone = with_signatures(rows.where("doc_id is null"), F.col("text"), "sigs").select(
-        "doc_id", "text", "sigs", F.lit("").alias("head"), F.lit(None).cast("array<int>").alias("next_sigs"))
-    both = both.unionByName(alone)
+    both = known.join(heads, F.col("doc_id") == F.col("for_id")).select("doc_id", "text", "head", "next_sigs")
+    alone = named(plain.where(no_id)).select(
+        "doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("array<int>").alias("next_sigs"))
+    both = with_signatures(both.unionByName(alone), F.col("text"), "sigs")
     kept = F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))")
     edited = F.concat(kept, F.expr("substring(head, 1, cast(floor(char_length(text) / 4) as int))"))
     both = both.withColumn("edited", edited)
