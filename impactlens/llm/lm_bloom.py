@@ -55,12 +55,14 @@ RUN = 3
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of an end, then of every text's words and its end; the tokens of
     each text."""
-    found = [word_hashes(t) for t in texts]
-    end = np.array([END], np.uint64)
-    parts = [end]
-    for f in found:
-        parts += [f, end]
-    return np.concatenate(parts), np.array([len(f) + 1 for f in found], np.int64)
+    found, sizes = word_hashes(texts)
+    ends = np.cumsum(sizes + 1)  # where each text's end stands, after the first
+    out = np.empty(len(found) + len(sizes) + 1, np.uint64)
+    is_end = np.zeros(len(out), bool)
+    is_end[0] = True
+    is_end[ends] = True
+    out[is_end], out[~is_end] = END, found
+    return out, sizes + 1
 
 
 def pairs_of(tokens: np.ndarray) -> np.ndarray:
@@ -86,7 +88,7 @@ class Filter:
     @staticmethod
     def places(items: np.ndarray, level: int):
         """Bit places of the items' probes inside their block, one array a probe."""
-        x = mix(items ^ (np.uint64(level) * P))
+        x = mix(items ^ mix(np.array([level], np.uint64)))
         step = (x >> np.uint64(32)) | np.uint64(1)
         for _ in range(PROBES):
             yield (x & np.uint64(BLOCK - 1)).astype(np.int64)
@@ -281,15 +283,15 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT, id
     level = F.expr(_LEVEL).alias("q")
     items = (words.select("h", level).where(F.col("q") >= from_word)
              .unionByName(pairs.select("h", level).where(F.col("q") >= from_pair)))
-    counted = sorted(words.groupBy(F.least("c", F.lit(1 << 12)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
-    threshold, held = (1 << 12) + 1, 0
-    for r in counted:
-        if held + r.n > frequent:
+    # From the most frequent down, in bins of counts, as long as they fit.
+    bins = words.groupBy(F.floor(16 * F.log2("c")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"))
+    threshold, held = 1 << 62, 0
+    for r in sorted(bins.collect(), key=lambda r: -r["bin"]):
+        if held + r["n"] > frequent:
             break
-        threshold, held = r.c, held + r.n
-    common = sorted((r.h, r.c) for r in words.where(F.col("c") >= threshold).collect())
-    h = np.array([x[0] for x in common], np.int64).view(np.uint64)
-    c = np.array([x[1] for x in common], np.int64)
+        threshold, held = r["low"], held + r["n"]
+    common = words.where(F.col("c") >= threshold).toArrow()  # FREQUENT rows at most
+    h, c = common["h"].to_numpy().view(np.uint64), common["c"].to_numpy()
     order = np.argsort(h)
     model = Model(build_filter(items, bits), int(tokens), int(vocabulary), h[order], c[order])
     model.weights = _fit_weights(rows, model)
