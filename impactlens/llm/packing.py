@@ -44,8 +44,8 @@ from .common import byte_sizes, materialise, slices, table, texts_of
 
 SIZE = 2048
 END = 1
-WORDS = 900_000
-CHUNK_BYTES = 4 << 20
+WORDS = 500_000
+CHUNK_BYTES = 2 << 20
 _RANK_BITS = 48
 
 
