@@ -274,10 +274,7 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT, id
     words = materialise(_count(rows, False), "lm-words")
     tokens, vocabulary = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     tokens, room = tokens or 0, bits // BITS_PER_ITEM
-    # Pairs seen once can only be kept if even as many pairs as tokens fit;
-    # otherwise they need not be written.
-    least = 1 if tokens <= room // 2 else 2
-    pairs = materialise(_count(rows, True).where(F.col("c") >= least), "lm-pairs")
+    pairs = materialise(_count(rows, True), "lm-pairs")
     from_word, used = _kept_from(words, room // 4)
     from_pair, _ = _kept_from(pairs, room - used)
     level = F.expr(_LEVEL).alias("q")

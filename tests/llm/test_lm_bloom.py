@@ -69,6 +69,17 @@ def test_pairs_help(spark):
     assert all(got[i].score < got[held[0]].score - 20 for i in held[1:21])
 
 
+def test_many_copies_keep_rare_pairs(spark):
+    """Many tokens of few kinds: pairs seen once are kept as in a small corpus."""
+    used = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, "a b c d e f g h i j " * 2) for i in used[1:]] + [(used[0], "j a c e g i b d f h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _ = L.train(df, bits=1 << 19)
+    assert model.tokens > (1 << 19) // L.BITS_PER_ITEM
+    once, _ = L.stream(["a c e g i b d f h"])
+    assert (model.filter.levels(L.pairs_of(once[1:-1])) >= 1).all()
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_documents(spark, sf):
     rows = {r.doc_id: r.text for r in read_table(spark, sf, "documents").collect()}
