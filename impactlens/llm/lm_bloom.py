@@ -3,11 +3,12 @@
 Counts of words and word pairs are quantised to levels (level q holds counts
 from 2^(q-1) to 2^q - 1) and an n-gram of level q is stored as the q items
 (n-gram, 1) ... (n-gram, q) of one Bloom filter. A count is read by probing
-the items in turn until one is missing. The filter has a fixed number of bits
-whatever the corpus holds, which bounds its broadcast; levels are kept from
-the highest down as long as every item has ``BITS_PER_ITEM`` bits (a quarter
-for words, the rest for pairs), so the rarest n-grams go first. It is built in
-blocks: an n-gram's probes lie in one block, tasks fill whole blocks.
+the items in turn until one is missing. The filter grows with the corpus: every
+item has ``BITS_PER_ITEM`` bits and no n-gram is left out. It is built in
+blocks: an n-gram's probes lie in one block, tasks fill whole blocks. Runs of
+blocks of ``RANGE_BITS`` bits at most are broadcast one by one, and a task that
+probes a chunk of text holds one of them at a time; how many there are does not
+change what is found.
 
 The probability of word w after word v is
 ``L * count(v w) / count(v) + (1 - L) * (count(w) + 0.1) / (N + 0.1 (V + 1))``
@@ -29,18 +30,19 @@ ignored. No text is cut.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import _id_type
 from .common import byte_sizes, materialise, slices, texts_of
 from .words import P, mix, word_hashes
 
-FILTER_BITS = 1 << 28
+RANGE_BITS = 1 << 28
 BITS_PER_ITEM = 9
 PROBES = 5
 BLOCK = 1 << 19
@@ -78,12 +80,10 @@ COUNT_OF = np.array([0.0] + [(2.0 ** (q - 1) + 2.0 ** q - 1) / 2 for q in range(
 
 
 class Filter:
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits  # uint8, whole blocks
+    """Blocks of bits in runs of ``per`` blocks, each an array or its broadcast."""
 
-    @staticmethod
-    def block_shift(blocks: int) -> int:
-        return 64 - (blocks.bit_length() - 1)
+    def __init__(self, parts: list[np.ndarray | Broadcast], blocks: int, per: int):
+        self.parts, self.blocks, self.per = parts, blocks, per
 
     @staticmethod
     def places(items: np.ndarray, level: int):
@@ -94,38 +94,52 @@ class Filter:
             yield (x & np.uint64(BLOCK - 1)).astype(np.int64)
             x = x + step
 
-    def _block(self, items: np.ndarray) -> np.ndarray:
-        blocks = len(self.bits) * 8 // BLOCK
-        if blocks == 1:
-            return np.zeros(len(items), np.int64)
-        return (items >> np.uint64(self.block_shift(blocks))).astype(np.int64) * (BLOCK // 8)
+    def _bits(self, part: int) -> np.ndarray:
+        found = self.parts[part]
+        if not isinstance(found, Broadcast):
+            return found
+        bits = found.value
+        if len(self.parts) > 1 and getattr(found, "_path", None):  # read again when it is next asked for
+            found.__dict__.pop("_value", None)
+        return bits
 
     def levels(self, items: np.ndarray) -> np.ndarray:
         """Level of each n-gram: probes until an item is missing."""
+        block = ((items >> np.uint64(32)) * np.uint64(self.blocks) >> np.uint64(32)).astype(np.int64)
+        if len(self.parts) == 1:
+            return self._probe(self._bits(0), items, block * (BLOCK // 8))
+        out = np.zeros(len(items), np.int64)
+        order = np.argsort(block)
+        ends = np.searchsorted(block[order], np.arange(len(self.parts) + 1) * self.per)
+        for part in np.flatnonzero(np.diff(ends)):
+            own = order[ends[part]:ends[part + 1]]
+            out[own] = self._probe(self._bits(part), items[own], (block[own] - part * self.per) * (BLOCK // 8))
+        return out
+
+    def _probe(self, bits: np.ndarray, items: np.ndarray, base: np.ndarray) -> np.ndarray:
         out = np.zeros(len(items), np.int64)
         alive = np.arange(len(items))
-        base = self._block(items)
         for level in range(1, LEVELS + 1):
             for place in self.places(items, level):
                 place = place[alive] if len(alive) < len(items) else place
-                hit = (self.bits[base[alive] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0
+                hit = (bits[base[alive] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0
                 alive = alive[hit]
                 if not len(alive):
                     return out
             out[alive] = level
             if len(alive) < len(items) // 2:  # go on with the few
-                out[alive] = np.maximum(out[alive], self._rest(items[alive], base[alive], level))
+                out[alive] = np.maximum(out[alive], self._rest(bits, items[alive], base[alive], level))
                 return out
         return out
 
-    def _rest(self, items, base, level):
+    def _rest(self, bits, items, base, level):
         out = np.full(len(items), level, np.int64)
         alive = np.arange(len(items))
         for q in range(level + 1, LEVELS + 1):
             own = items[alive]
             ok = np.ones(len(alive), bool)
             for place in self.places(own, q):
-                ok &= (self.bits[base[alive] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0
+                ok &= (bits[base[alive] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0
             alive = alive[ok]
             if not len(alive):
                 break
@@ -135,13 +149,18 @@ class Filter:
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None
     tokens: int
     vocabulary: int
     frequent: np.ndarray  # sorted hashes
     counts: np.ndarray
     weights: np.ndarray | None = None  # by level of the word before, known pairs before
 
+    def send(self, spark: SparkSession):
+        """A function that gives the model in a task; the filter is not loaded with it."""
+        rest, probed = spark.sparkContext.broadcast(replace(self, filter=None)), self.filter
+        return lambda: replace(rest.value, filter=probed)
+
     @property
     def total(self) -> float:
         return self.tokens + 0.1 * (self.vocabulary + 1)
@@ -196,22 +215,12 @@ def _count(rows: DataFrame, of_pairs: bool) -> DataFrame:
 _LEVEL = "cast(floor(log2(c)) as int) + 1"
 
 
-def _kept_from(table: DataFrame, room: int) -> tuple[int, int]:
-    """(lowest level whose items and all above fit ``room``, items they take)."""
-    used, lowest = 0, LEVELS + 1
-    for r in sorted(table.groupBy(F.expr(_LEVEL).alias("q")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
-        if used + r.q * r.n > room:
-            break
-        used, lowest = used + r.q * r.n, r.q
-    return lowest, used
-
-
-def build_filter(items: DataFrame, bits: int = FILTER_BITS) -> Filter:
-    """The filter of (h, q). Whole blocks are filled in tasks; the driver gets
-    ``bits`` bits, a fixed number."""
-    blocks = max(1, bits // BLOCK)
-    shift = Filter.block_shift(blocks)
-    block = F.shiftrightunsigned("h", shift).cast("int") if blocks > 1 else F.lit(0)
+def build_filter(items: DataFrame, bits: int = RANGE_BITS) -> Filter:
+    """The filter of (h, q), sized by its items. Whole blocks are filled in
+    tasks; the driver gets ``bits`` bits at a time."""
+    held = items.agg(F.sum("q")).first()[0] or 0
+    blocks, per = max(1, -(-held * BITS_PER_ITEM // BLOCK)), max(1, bits // BLOCK)
+    block = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(blocks), 32).cast("int")
 
     def run(batches):
         filled: dict[int, np.ndarray] = {}
@@ -228,24 +237,29 @@ def build_filter(items: DataFrame, bits: int = FILTER_BITS) -> Filter:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
     dealt = items.select(block.alias("block"), "h", "q").repartition("block")
-    out = np.zeros(blocks * BLOCK // 8, np.uint8)
-    for r in dealt.mapInArrow(run, "block int, bits binary").collect():
-        at = r.block * (BLOCK // 8)
-        out[at:at + BLOCK // 8] |= np.frombuffer(r.bits, np.uint8)
-    return Filter(out)
+    done = materialise(dealt.mapInArrow(run, "block int, bits binary"), "lm-bits")
+    parts = []
+    for first in range(0, blocks, per):
+        part = np.zeros(min(per, blocks - first) * BLOCK // 8, np.uint8)
+        for r in done.where(F.col("block").between(first, first + per - 1)).collect():
+            at = (r.block - first) * (BLOCK // 8)
+            part[at:at + BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
+        parts.append(items.sparkSession.sparkContext.broadcast(part))
+    return Filter(parts, blocks, per)
 
 
 def _fit_weights(rows: DataFrame, model: Model) -> np.ndarray:
     """EM over a table of (cell, ratio of pair to word probability)."""
     cells, ratios = (LEVELS + 1) * (RUN + 1), 64
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = model.send(rows.sparkSession)
 
     def run(batches):
+        m = sent()
         total = np.zeros(cells * ratios, np.int64)
         for batch in batches:
             for a, b in slices(byte_sizes(batch.column(0)), CHUNK_BYTES):
                 tokens, sizes = stream(texts_of(batch.column(0).slice(a, b - a)))
-                word, pair, cell, _, _ = sent.value.parts(tokens, sizes, True)
+                word, pair, cell, _, _ = m.parts(tokens, sizes, True)
                 with np.errstate(divide="ignore"):
                     ratio = np.where(pair > 0, np.clip(np.rint(2 * np.log2(pair / word)) + 20, 1, ratios - 1), 0).astype(np.int64)
                 total += np.bincount(cell * ratios + ratio, minlength=cells * ratios)
@@ -267,19 +281,17 @@ def _fit_weights(rows: DataFrame, model: Model) -> np.ndarray:
     return weight
 
 
-def train(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT, id_col: str = "doc_id",
+def train(docs: DataFrame, bits: int = RANGE_BITS, frequent: int = FREQUENT, id_col: str = "doc_id",
           text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the exact counts (h, c) of all training tokens."""
+    """The model, and the exact counts (h, c) of the training tokens that are
+    not in its dictionary. The filter is held ``bits`` bits at a time."""
     rows = _train_rows(docs, id_col, text_col)
     words = materialise(_count(rows, False), "lm-words")
     tokens, vocabulary = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    tokens, room = tokens or 0, bits // BITS_PER_ITEM
+    tokens = tokens or 0
     pairs = materialise(_count(rows, True), "lm-pairs")
-    from_word, used = _kept_from(words, room // 4)
-    from_pair, _ = _kept_from(pairs, room - used)
     level = F.expr(_LEVEL).alias("q")
-    items = (words.select("h", level).where(F.col("q") >= from_word)
-             .unionByName(pairs.select("h", level).where(F.col("q") >= from_pair)))
+    items = words.select("h", level).unionByName(pairs.select("h", level))
     # From the most frequent down, in bins of counts, as long as they fit.
     bins = words.groupBy(F.floor(16 * F.log2("c")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"))
     threshold, held = 1 << 62, 0
@@ -298,10 +310,10 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, frequent: int = FREQUENT, id
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sql, kind = _id_type(docs, id_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.send(docs.sparkSession)
 
     def run(batches):
-        m = sent.value
+        m = sent()
         for batch in batches:
             for a, b in slices(byte_sizes(batch.column(1)), CHUNK_BYTES):
                 part = batch.slice(a, b - a)

@@ -80,6 +80,31 @@ def test_many_copies_keep_rare_pairs(spark):
     assert (model.filter.levels(L.pairs_of(once[1:-1])) >= 1).all()
 
 
+def test_filter_grows(spark):
+    """More n-grams than one range of bits holds: none is lost, and the number
+    of ranges changes no score."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.2, 300) % 50_000)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, rare = L.train(df, bits=1 << 19)
+    words, pairs = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            h, _ = L.stream([t])
+            words.update(h[1:].tolist())
+            pairs.update(L.pairs_of(h).tolist())
+    assert (len(words) + len(pairs)) * L.BITS_PER_ITEM > 1 << 19
+    assert len(model.filter.parts) > 1
+    for counts in (words, pairs):
+        true = L.level_of(np.array(list(counts.values())))
+        got = model.filter.levels(np.array(list(counts), np.uint64))
+        assert (got >= true).all() and (got == true).mean() > 0.95
+    one, _ = L.train(df)
+    assert len(one.filter.parts) == 1
+    want = {r.doc_id: r.score for r in L.score(df, one, rare).collect()}
+    assert {r.doc_id: r.score for r in L.score(df, model, rare).collect()} == want
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_documents(spark, sf):
     rows = {r.doc_id: r.text for r in read_table(spark, sf, "documents").collect()}
