@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -64,15 +65,22 @@ class FanOut:
     telemetry: str
     reports: str
     quarantine: str
+    counts: str
 
     def await_all(self) -> None:
         self.query.awaitTermination()
 
     def metrics(self) -> list[dict]:
-        """Observed counts of the micro-batches that ran lately."""
-        seen = [p["observedMetrics"]["telemetry"] for p in self.query.recentProgress
-                if p.get("observedMetrics")]
-        return [{"messages": m["messages"], "crashes": m["crashes"]} for m in seen]
+        """Counts of every micro-batch in order, those before a restart
+        included; the query's own progress holds the last ones only."""
+        spark = SparkSession.active()
+        try:
+            rows = spark.read.schema("messages long, crashes long, batch_id long").parquet(self.counts)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # no batch ran yet
+                return []
+            raise
+        return [{"messages": r["messages"], "crashes": r["crashes"]} for r in rows.orderBy("batch_id").collect()]
 
 
 def _source(spark: SparkSession, source: str | DataFrame,
@@ -112,13 +120,14 @@ def start_crash_fanout(spark: SparkSession, source: str | DataFrame, out: str, c
                        interval: str = TRIGGER_INTERVAL) -> FanOut:
     """Archives everything good, reports crashes and keeps bad messages, each
     under ``batch_id=N`` of its folder. A micro-batch is parsed and judged
-    once and held while its three outputs are written. ``interval`` also sets
+    once and held while its three outputs and its counts are written. ``interval`` also sets
     how large the archive's files become."""
     helpers = ("_corrupt_record", "_type_error", "value")
     raw = _source(spark, source, max_files_per_trigger)
     stored = [c for c in raw.columns if c not in helpers] + ["event_time"]
     judged = observed(judge(raw, profile, thr))
-    found = FanOut(None, f"{out}/telemetry", f"{out}/reports", f"{out}/quarantine")
+    found = FanOut(None, f"{out}/telemetry", f"{out}/reports", f"{out}/quarantine",
+                   f"{out}/counts")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -131,6 +140,8 @@ def start_crash_fanout(spark: SparkSession, source: str | DataFrame, out: str, c
                                       (bad, found.quarantine, ())):
                 (df.write.mode("overwrite").partitionBy(*parts)
                  .parquet(f"{folder}/batch_id={batch_id}"))
+            counts = batch.agg(F.count(F.lit(1)).alias("messages"), F.count_if("is_crash").alias("crashes"))
+            counts.write.mode("overwrite").parquet(f"{found.counts}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 

@@ -44,6 +44,23 @@ def test_fan_out_and_restart(spark, tmp_path):
     assert spark.read.parquet(f"{out}/telemetry").count() == 4
 
 
+def test_metrics_of_every_batch(spark, tmp_path):
+    """More micro-batches than the query keeps progress updates of, and a restart."""
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(kept, "2")
+    try:
+        for i in range(5):
+            _write(src, f"{i}.json", [message(10 * i + k, g=9.0 if k else 1.0) for k in range(2)])
+        h = start_crash_fanout(spark, src, out, ckpt, available_now=True, max_files_per_trigger=1)
+        h.await_all()
+        assert h.metrics() == [{"messages": 2, "crashes": 1}] * 5
+        _write(src, "z.json", [message(99)])
+        assert _run(spark, src, out, ckpt).metrics() == [{"messages": 2, "crashes": 1}] * 5 + [{"messages": 1, "crashes": 0}]
+    finally:
+        spark.conf.unset(kept)
+
+
 def test_streaming_frame_and_thresholds(spark, tmp_path):
     """A streaming DataFrame as the source; tuned thresholds reach every job."""
     from impactlens.config import Thresholds
