@@ -43,7 +43,8 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 MAX_FILE = 32 << 20
-MAX_HEAD = 1 << 16
+#: First read of a plain record's headers; longer ones are read on.
+HEAD = 1 << 16
 WINDOW = 1 << 18
 
 
@@ -92,7 +93,7 @@ def _split(data: bytes) -> tuple[dict, bytes, int]:
     """(headers, block, bytes used) of the record that ``data`` starts with."""
     if not _START.match(data):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", 0, MAX_HEAD)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("no end of headers")
     head = {}
@@ -149,8 +150,12 @@ def _member_at(f: _File, at: int) -> tuple[dict, bytes, int]:
 
 
 def _plain_at(f: _File, at: int) -> tuple[dict, bytes, int]:
-    data = f.at(at, MAX_HEAD)
-    end = data.find(b"\r\n\r\n")
+    data = f.at(at, HEAD)
+    while (end := data.find(b"\r\n\r\n")) < 0 and at + len(data) < f.size:
+        # Only lines that may be headers are read on.
+        if not all(_NAME.fullmatch(line.partition(b":")[0]) and b":" in line for line in data.split(b"\r\n")[1:-1]):
+            raise Damaged("no header line")
+        data = f.at(at, 2 * len(data))
     length = next((line.partition(b":")[2].strip() for line in data[:max(end, 0)].split(b"\r\n")
                    if line.lower().startswith(b"content-length:")), b"")
     if not length.isdigit():

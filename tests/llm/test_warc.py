@@ -1,6 +1,7 @@
 import io
 import os
 import random
+from urllib.parse import unquote
 
 from impactlens.llm import queries, warc
 from impactlens.llm.common import read_table
@@ -35,6 +36,19 @@ def test_salvage():
     assert read(b"") == [] and read(b"abc") == [("gap", 0, 3, "neither member nor version line", None)]
 
 
+def test_long_url():
+    """Headers of more than 64 KiB, in members and plain; the file may go on or end there."""
+    urls = ["http://x/" + "é" * n for n in (5, 11_000, 200_000)]
+    plain = [warc.record(i, url, b"page", None, False) for i, url in enumerate(urls * 2)]
+    for whole in (b"".join(map(warc.member, plain)), b"".join(plain)):
+        found = read(whole)
+        assert [x[0] for x in found] == ["record"] * 6
+        assert [unquote(x[3]["warc-target-uri"]) for x in found] == urls * 2
+    cut = plain[1] + plain[2][:100_000]
+    assert [x[0] for x in read(cut)] == ["record", "gap"]
+    assert [x[0] for x in read(b"WARC/1.1\r\n" + b"no header\r\n" * 20_000 + plain[1])] == ["gap", "record"]
+
+
 def test_cases(spark, tmp_path):
     rows = [(5, "u", "same", "x"), (3, None, "same", "x"), (9, "u\r\nX: y", "same", "x"), (7, "u", None, "x"),
             (8, "u", "", "x"), (None, "u", "same", "x"), (2, "u", "é" * 400_000, "x"), (4, "u", "one", "x"), (4, "u", "one", "x"),
