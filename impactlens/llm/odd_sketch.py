@@ -7,8 +7,9 @@ represented by its smallest id. MinHash samples of the set are banded
 probability 0.999997) and all samples are folded into an odd sketch: a bitmap
 in which every sample flips one bit, so the XOR of two sketches has a
 population count that tells high similarities precisely. Candidates below
-``FLOOR`` by that estimate are dropped (five standard errors under the
-threshold); the rest are confirmed on full sets.
+``FLOOR`` by that estimate are dropped (computed for independent samples: 8 in
+100 million pairs at the threshold, less than the bands miss); the rest are
+confirmed on full sets.
 
 Groups of near copies are never expanded into pairs. First every class is
 confirmed against one partner: the smallest class of the bucket it shares most
@@ -42,7 +43,7 @@ from .words import P, mix, word_hashes
 
 BANDS, ROWS, SAMPLES = 24, 4, 128
 SKETCH_BITS = 256
-FLOOR = 0.6
+FLOOR = 0.5
 BLOCK = 768
 CHUNK_BYTES = 4 << 20
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -53,6 +54,19 @@ def test_sketch_estimates():
             assert np.mean(errors) < 0.35
 
 
+def test_filter_loses_less_than_bands():
+    """The chance that a pair at the threshold has more than MOST_BITS differing
+    bits: each unlike sample flips two random bits."""
+    n, k = O.SKETCH_BITS, np.arange(O.SKETCH_BITS + 1)
+    odd, lost = np.eye(1, n + 1)[0], 0.0
+    for unlike in range(O.SAMPLES + 1):
+        chance = math.comb(O.SAMPLES, unlike) * 0.2**unlike * 0.8 ** (O.SAMPLES - unlike)
+        lost += chance * odd[O.MOST_BITS + 1:].sum()
+        for _ in range(2):
+            odd = np.append(0, (odd * (1 - k / n))[:-1]) + np.append((odd * k / n)[1:], 0)
+    assert lost < (1 - 0.8**O.ROWS) ** O.BANDS
+
+
 def mixed(rng):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows, passage = [], [word() for _ in range(60)]
