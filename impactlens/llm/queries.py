@@ -75,6 +75,12 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import link_statistics
+
+    return link_statistics(read_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zlib import crc32
 
@@ -102,6 +108,7 @@ QUERIES = {
     "op10_spotsigs": op10_spotsigs,
     "op5_lm_bloom": op5_lm_bloom,
     "op6_byte_bpe": op6_byte_bpe,
+    "op12_alignment": op12_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
