@@ -75,6 +75,16 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+#: The rules of op11.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import link_statistics
 
@@ -108,6 +118,7 @@ QUERIES = {
     "op10_spotsigs": op10_spotsigs,
     "op5_lm_bloom": op5_lm_bloom,
     "op6_byte_bpe": op6_byte_bpe,
+    "op11_url_filter": op11_url_filter,
     "op12_alignment": op12_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -121,7 +132,54 @@ def _component(ids: str, links: str) -> str:
         component AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
 
+def _url_oracle(rules: dict, order: int = 4) -> str:
+    """SQL of op11: rules as a table; the models by one join for each length
+    of context."""
+    listed = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in rules.items())
+    lengths = range(1, order + 2)
+    joins = "".join(f" JOIN g g{n} ON g{n}.gram = right(w, {n}) JOIN c c{n} ON c{n}.context = left(g{n}.gram, {n - 1})" for n in lengths)
+
+    def probability(x: str) -> str:
+        p = "(1e0 / (c1.symbols + 1))"
+        for n in lengths:
+            p = f"CASE WHEN c{n}.n{x} > 0 THEN (g{n}.{x} + c{n}.t{x} * {p}) / CAST(c{n}.n{x} + c{n}.t{x} AS DOUBLE) ELSE {p} END"
+        return p
+
+    return f"""WITH rules(rule, host, path, verdict) AS (VALUES {listed}),
+        p AS (
+          SELECT page_id, row_number() OVER () AS id, coalesce(url, '') AS url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) AS h,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+        l AS (
+          SELECT *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            translate(regexp_replace(url, '(?s)^.*?://', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM p),
+        u AS (
+          SELECT l.page_id, l.id, l.url, l.host, l.path, l.text, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS said
+          FROM l LEFT JOIN rules r ON (l.host = r.host OR ends_with(l.host, '.' || r.host)) AND starts_with(l.path, r.path) GROUP BY ALL),
+        k AS (SELECT *, rule IS NOT NULL AND NOT substr(md5(url), 1, 1) IN ('0', '1', '2') AS learnt FROM u),
+        w AS (
+          SELECT id, said, learnt, substr(repeat(chr(2), {order}) || text || chr(3), i, {order + 1}) AS w
+          FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM k)),
+        d AS (SELECT w, count(*) FILTER (WHERE learnt AND said = 'allow') AS a, count(*) FILTER (WHERE learnt AND said = 'block') AS r FROM w GROUP BY w),
+        g AS (SELECT right(w, n) AS gram, sum(a) AS a, sum(r) AS r FROM d, range(1, {order + 2}) t(n) GROUP BY 1),
+        c AS (
+          SELECT left(gram, length(gram) - 1) AS context, sum(a) AS na, count(*) FILTER (WHERE a > 0) AS ta, sum(r) AS nr,
+            count(*) FILTER (WHERE r > 0) AS tr, count(*) AS symbols FROM g GROUP BY 1),
+        x AS (SELECT w, CAST(round((ln({probability("a")}) - ln({probability("r")})) * 1000000) AS BIGINT) AS ratio FROM d{joins}),
+        s AS (SELECT id, sum(ratio) AS total, count(*) AS places FROM w JOIN x USING (w) WHERE NOT learnt GROUP BY id),
+        b AS (
+          SELECT CAST(floor(total / places / 10000) AS BIGINT) AS bin, count(*) FILTER (WHERE said = 'allow') AS good,
+            count(*) FILTER (WHERE said = 'block') AS bad FROM s JOIN k USING (id) WHERE rule IS NOT NULL GROUP BY 1),
+        e AS (
+          SELECT (coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) + bin) * 5000 AS cut, (SELECT coalesce(sum(good), 0) FROM b WHERE bin < t.bin) * (SELECT sum(bad) FROM b)
+            + (SELECT coalesce(sum(bad), 0) FROM b WHERE bin >= t.bin) * (SELECT sum(good) FROM b) AS errors FROM b t
+          WHERE (SELECT sum(good) FROM b) > 0 AND (SELECT sum(bad) FROM b) > 0),
+        t AS (SELECT coalesce((SELECT cut FROM e ORDER BY errors, abs(cut), cut LIMIT 1), 0) AS least)
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN total >= places * least THEN 'allow' ELSE 'block' END) AS verdict
+        FROM k LEFT JOIN s USING (id), t"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_url_filter": _url_oracle(URL_RULES),
     "op3_embedding_lsh": f"""WITH RECURSIVE v AS (
           SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
           WHERE label IS NOT NULL AND embedding IS NOT NULL),
