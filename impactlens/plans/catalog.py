@@ -30,11 +30,12 @@ from ..schema import CRASH_REPORT, TELEMETRY
 from ..session import ensure_utc, scratch_path
 from ..sources.fixture import as_damaged_json, as_json, as_json_layouts, telemetry
 from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_event_time
+from ..sources.messages import stream_messages
 from ..sources.sinks import (
     accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
     publish_crash_reports, read_archive, report_archive_schema, stored_sample)
 from ..streaming.jobs import (
-    judge, quarantined, read_windowed_stats, start_crash_fanout, start_foreach_batch,
+    TRIGGER_INTERVAL, drain, judge, quarantined, read_windowed_stats, start_crash_fanout, start_foreach_batch,
     start_windowed_stats, windowed_driving_stats)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -492,6 +493,61 @@ def q_stream_bounded_batches(spark, sf_dir):
     return _stream_reports(spark, _fanout(spark, sf_dir, max_files_per_trigger=1))
 
 
+def _ordered_landing(spark, sf_dir, parts: int | None = None) -> str:
+    """A landing folder whose files, in order of their names, hold the messages
+    by id: one file of them all, unless ``parts`` are asked for."""
+    ensure_utc(spark)
+    path = scratch_path(spark, "landing")
+    rows = telemetry(spark, sf_dir)
+    dealt = rows.repartitionByRange(parts, "message_id") if parts else rows.coalesce(1)
+    as_json(dealt.sortWithinPartitions("message_id")).write.text(path)
+    return path
+
+
+@query("stream_admission")
+def q_stream_admission(spark, sf_dir):
+    """F2: a hundred messages a micro-batch from one large file, by a running
+    trigger; the job is stopped once and started again."""
+    src = _ordered_landing(spark, sf_dir)
+    out, ckpt = scratch_path(spark, "admission-out"), scratch_path(spark, "admission-ckpt")
+    done = []
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        done.append(batch_id)
+
+    def start():
+        judged = judge(parse_telemetry(stream_messages(spark, src, f"{ckpt}/admissions")))
+        return (judged.select("message_id", "is_crash").writeStream.foreachBatch(keep)
+                .option("checkpointLocation", ckpt).trigger(processingTime="0 seconds").start())
+
+    first = start()
+    while len(done) < 2 and first.isActive:
+        first.awaitTermination(1)
+    first.stop()
+    drain(start())
+    rows = spark.read.schema("message_id long, is_crash boolean, batch_id long").parquet(out)
+    return rows.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("messages"), F.count_distinct("message_id").alias("distinct_messages"),
+        F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"),
+        F.count_if("is_crash").alias("crashes"))
+
+
+@query("stream_trigger")
+def q_stream_trigger(spark, sf_dir):
+    """the fan-out runs every two seconds while messages land in two
+    parts, and is stopped when all have been processed."""
+    ensure_utc(spark)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("trigger-in", "trigger-out", "trigger-ckpt"))
+    rows, handles = telemetry(spark, sf_dir), None
+    for part in (0, 1):
+        as_json(rows.filter(F.col("message_id") % 2 == part)).write.mode("append").text(src)
+        if handles is None:
+            handles = start_crash_fanout(spark, src, out, ckpt, interval=TRIGGER_INTERVAL)
+    handles.drain()
+    return _stream_reports(spark, handles)
+
+
 @query("stream_restart")
 def q_stream_restart(spark, sf_dir):
     """the job stops, more messages land, it goes on where it was."""

@@ -245,6 +245,10 @@ ORACLE.update({
     "stream_quarantine": ORACLE["quarantine"],
     "stream_bounded_batches": _report(*_MSG_REPORT),
     "stream_restart": _report(*_MSG_REPORT),
+    "stream_trigger": _report(*_MSG_REPORT),
+    "stream_admission": _q("""SELECT batch_id, count(*) AS messages, count(DISTINCT message_id) AS distinct_messages,
+        min(message_id) AS first_id, max(message_id) AS last_id, count(*) FILTER (WHERE msg_is_crash) AS crashes
+      FROM (SELECT *, (row_number() OVER (ORDER BY message_id) - 1) // 100 AS batch_id FROM s) GROUP BY batch_id"""),
     "stream_metrics": _q("""SELECT count(*) AS messages, count(*) FILTER (WHERE msg_is_crash) AS crashes FROM s"""),
     "reports_json_flat": _report(*_MSG_REPORT, extra=""", message_id, date AS report_date,
         strftime(event_time, '%H') AS report_hour"""),

@@ -149,13 +149,20 @@ def canonicalise(df: DataFrame, value_col: str = "value") -> DataFrame:
     return parse_telemetry(df, value_col)
 
 
+#: A micro-batch of files where no other limit is asked for.
+MAX_BYTES_PER_TRIGGER = 1 << 30
+
+
 def read_telemetry(spark: SparkSession, path: str, streaming: bool = False,
                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """JSON-lines files (one message per line) -> canonical telemetry."""
+    """JSON-lines files (one message per line) -> canonical telemetry. A stream
+    takes a number of files in each micro-batch, or ``MAX_BYTES_PER_TRIGGER``."""
     if streaming:
         reader = spark.readStream.format("text")
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        else:
+            reader = reader.option("maxBytesPerTrigger", str(MAX_BYTES_PER_TRIGGER))
         return parse_telemetry(reader.load(path))
     return parse_telemetry(spark.read.text(path))
 

@@ -2,7 +2,9 @@
 
 The same DataFrame operators run on any streaming source with a string
 ``value`` column: a streaming DataFrame (a message broker, a socket, files),
-or the path of a folder in which messages land as JSON lines. Every message
+or the path of a folder in which messages land as JSON lines. A folder's
+micro-batches are limited by bytes (the default), by files or by messages; a
+streaming DataFrame brings its own limit. Every message
 is parsed and judged once; the outputs are written per micro-batch from that
 one result, each under its batch id, so a replayed batch replaces its own
 output and nothing is written twice.
@@ -23,6 +25,7 @@ from ..operators.detect import analyse, crash_condition, crash_type, risk_weight
 from ..operators.report import crash_reports, unbuildable_reason
 from ..sources.ingest import (
     parse_telemetry, prepare, quarantine_reason, read_telemetry, with_event_time)
+from ..sources.messages import stream_messages
 from ..sources.sinks import accident_alerts, publish_crash_reports, telemetry_for_archive
 
 TRIGGER_INTERVAL = "2 seconds"
@@ -70,6 +73,9 @@ class FanOut:
     def await_all(self) -> None:
         self.query.awaitTermination()
 
+    def drain(self) -> None:
+        drain(self.query)
+
     def metrics(self) -> list[dict]:
         """Counts of every micro-batch in order, those before a restart
         included; the query's own progress holds the last ones only."""
@@ -83,11 +89,26 @@ class FanOut:
         return [{"messages": r["messages"], "crashes": r["crashes"]} for r in rows.orderBy("batch_id").collect()]
 
 
-def _source(spark: SparkSession, source: str | DataFrame,
-            max_files_per_trigger: int | None = None) -> DataFrame:
+def drain(query: StreamingQuery) -> None:
+    """Ends a query that runs by a trigger once it has processed everything
+    that has landed."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def _source(spark: SparkSession, source: str | DataFrame, checkpoint: str, available_now: bool,
+            max_files_per_trigger: int | None = None, max_messages_per_trigger: int | None = None) -> DataFrame:
     """Canonical telemetry from a folder, or from a DataFrame with ``value``."""
     if isinstance(source, DataFrame):
+        if max_files_per_trigger or max_messages_per_trigger:
+            raise ValueError("a streaming DataFrame is limited by the options of its own source")
         return parse_telemetry(source)
+    if max_messages_per_trigger:
+        if max_files_per_trigger or available_now:
+            raise ValueError("a limit of messages excludes one of files, and runs by a trigger (then drain the query)")
+        return parse_telemetry(stream_messages(spark, source, f"{checkpoint}/admissions", max_messages_per_trigger))
     return read_telemetry(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
 
 
@@ -117,13 +138,14 @@ def start_crash_fanout(spark: SparkSession, source: str | DataFrame, out: str, c
                        max_files_per_trigger: int | None = None,
                        thr: Thresholds = DEFAULT_THRESHOLDS,
                        partition_cols: tuple[str, ...] = ("date",),
-                       interval: str = TRIGGER_INTERVAL) -> FanOut:
+                       interval: str = TRIGGER_INTERVAL,
+                       max_messages_per_trigger: int | None = None) -> FanOut:
     """Archives everything good, reports crashes and keeps bad messages, each
     under ``batch_id=N`` of its folder. A micro-batch is parsed and judged
     once and held while its three outputs and its counts are written. ``interval`` also sets
     how large the archive's files become."""
     helpers = ("_corrupt_record", "_type_error", "value")
-    raw = _source(spark, source, max_files_per_trigger)
+    raw = _source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger)
     stored = [c for c in raw.columns if c not in helpers] + ["event_time"]
     judged = observed(judge(raw, profile, thr))
     found = FanOut(None, f"{out}/telemetry", f"{out}/reports", f"{out}/quarantine",
@@ -153,13 +175,14 @@ def start_crash_fanout(spark: SparkSession, source: str | DataFrame, out: str, c
 def start_windowed_stats(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
                          available_now: bool = False, watermark: str = "10 minutes",
                          window: str = WINDOW, thr: Thresholds = DEFAULT_THRESHOLDS,
-                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+                         max_files_per_trigger: int | None = None,
+                         max_messages_per_trigger: int | None = None) -> StreamingQuery:
     """Windowed statistics. Each micro-batch writes every window it changed
     (update mode), the latest ones included; :func:`read_windowed_stats` reads
     the last state of each. The watermark only bounds what is kept in memory:
     rows later than it still reach the archive and count in
     ``numRowsDroppedByWatermark`` of the query's progress."""
-    good, _ = prepare(_source(spark, source, max_files_per_trigger))
+    good, _ = prepare(_source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger))
     stats = windowed_driving_stats(analyse(good, "batch", thr), window, watermark, thr)
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -179,9 +202,10 @@ def read_windowed_stats(spark: SparkSession, out: str) -> DataFrame:
 
 def start_report_feed(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
                       available_now: bool = False, profile: str = "message",
-                      thr: Thresholds = DEFAULT_THRESHOLDS) -> StreamingQuery:
+                      thr: Thresholds = DEFAULT_THRESHOLDS, max_files_per_trigger: int | None = None,
+                      max_messages_per_trigger: int | None = None) -> StreamingQuery:
     """Crash reports as JSON documents (text sink, one document per line)."""
-    good, _ = prepare(_source(spark, source))
+    good, _ = prepare(_source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger))
     reports, _ = crash_reports(analyse(good, profile, thr), profile, thr=thr)
     w = (publish_crash_reports(reports).writeStream.format("text").option("path", out)
          .option("checkpointLocation", checkpoint).outputMode("append"))
@@ -192,13 +216,14 @@ def start_foreach_batch(spark: SparkSession, source: str | DataFrame, handler, c
                         profile: str = "message", available_now: bool = False,
                         max_files_per_trigger: int | None = None,
                         interval: str = TRIGGER_INTERVAL,
-                        thr: Thresholds = DEFAULT_THRESHOLDS) -> StreamingQuery:
+                        thr: Thresholds = DEFAULT_THRESHOLDS,
+                        max_messages_per_trigger: int | None = None) -> StreamingQuery:
     """Hands each micro-batch to ``handler(reports, alerts, batch_id)`` for
     targets that have no native streaming sink (a message broker, a JDBC
     table). The judged batch is persisted while the handler writes its
     outputs and released afterwards. Delivery is at least once: the handler
     must write idempotently per ``batch_id`` (e.g. overwrite a batch key)."""
-    good, _ = prepare(_source(spark, source, max_files_per_trigger))
+    good, _ = prepare(_source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger))
     judged = analyse(good, profile, thr)
 
     def run(batch: DataFrame, batch_id: int) -> None:
