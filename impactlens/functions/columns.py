@@ -38,6 +38,25 @@ def exact_avg(c: Column) -> Column:
     return F.when(F.count_if(c.isNotNull() & fixed.isNull()) > 0, lit_d(float("nan"))).otherwise(mean)
 
 
+def mean_parts(c: Column, name: str) -> list[Column]:
+    """Aggregates that :func:`mean_of_parts` divides; those of several tables
+    add up (:func:`merged_parts`) to the same mean as one table's."""
+    fixed = c.try_cast("decimal(28,9)")
+    return [F.sum(fixed).cast("decimal(38,9)").alias(f"{name}_sum"), F.count(c).alias(f"{name}_values"),
+            F.count_if(c.isNotNull() & fixed.isNull()).alias(f"{name}_odd")]
+
+
+def merged_parts(name: str) -> list[Column]:
+    return [F.sum(f"{name}_{part}").cast(kind).alias(f"{name}_{part}")
+            for part, kind in (("sum", "decimal(38,9)"), ("values", "long"), ("odd", "long"))]
+
+
+def mean_of_parts(name: str) -> Column:
+    """The mean of :func:`exact_avg` from its parts."""
+    mean = F.col(f"{name}_sum").cast("double") / F.nullif(F.col(f"{name}_values"), F.lit(0))
+    return F.when(F.col(f"{name}_odd") > 0, lit_d(float("nan"))).otherwise(mean)
+
+
 def sq(c: Column) -> Column:
     return c * c
 

@@ -35,8 +35,8 @@ from ..sources.sinks import (
     accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
     publish_crash_reports, read_archive, report_archive_schema, stored_sample)
 from ..streaming.jobs import (
-    TRIGGER_INTERVAL, drain, judge, quarantined, read_windowed_stats, start_crash_fanout, start_foreach_batch,
-    start_windowed_stats, windowed_driving_stats)
+    TRIGGER_INTERVAL, drain, judge, quarantined, read_window_parts, read_windowed_stats, start_crash_fanout,
+    start_foreach_batch, start_window_parts, start_windowed_stats, windowed_driving_stats)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -582,6 +582,22 @@ def q_stream_window_stats(spark, sf_dir):
                      r6("avg_risk_score"), "message_count")
 
 
+@query("stream_late_windows")
+def q_stream_late_windows(spark, sf_dir):
+    """F4 with late rows: messages are dealt over files regardless of their
+    time and a micro-batch takes one file, so most windows get rows far behind
+    the latest event time."""
+    ensure_utc(spark)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("late-in", "late-out", "late-ckpt"))
+    rows = telemetry(spark, sf_dir)
+    as_json(rows.repartition(8, F.xxhash64("message_id"))).write.text(src)
+    start_window_parts(spark, src, out, ckpt, available_now=True, max_files_per_trigger=1).awaitTermination()
+    df = read_window_parts(spark, out)
+    return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                     "policy_id", r6("avg_speed"), "max_g_force", "min_g_force",
+                     r6("avg_risk_score"), "message_count")
+
+
 @query("foreach_batch_reports")
 def q_foreach_batch_reports(spark, sf_dir):
     """G3/F3 for external targets: each micro-batch is persisted, its crash

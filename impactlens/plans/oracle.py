@@ -167,6 +167,7 @@ ORACLE.update({
         FROM g WHERE g_force > 4.0e0"""),
     "driving_stats_30s": _q(_WINDOWS.format(where="")),
     "stream_window_stats": _q(_WINDOWS.format(where="")),
+    "stream_late_windows": _q(_WINDOWS.format(where="")),
     "g_force_reconciliation": _q(f"""SELECT policy_id, count(*) AS messages,
         count(*) FILTER (WHERE abs(g_force - total_g_force) > 0.5e0) AS mismatches,
         round(count(*) FILTER (WHERE abs(g_force - total_g_force) > 0.5e0) / count(*), 6) AS mismatch_rate,

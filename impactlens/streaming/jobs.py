@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT_THRESHOLDS, Thresholds
-from ..functions.columns import exact_avg
+from ..functions.columns import exact_avg, mean_of_parts, mean_parts, merged_parts
 from ..operators.detect import analyse, crash_condition, crash_type, risk_weight_of
 from ..operators.report import crash_reports, unbuildable_reason
 from ..sources.ingest import (
@@ -181,7 +181,8 @@ def start_windowed_stats(spark: SparkSession, source: str | DataFrame, out: str,
     (update mode), the latest ones included; :func:`read_windowed_stats` reads
     the last state of each. The watermark only bounds what is kept in memory:
     rows later than it still reach the archive and count in
-    ``numRowsDroppedByWatermark`` of the query's progress."""
+    ``numRowsDroppedByWatermark`` of the query's progress
+    (:func:`start_window_parts` takes rows of any age)."""
     good, _ = prepare(_source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger))
     stats = windowed_driving_stats(analyse(good, "batch", thr), window, watermark, thr)
 
@@ -200,6 +201,52 @@ def read_windowed_stats(spark: SparkSession, out: str) -> DataFrame:
             .drop("_n", "batch_id"))
 
 
+def window_parts(df: DataFrame, window: str = WINDOW, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
+    """What a set of rows adds to the windows of :func:`windowed_driving_stats`:
+    fixed-point sums, counts and extremes per window and policy. Parts of any
+    split of the rows, in any order, merge to the same statistics."""
+    normal = df.filter(~crash_condition("batch", thr)).withColumn("risk_weight", risk_weight_of(crash_type("batch", thr)))
+    out = normal.groupBy(F.window("event_time", window).alias("w"), "policy_id").agg(
+        *mean_parts(F.col("speed_mph"), "speed"), *mean_parts(F.col("risk_weight"), "risk"),
+        F.max("g_force").alias("max_g_force"), F.min("g_force").alias("min_g_force"),
+        F.count(F.lit(1)).alias("message_count"))
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *out.columns[1:])
+
+
+def merge_window_parts(parts: DataFrame) -> DataFrame:
+    """One row per window and policy, still in parts."""
+    return parts.groupBy("window_start", "window_end", "policy_id").agg(
+        *merged_parts("speed"), *merged_parts("risk"),
+        F.max("max_g_force").alias("max_g_force"), F.min("min_g_force").alias("min_g_force"),
+        F.sum("message_count").alias("message_count"))
+
+
+def start_window_parts(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
+                       available_now: bool = False, window: str = WINDOW, thr: Thresholds = DEFAULT_THRESHOLDS,
+                       max_files_per_trigger: int | None = None,
+                       max_messages_per_trigger: int | None = None) -> StreamingQuery:
+    """Windowed statistics that accept rows of any age: each micro-batch writes
+    what it adds to its windows, under its batch id, and
+    :func:`read_window_parts` merges that when it is read. No window is ever
+    closed, nothing is kept in memory between batches, and a batch that is run
+    again replaces its own part."""
+    good, _ = prepare(_source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger))
+    judged = analyse(good, "batch", thr)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        window_parts(batch, window, thr).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    w = judged.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(w, available_now, TRIGGER_INTERVAL).queryName("impactlens_window_parts").start()
+
+
+def read_window_parts(spark: SparkSession, out: str) -> DataFrame:
+    """The statistics of :func:`windowed_driving_stats` over all rows so far."""
+    merged = merge_window_parts(spark.read.parquet(out))
+    return merged.select("window_start", "window_end", "policy_id", mean_of_parts("speed").alias("avg_speed"),
+                         "max_g_force", "min_g_force", mean_of_parts("risk").alias("avg_risk_score"), "message_count")
+
+
 def start_report_feed(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
                       available_now: bool = False, profile: str = "message",
                       thr: Thresholds = DEFAULT_THRESHOLDS, max_files_per_trigger: int | None = None,

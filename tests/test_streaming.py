@@ -130,3 +130,27 @@ def test_report_feed_writes_json_documents(spark, tmp_path):
     docs = spark.read.schema(CRASH_REPORT).json(out).collect()
     assert sorted(d["crash_type"] for d in docs) == ["HIGH_G_FORCE", "SUDDEN_STOP"]
     assert all(d["report_id"] == "CRASH-TESTPOLICY-1721817000000" for d in docs)
+
+
+def test_late_rows_reach_their_windows(spark, tmp_path):
+    """Rows days behind the latest one, a batch that runs again, NaN and null."""
+    from impactlens.streaming.jobs import read_window_parts, start_window_parts, windowed_driving_stats
+    from impactlens.operators.detect import analyse
+    from impactlens.sources.ingest import parse_telemetry, prepare
+
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    days = ["2024-07-24T10:30:00Z", "2024-07-29T10:30:10Z", "2024-07-24T10:30:05Z", "2024-07-20T00:00:00Z", "2024-07-24T10:30:29Z"]
+    for i, day in enumerate(days):
+        _write(src, f"{i}.json", [message(10 * i + k, speed=10.1 * k, g=1.0 + k / 7, timestamp=day) for k in range(4)]
+               + [message(10 * i + 5, timestamp=day, policy_id=None)])
+    for _ in range(2):
+        start_window_parts(spark, src, out, ckpt, available_now=True, max_files_per_trigger=1).awaitTermination()
+    good, _ = prepare(parse_telemetry(spark.read.text(src)))
+    want = windowed_driving_stats(analyse(good, "batch"), watermark=None)
+    got = read_window_parts(spark, out).select(want.columns)
+    assert got.count() == want.count() == 6 and got.exceptAll(want).count() == 0
+    # The last batch again, as after a failure: it replaces its own part.
+    for name in ("4", ".4.crc"):
+        os.remove(os.path.join(ckpt, "commits", name))
+    start_window_parts(spark, src, out, ckpt, available_now=True, max_files_per_trigger=1).awaitTermination()
+    assert read_window_parts(spark, out).select(want.columns).exceptAll(want).count() == 0
