@@ -1,20 +1,17 @@
 """Cross-checks across a whole table: reported vs derived g, GPS vs
-vehicle speed, trip distance between consecutive fixes, magnetic-field
-anomalies against each vehicle's baseline.
+vehicle speed, magnetic-field anomalies against each vehicle's baseline.
 
 Messages without a vin come from vehicles that are not known: they are
 reported as one group with a null vin, counted and compared with that
-group's mean, but never chained - no segment joins two of them. No
-operator needs a message id; ids only break ties of event time.
+group's mean. No operator needs a message id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_avg, gt, haversine_m
-from .enrich import with_leaves
+from ..functions.columns import exact_avg, gt
 
 
 def g_force_reconciliation(df: DataFrame, tolerance: float = 0.5) -> DataFrame:
@@ -49,63 +46,6 @@ def speed_reconciliation(df: DataFrame, tolerance_mph: float = 5.0) -> DataFrame
     )
 
 
-def trip_distance(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Per vehicle: fixes, segments and metres between consecutive fixes
-    (ordered by event time, then message id).
-
-    Exact, and bounded per task even when one vehicle, one instant or one
-    message copied many times holds a large share of all rows:
-
-    1. fixes are range-partitioned on the full ordering key
-       ``(vin, t, message_id, row id)`` - the row id makes every key unique,
-       so Spark's range partitioner can split any hot vehicle, burst or group
-       of copies across partitions of balanced size;
-    2. consecutive pairs are found inside ``(vin, range partition)`` windows
-       and each such group is reduced to its first fix, last fix and partial
-       sums (the group-by reuses the window's partitioning);
-    3. those group rows - at most one per partition a vehicle spans - are
-       windowed per vehicle in partition order to add the segment crossing
-       each partition boundary, then totalled.
-
-    No join, no per-vehicle collection. Fixes without a vin are counted, but
-    form no segment.
-    """
-    df = with_leaves(df, ("gps_lat", "gps_lon", "has_gps"))
-    fixes = (df.filter(F.col("has_gps"))
-             .select("vin", F.col("event_time").alias("t"), F.col("message_id").alias("mid"),
-                     F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"))
-             .withColumn("uid", F.monotonically_increasing_id()))
-    # Without an explicit count the range exchange takes the session's shuffle
-    # partitions and adaptive execution may merge small neighbours (merged
-    # partitions remain contiguous key ranges, so the stitching still holds).
-    keys = ("vin", "t", "mid", "uid")
-    ranged = (fixes.repartitionByRange(partitions, *keys) if partitions
-              else fixes.repartitionByRange(*keys)).withColumn("part", F.spark_partition_id())
-    w1 = Window.partitionBy("vin", "part").orderBy("t", "mid", "uid")
-    known = F.col("vin").isNotNull()
-    seg = F.when(known, haversine_m(F.lag("lat").over(w1), F.lag("lon").over(w1), F.col("lat"), F.col("lon")))
-    order_key = F.struct("t", "mid", "uid")
-    point = F.struct("lat", "lon")
-    groups = ranged.withColumn("seg", seg).groupBy("vin", "part").agg(
-        F.min_by(point, order_key).alias("first"),
-        F.max_by(point, order_key).alias("last"),
-        F.count(F.lit(1)).alias("fixes"),
-        F.count("seg").alias("segments"),
-        F.sum("seg").alias("dist"),
-        F.max("seg").alias("max_seg"),
-    )
-    w2 = Window.partitionBy("vin").orderBy("part")
-    prev = F.lag("last").over(w2)
-    cross = F.when(known, haversine_m(prev["lat"], prev["lon"], F.col("first.lat"), F.col("first.lon")))
-    return groups.withColumn("cross", cross).groupBy("vin").agg(
-        F.sum("fixes").alias("fixes"),
-        (F.sum("segments") + F.count("cross")).alias("segments"),
-        (F.coalesce(F.sum("dist"), F.lit(0.0)) + F.coalesce(F.sum("cross"), F.lit(0.0)))
-        .alias("total_distance_m"),
-        F.greatest(F.max("max_seg"), F.max("cross")).alias("max_segment_m"),
-    )
-
-
 def magnetic_anomalies(df: DataFrame, threshold: float = 50.0) -> DataFrame:
     """Messages whose field magnitude deviates from the vehicle's mean
     magnitude by more than ``threshold``.

@@ -21,11 +21,12 @@ from ..operators.enrich import (
     LEAVES, PRESENCE, device_health, enrich, environment, gps_quality, heading, motion,
     with_leaves)
 from ..operators.reconcile import (
-    g_force_mismatches, g_force_reconciliation, magnetic_anomalies, speed_reconciliation, trip_distance)
+    g_force_mismatches, g_force_reconciliation, magnetic_anomalies, speed_reconciliation)
 from ..operators.report import crash_alerts, crash_reports, flatten
 from ..operators.stats import (
     batch_summary, crash_events, crash_patterns, daily_counts, driving_stats, normal_events,
     preview, storage_stats, with_dates)
+from ..operators.trips import trip_distance
 from ..schema import CRASH_REPORT, TELEMETRY
 from ..session import ensure_utc, scratch_path
 from ..sources.fixture import as_damaged_json, as_json, as_json_layouts, telemetry
@@ -35,8 +36,8 @@ from ..sources.sinks import (
     accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
     publish_crash_reports, read_archive, report_archive_schema, stored_sample)
 from ..streaming.jobs import (
-    TRIGGER_INTERVAL, drain, judge, quarantined, read_window_parts, read_windowed_stats, start_crash_fanout,
-    start_foreach_batch, start_window_parts, start_windowed_stats, windowed_driving_stats)
+    TRIGGER_INTERVAL, drain, judge, quarantined, read_trips, read_window_parts, read_windowed_stats,
+    start_crash_fanout, start_foreach_batch, start_trips, start_window_parts, start_windowed_stats, windowed_driving_stats)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -302,13 +303,16 @@ def q_speed_reconciliation(spark, sf_dir):
                      r6("max_abs_diff_mph"))
 
 
-@query("trip_distance")
-def q_trip_distance(spark, sf_dir):
-    df = trip_distance(good_rows(spark, sf_dir))
+def _trip_view(df):
     return df.select("vin", "fixes", "segments", F.round("total_distance_m", 3).alias("total_distance_m"),
                      F.round("max_segment_m", 3).alias("max_segment_m"))
 
 
+@query("trip_distance")
+def q_trip_distance(spark, sf_dir):
+    return _trip_view(trip_distance(good_rows(spark, sf_dir)))
+
+
 @query("magnetic_anomalies")
 def q_magnetic_anomalies(spark, sf_dir):
     df = magnetic_anomalies(heading(good_rows(spark, sf_dir)))
@@ -598,6 +602,18 @@ def q_stream_late_windows(spark, sf_dir):
                      r6("avg_risk_score"), "message_count")
 
 
+@query("stream_trips")
+def q_stream_trips(spark, sf_dir):
+    """E3 on a stream: each batch extends the stored summaries; messages come
+    in disorder, so many buckets get rows of several batches."""
+    ensure_utc(spark)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("trips-in", "trips-out", "trips-ckpt"))
+    rows = telemetry(spark, sf_dir)
+    as_json(rows.repartition(4, F.xxhash64("message_id"))).write.text(src)
+    start_trips(spark, src, out, ckpt, available_now=True, max_files_per_trigger=1).awaitTermination()
+    return _trip_view(read_trips(spark, out))
+
+
 @query("foreach_batch_reports")
 def q_foreach_batch_reports(spark, sf_dir):
     """G3/F3 for external targets: each micro-batch is persisted, its crash

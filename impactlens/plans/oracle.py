@@ -207,6 +207,8 @@ ORACLE.update({
         WHERE abs(mag_magnitude - baseline_magnitude) > 50.0e0"""),
 })
 
+ORACLE["stream_trips"] = ORACLE["trip_distance"]
+
 
 _LEAVES = """message_id, policy_id, vin, ts_text AS timestamp, speed_mph, current_street, g_force,
         ax AS acc_x, ay AS acc_y, az AS acc_z, gx AS gyro_x, gy AS gyro_y, gz AS gyro_z,

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT_THRESHOLDS, Thresholds
 from ..functions.columns import exact_avg, mean_of_parts, mean_parts, merged_parts
+from ..operators import trips
 from ..operators.detect import analyse, crash_condition, crash_type, risk_weight_of
 from ..operators.report import crash_reports, unbuildable_reason
 from ..sources.ingest import (
@@ -247,6 +248,32 @@ def read_window_parts(spark: SparkSession, out: str) -> DataFrame:
                          "max_g_force", "min_g_force", mean_of_parts("risk").alias("avg_risk_score"), "message_count")
 
 
+def start_trips(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
+                available_now: bool = False, max_files_per_trigger: int | None = None,
+                max_messages_per_trigger: int | None = None,
+                bucket_seconds: int = trips.BUCKET_SECONDS) -> StreamingQuery:
+    """Trip distances that grow with the stream: each micro-batch stores its
+    fixes and their summaries by vehicle and time bucket, under its batch id;
+    :func:`read_trips` merges the summaries."""
+    good, _ = prepare(_source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger))
+    fixes = trips.fixes_of(good)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/fixes/batch_id={batch_id}")
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/fixes/batch_id={batch_id}")
+        trips.summarise(stored, bucket_seconds).write.mode("overwrite").parquet(f"{out}/summaries/batch_id={batch_id}")
+
+    w = fixes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(w, available_now, TRIGGER_INTERVAL).queryName("impactlens_trips").start()
+
+
+def read_trips(spark: SparkSession, out: str, bucket_seconds: int = trips.BUCKET_SECONDS) -> DataFrame:
+    """:func:`impactlens.operators.trips.trip_distance` of all rows so far."""
+    fixes = spark.read.parquet(f"{out}/fixes").drop("batch_id")
+    summaries = spark.read.parquet(f"{out}/summaries").drop("batch_id")
+    return trips.distances(trips.extended(summaries, fixes, bucket_seconds), trips.unknown_fixes(fixes))
+
+
 def start_report_feed(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
                       available_now: bool = False, profile: str = "message",
                       thr: Thresholds = DEFAULT_THRESHOLDS, max_files_per_trigger: int | None = None,

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from impactlens.operators.reconcile import magnetic_anomalies, trip_distance
+from impactlens.operators.reconcile import magnetic_anomalies
+from impactlens.operators.trips import trip_distance
 
 CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",

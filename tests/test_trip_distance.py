@@ -1,4 +1,4 @@
-"""The range-partitioned trip-distance job against a brute-force pandas
+"""Trip distance from mergeable summaries against a brute-force pandas
 version on a small fixture where one vehicle holds most rows, many fixes share
 one timestamp, and some messages are exact copies (same id and time)."""
 
@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from impactlens.operators.reconcile import trip_distance
+from impactlens.operators import trips
 
 
 def _haversine(lat1, lon1, lat2, lon2):
@@ -19,8 +19,7 @@ def _haversine(lat1, lon1, lat2, lon2):
     return 6371000.0 * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_matches_brute_force(spark, partitions):
+def fixture(spark):
     rnd = random.Random(7)
     rows = []
     mid = 0
@@ -43,8 +42,11 @@ def test_matches_brute_force(spark, partitions):
           .withColumn("gps_lat", F.col("sensors.gps.lat"))
           .withColumn("gps_lon", F.col("sensors.gps.lon"))
           .withColumn("has_gps", F.col("sensors.gps").isNotNull()))
-    got = {r["vin"]: r for r in trip_distance(df, partitions).collect()}
+    return pdf, df
 
+
+def check(pdf, found):
+    got = {r["vin"]: r for r in found.collect()}
     want = {}
     fixes = pdf[~pdf.no_gps].sort_values(["vin", "t", "message_id"])
     for vin, g in fixes.groupby("vin"):
@@ -60,3 +62,37 @@ def test_matches_brute_force(spark, partitions):
             assert r["max_segment_m"] is None
         else:
             assert r["max_segment_m"] == pytest.approx(mx, rel=1e-12)
+
+
+@pytest.mark.parametrize("seconds", [1, 60, 600, 10**6])
+def test_matches_brute_force(spark, seconds):
+    pdf, df = fixture(spark)
+    check(pdf, trips.trip_distance(df, seconds))
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_summaries_of_batches_merge(spark, tmp_path, in_order):
+    """Batches in order of time, and rows dealt to batches by chance."""
+    pdf, df = fixture(spark)
+    fixes = trips.fixes_of(df)
+    ranks = pdf["t"].rank(method="first")
+    cut = pdf["t"].iloc[int(ranks.sort_values().index[len(pdf) // 2])]
+    part = (F.unix_micros("t") < int(cut) * 1_000_000).cast("int") if in_order else F.pmod("mid", F.lit(3))
+    batches = [fixes.filter(part == k) for k in range(3)]
+    summaries = [trips.summarise(b) for b in batches]
+    stored = summaries[0].unionByName(summaries[1]).unionByName(summaries[2])
+    stored.write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    mixed = trips.interleaved(stored).count()
+    assert mixed == 0 if in_order else mixed > 0
+    check(pdf, trips.distances(trips.extended(stored, fixes), trips.unknown_fixes(fixes)))
+
+
+def test_positions_that_are_no_numbers(spark):
+    rows = [("A", 1, float("nan")), ("A", 2, 1.0), ("A", 3, 1.0), ("B", 1, 1.0)]
+    df = (spark.createDataFrame(rows, "vin string, message_id long, gps_lat double")
+          .selectExpr("*", "timestamp_seconds(message_id) AS event_time", "0D AS gps_lon", "true AS has_gps",
+                      "named_struct('gps', named_struct('lat', gps_lat, 'lon', 0D)) AS sensors"))
+    got = {r["vin"]: r for r in trips.trip_distance(df).collect()}
+    assert math.isnan(got["A"]["total_distance_m"]) and got["A"]["segments"] == 2
+    assert got["B"]["total_distance_m"] == 0.0 and trips.trip_distance(df.limit(0)).count() == 0
