@@ -29,12 +29,13 @@ from ..operators.stats import (
 from ..operators.trips import trip_distance
 from ..schema import CRASH_REPORT, TELEMETRY
 from ..session import ensure_utc, scratch_path
-from ..sources.fixture import as_damaged_json, as_json, as_json_layouts, telemetry
+from ..sources.fixture import as_damaged_json, as_json, as_json_layouts, json_text, telemetry
 from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_event_time
 from ..sources.messages import stream_messages
 from ..sources.sinks import (
     accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
     publish_crash_reports, read_archive, report_archive_schema, stored_sample)
+from ..streaming.baseline import start_running_anomalies
 from ..streaming.jobs import (
     TRIGGER_INTERVAL, drain, judge, quarantined, read_trips, read_window_parts, read_windowed_stats,
     start_crash_fanout, start_foreach_batch, start_trips, start_window_parts, start_windowed_stats, windowed_driving_stats)
@@ -497,14 +498,15 @@ def q_stream_bounded_batches(spark, sf_dir):
     return _stream_reports(spark, _fanout(spark, sf_dir, max_files_per_trigger=1))
 
 
-def _ordered_landing(spark, sf_dir, parts: int | None = None) -> str:
+def _ordered_landing(spark, sf_dir, parts: int | None = None, by: str = "message_id") -> str:
     """A landing folder whose files, in order of their names, hold the messages
-    by id: one file of them all, unless ``parts`` are asked for."""
+    in order: one file of them all, unless ``parts`` are asked for."""
     ensure_utc(spark)
     path = scratch_path(spark, "landing")
     rows = telemetry(spark, sf_dir)
-    dealt = rows.repartitionByRange(parts, "message_id") if parts else rows.coalesce(1)
-    as_json(dealt.sortWithinPartitions("message_id")).write.text(path)
+    keyed = with_event_time(rows).select(F.col(by).alias("_by"), "message_id", json_text(rows).alias("value"))
+    dealt = keyed.repartitionByRange(parts, "_by", "message_id") if parts else keyed.coalesce(1)
+    dealt.sortWithinPartitions("_by", "message_id").select("value").write.text(path)
     return path
 
 
@@ -521,8 +523,8 @@ def q_stream_admission(spark, sf_dir):
         done.append(batch_id)
 
     def start():
-        judged = judge(parse_telemetry(stream_messages(spark, src, f"{ckpt}/admissions")))
-        return (judged.select("message_id", "is_crash").writeStream.foreachBatch(keep)
+        parsed = parse_telemetry(stream_messages(spark, src, f"{ckpt}/admissions"))
+        return (parsed.select("message_id").writeStream.foreachBatch(keep)
                 .option("checkpointLocation", ckpt).trigger(processingTime="0 seconds").start())
 
     first = start()
@@ -530,11 +532,10 @@ def q_stream_admission(spark, sf_dir):
         first.awaitTermination(1)
     first.stop()
     drain(start())
-    rows = spark.read.schema("message_id long, is_crash boolean, batch_id long").parquet(out)
+    rows = spark.read.schema("message_id long, batch_id long").parquet(out)
     return rows.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("messages"), F.count_distinct("message_id").alias("distinct_messages"),
-        F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"),
-        F.count_if("is_crash").alias("crashes"))
+        F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"))
 
 
 @query("stream_trigger")
@@ -614,6 +615,18 @@ def q_stream_trips(spark, sf_dir):
     return _trip_view(read_trips(spark, out))
 
 
+@query("stream_magnetic_running")
+def q_stream_magnetic_running(spark, sf_dir):
+    """E4 with keyed state: messages land in order of event time and come in
+    three micro-batches; each is compared with those of its vehicle before it."""
+    src = _ordered_landing(spark, sf_dir, 4, "event_time")
+    out, ckpt = scratch_path(spark, "running-out"), scratch_path(spark, "running-ckpt")
+    third = -(-spark.read.text(src).count() // 3)
+    drain(start_running_anomalies(spark, src, out, ckpt, interval="0 seconds", max_messages_per_trigger=third))
+    back = spark.read.parquet(out)
+    return back.select("message_id", "vin", r6("mag_magnitude"), r6("baseline_magnitude"), r6("deviation"))
+
+
 @query("foreach_batch_reports")
 def q_foreach_batch_reports(spark, sf_dir):
     """G3/F3 for external targets: each micro-batch is persisted, its crash

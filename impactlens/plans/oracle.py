@@ -208,6 +208,13 @@ ORACLE.update({
 })
 
 ORACLE["stream_trips"] = ORACLE["trip_distance"]
+ORACLE["stream_magnetic_running"] = _q(""", b AS (
+          SELECT message_id, vin, mag_magnitude,
+            CAST(sum(CAST(mag_magnitude AS DECIMAL(28, 9))) OVER w AS DOUBLE) / count(*) OVER w AS baseline_magnitude
+          FROM g WINDOW w AS (PARTITION BY vin ORDER BY event_us, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT message_id, vin, round(mag_magnitude, 6) AS mag_magnitude, round(baseline_magnitude, 6) AS baseline_magnitude,
+          round(abs(mag_magnitude - baseline_magnitude), 6) AS deviation
+        FROM b WHERE abs(mag_magnitude - baseline_magnitude) > 50.0e0""")
 
 
 _LEAVES = """message_id, policy_id, vin, ts_text AS timestamp, speed_mph, current_street, g_force,
@@ -250,7 +257,7 @@ ORACLE.update({
     "stream_restart": _report(*_MSG_REPORT),
     "stream_trigger": _report(*_MSG_REPORT),
     "stream_admission": _q("""SELECT batch_id, count(*) AS messages, count(DISTINCT message_id) AS distinct_messages,
-        min(message_id) AS first_id, max(message_id) AS last_id, count(*) FILTER (WHERE msg_is_crash) AS crashes
+        min(message_id) AS first_id, max(message_id) AS last_id
       FROM (SELECT *, (row_number() OVER (ORDER BY message_id) - 1) // 100 AS batch_id FROM s) GROUP BY batch_id"""),
     "stream_metrics": _q("""SELECT count(*) AS messages, count(*) FILTER (WHERE msg_is_crash) AS crashes FROM s"""),
     "reports_json_flat": _report(*_MSG_REPORT, extra=""", message_id, date AS report_date,
