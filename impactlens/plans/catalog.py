@@ -523,7 +523,7 @@ def q_stream_admission(spark, sf_dir):
         done.append(batch_id)
 
     def start():
-        parsed = parse_telemetry(stream_messages(spark, src, f"{ckpt}/admissions"))
+        parsed = parse_telemetry(stream_messages(spark, src, f"{ckpt}/admissions"), fields=("message_id",))
         return (parsed.select("message_id").writeStream.foreachBatch(keep)
                 .option("checkpointLocation", ckpt).trigger(processingTime="0 seconds").start())
 

@@ -1,9 +1,10 @@
 """Telemetry and crash-report schemas.
 
-``TELEMETRY`` is the canonical typed message. ``RAW_*`` are the superset
-schemas used to parse JSON text: every scalar leaf is read as a string so
-that quoted numbers, floats for ints and numbers for strings are coerced
-afterwards with ``try_cast`` (the JSON reader does not coerce on its own).
+``TELEMETRY`` is the canonical typed message. ``RAW_TYPED`` is the union of the
+documented JSON layouts as well-formed messages have it. ``RAW_TELEMETRY`` is
+the same with every scalar leaf read as a string, so that quoted numbers,
+floats for ints and numbers for strings are coerced afterwards with
+``try_cast`` (the JSON reader does not coerce on its own).
 """
 
 from __future__ import annotations
@@ -36,24 +37,29 @@ TELEMETRY = _struct(("message_id", L), ("policy_id", S), ("vin", S), ("timestamp
                     ("speed_mph", D), ("current_street", S), ("g_force", D), ("sensors", SENSORS))
 
 # --- raw superset schema: union of the three documented layouts ------------
-RAW_GPS = _struct(("lat", S), ("lon", S), ("latitude", S), ("longitude", S), ("altitude", S),
-                  ("speed", S), ("speed_ms", S), ("bearing", S), ("accuracy", S),
-                  ("satellite_count", S), ("fix_time", S), ("gps_fix_time", S))
-RAW_XYZ = _struct(("x", S), ("y", S), ("z", S))
-RAW_MAG = _struct(("x", S), ("y", S), ("z", S), ("heading", S))
-RAW_DEVICE = _struct(("battery_level", S), ("batteryLevel", S), ("signal_strength", S),
-                     ("signalStrength", S), ("device_orientation", S), ("orientation", S),
-                     ("screen_on", S), ("charging", S))
-RAW_BARO = _struct(("pressure", S), ("altitude", S))
-RAW_SENSORS = _struct(("gps", RAW_GPS), ("accelerometer", RAW_XYZ), ("gyroscope", RAW_XYZ),
-                      ("magnetometer", RAW_MAG), ("barometric_pressure", S),
-                      ("barometric", RAW_BARO), ("device", RAW_DEVICE),
+RAW_GPS = _struct(("lat", D), ("lon", D), ("latitude", D), ("longitude", D), ("altitude", D),
+                  ("speed", D), ("speed_ms", D), ("bearing", D), ("accuracy", D),
+                  ("satellite_count", I), ("fix_time", S), ("gps_fix_time", S))
+RAW_DEVICE = _struct(("battery_level", D), ("batteryLevel", D), ("signal_strength", I),
+                     ("signalStrength", I), ("device_orientation", S), ("orientation", S),
+                     ("screen_on", B), ("charging", B))
+RAW_SENSORS = _struct(("gps", RAW_GPS), ("accelerometer", XYZ), ("gyroscope", XYZ),
+                      ("magnetometer", MAGNETOMETER), ("barometric_pressure", D),
+                      ("barometric", _struct(("pressure", D))), ("device", RAW_DEVICE),
                       ("deviceHealth", RAW_DEVICE))
-RAW_TELEMETRY = _struct(("message_id", S), ("policy_id", S), ("policyId", S), ("vin", S),
-                        ("timestamp", S), ("speed_mph", S), ("speedMph", S),
-                        ("current_street", S), ("currentStreet", S), ("g_force", S),
-                        ("gForce", S), ("sensors", RAW_SENSORS),
-                        ("_corrupt_record", S))
+RAW_TYPED = _struct(("message_id", L), ("policy_id", S), ("policyId", S), ("vin", S),
+                    ("timestamp", S), ("speed_mph", D), ("speedMph", D),
+                    ("current_street", S), ("currentStreet", S), ("g_force", D),
+                    ("gForce", D), ("sensors", RAW_SENSORS), ("_corrupt_record", S))
+
+
+def as_text(schema: T.StructType) -> T.StructType:
+    """The same fields, every scalar a string."""
+    return T.StructType([T.StructField(f.name, as_text(f.dataType) if isinstance(f.dataType, T.StructType) else S, True)
+                         for f in schema.fields])
+
+
+RAW_TELEMETRY = as_text(RAW_TYPED)
 
 # --- crash report (nested, JSON property names) ----------------------------
 ACCEL_VECTOR = _struct(("x", D), ("y", D), ("z", D), ("magnitude", D))

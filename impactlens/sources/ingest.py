@@ -3,7 +3,10 @@
 * :func:`parse_telemetry` - JSON text in a ``value`` column -> canonical
   typed columns, tolerant the way a lenient JSON binder is: quoted numbers,
   floats for integers and numbers for strings are coerced; unknown fields
-  are ignored; the three documented field layouts are merged.
+  are ignored; the three documented field layouts are merged. Well-formed
+  messages, nearly all, are read with typed leaves; only one that such a
+  reading rejects is read again as text and coerced. Columns that are not
+  asked for (``fields``) are not parsed.
 * :func:`read_telemetry` - the same from files, batch or streaming.
 * :func:`with_event_time` - event time from the ``timestamp`` text.
 * :func:`split_quarantine` - good rows and bad rows with a ``reason``.
@@ -15,10 +18,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.cache import session_cached
 from ..functions.columns import parse_event_time
-from ..schema import RAW_TELEMETRY
+from ..schema import RAW_TELEMETRY, RAW_TYPED
 
 JSON_OPTIONS = {
     "mode": "PERMISSIVE",
@@ -27,7 +31,22 @@ JSON_OPTIONS = {
     "allowNonNumericNumbers": "false",
 }
 
-_R = "_raw"
+_PARSED, _CANONICAL = "_parsed", "_canonical"
+
+
+class _Typed:
+    """Leaves that the reader has typed already."""
+
+    def num(self, value: Column, primitive: bool = False) -> Column:
+        return F.coalesce(value, F.lit(0.0)) if primitive else value
+
+    def _same(self, value: Column) -> Column:
+        return value
+
+    int_ = bool_ = long_ = _same
+
+    def any_error(self) -> Column:
+        return F.lit(False)
 
 
 class _Coerce:
@@ -72,75 +91,148 @@ class _Coerce:
         return out
 
 
-def _r(path: str) -> Column:
-    return F.col(f"{_R}.{path}")
-
+#: Where each canonical column or part of ``sensors`` is found in a message.
+_FOUND_IN = {
+    "message_id": ("message_id",), "policy_id": ("policy_id", "policyId"), "vin": ("vin",),
+    "timestamp": ("timestamp",), "speed_mph": ("speed_mph", "speedMph"),
+    "current_street": ("current_street", "currentStreet"), "g_force": ("g_force", "gForce"),
+    "sensors.gps": ("sensors.gps",), "sensors.accelerometer": ("sensors.accelerometer",),
+    "sensors.gyroscope": ("sensors.gyroscope",), "sensors.magnetometer": ("sensors.magnetometer",),
+    "sensors.barometric_pressure": ("sensors.barometric_pressure", "sensors.barometric"),
+    "sensors.device": ("sensors.device", "sensors.deviceHealth"),
+}
+FIELDS = tuple(_FOUND_IN)
+
+
+def _asked(fields: tuple[str, ...] | None) -> tuple[str, ...]:
+    """The entries of ``FIELDS`` that ``fields`` names; ``sensors`` names all
+    its parts."""
+    if fields is None:
+        return FIELDS
+    unknown = [f for f in fields if f != "sensors" and f not in FIELDS]
+    if unknown:
+        raise ValueError(f"unknown fields {unknown}; there are {FIELDS}")
+    return tuple(f for f in FIELDS if f in fields or (f.startswith("sensors.") and "sensors" in fields))
+
+
+def _trimmed(schema: StructType, asked: tuple[str, ...]) -> StructType:
+    """The raw schema with the fields that hold the asked ones."""
+    paths = {path for name in asked for path in _FOUND_IN[name]} | {"_corrupt_record"}
+    out = []
+    for field in schema.fields:
+        if field.name == "sensors":
+            parts = [f for f in field.dataType.fields if f"sensors.{f.name}" in paths]
+            if parts:
+                out.append(StructField("sensors", StructType(parts)))
+        elif field.name in paths:
+            out.append(field)
+    return StructType(out)
+
+
+def canonical_columns(c: _Coerce | _Typed, raw: Column, asked: tuple[str, ...]) -> list[Column]:
+    """Typed canonical columns from a parsed message."""
+    def r(path: str) -> Column:
+        at = raw
+        for name in path.split("."):
+            at = at[name]
+        return at
 
-def canonical_columns(c: _Coerce) -> list[Column]:
-    """Typed canonical columns from the parsed raw struct ``_raw``."""
     s = "sensors"
-    gps, acc, gyr, mag = (f"{s}.gps", f"{s}.accelerometer", f"{s}.gyroscope", f"{s}.magnetometer")
-    dev = F.coalesce(_r(f"{s}.device"), _r(f"{s}.deviceHealth"))
+    gps, mag = f"{s}.gps", f"{s}.magnetometer"
 
     def xyz(base: str) -> Column:
-        return F.when(_r(base).isNotNull(), F.struct(
-            *[c.num(_r(f"{base}.{a}"), primitive=True).alias(a) for a in "xyz"]))
-
-    gps_struct = F.when(_r(gps).isNotNull(), F.struct(
-        c.num(F.coalesce(_r(f"{gps}.lat"), _r(f"{gps}.latitude")), True).alias("lat"),
-        c.num(F.coalesce(_r(f"{gps}.lon"), _r(f"{gps}.longitude")), True).alias("lon"),
-        c.num(_r(f"{gps}.altitude")).alias("altitude"),
-        c.num(F.coalesce(_r(f"{gps}.speed"), _r(f"{gps}.speed_ms"))).alias("speed"),
-        c.num(_r(f"{gps}.bearing")).alias("bearing"),
-        c.num(_r(f"{gps}.accuracy")).alias("accuracy"),
-        c.int_(_r(f"{gps}.satellite_count")).alias("satellite_count"),
-        F.coalesce(_r(f"{gps}.fix_time"), _r(f"{gps}.gps_fix_time")).alias("fix_time"),
-    ))
-    mag_struct = F.when(_r(mag).isNotNull(), F.struct(
-        *[c.num(_r(f"{mag}.{a}"), primitive=True).alias(a) for a in "xyz"],
-        c.num(_r(f"{mag}.heading")).alias("heading")))
-    dev_struct = F.when(dev.isNotNull(), F.struct(
-        c.num(F.coalesce(dev["battery_level"], dev["batteryLevel"])).alias("battery_level"),
-        c.int_(F.coalesce(dev["signal_strength"], dev["signalStrength"])).alias("signal_strength"),
-        F.coalesce(dev["device_orientation"], dev["orientation"]).alias("device_orientation"),
-        c.bool_(dev["screen_on"]).alias("screen_on"),
-        c.bool_(dev["charging"]).alias("charging"),
-    ))
-    pressure = c.num(F.coalesce(_r(f"{s}.barometric_pressure"), _r(f"{s}.barometric.pressure")))
-    sensors = F.when(_r(s).isNotNull(), F.struct(
-        gps_struct.alias("gps"), xyz(acc).alias("accelerometer"), xyz(gyr).alias("gyroscope"),
-        mag_struct.alias("magnetometer"), pressure.alias("barometric_pressure"),
-        dev_struct.alias("device")))
-    return [
-        c.long_(_r("message_id")).alias("message_id"),
-        F.coalesce(_r("policy_id"), _r("policyId")).alias("policy_id"),
-        _r("vin").alias("vin"),
-        _r("timestamp").alias("timestamp"),
-        c.num(F.coalesce(_r("speed_mph"), _r("speedMph")), True).alias("speed_mph"),
-        F.coalesce(_r("current_street"), _r("currentStreet")).alias("current_street"),
-        c.num(F.coalesce(_r("g_force"), _r("gForce")), True).alias("g_force"),
-        sensors.alias("sensors"),
-    ]
+        return F.when(r(base).isNotNull(), F.struct(
+            *[c.num(r(f"{base}.{a}"), primitive=True).alias(a) for a in "xyz"]))
+
+    def gps_struct() -> Column:
+        return F.when(r(gps).isNotNull(), F.struct(
+            c.num(F.coalesce(r(f"{gps}.lat"), r(f"{gps}.latitude")), True).alias("lat"),
+            c.num(F.coalesce(r(f"{gps}.lon"), r(f"{gps}.longitude")), True).alias("lon"),
+            c.num(r(f"{gps}.altitude")).alias("altitude"),
+            c.num(F.coalesce(r(f"{gps}.speed"), r(f"{gps}.speed_ms"))).alias("speed"),
+            c.num(r(f"{gps}.bearing")).alias("bearing"),
+            c.num(r(f"{gps}.accuracy")).alias("accuracy"),
+            c.int_(r(f"{gps}.satellite_count")).alias("satellite_count"),
+            F.coalesce(r(f"{gps}.fix_time"), r(f"{gps}.gps_fix_time")).alias("fix_time"),
+        ))
+
+    def mag_struct() -> Column:
+        return F.when(r(mag).isNotNull(), F.struct(
+            *[c.num(r(f"{mag}.{a}"), primitive=True).alias(a) for a in "xyz"],
+            c.num(r(f"{mag}.heading")).alias("heading")))
+
+    def dev_struct() -> Column:
+        dev = F.coalesce(r(f"{s}.device"), r(f"{s}.deviceHealth"))
+        return F.when(dev.isNotNull(), F.struct(
+            c.num(F.coalesce(dev["battery_level"], dev["batteryLevel"])).alias("battery_level"),
+            c.int_(F.coalesce(dev["signal_strength"], dev["signalStrength"])).alias("signal_strength"),
+            F.coalesce(dev["device_orientation"], dev["orientation"]).alias("device_orientation"),
+            c.bool_(dev["screen_on"]).alias("screen_on"),
+            c.bool_(dev["charging"]).alias("charging"),
+        ))
+
+    built = {
+        "message_id": lambda: c.long_(r("message_id")),
+        "policy_id": lambda: F.coalesce(r("policy_id"), r("policyId")),
+        "vin": lambda: r("vin"),
+        "timestamp": lambda: r("timestamp"),
+        "speed_mph": lambda: c.num(F.coalesce(r("speed_mph"), r("speedMph")), True),
+        "current_street": lambda: F.coalesce(r("current_street"), r("currentStreet")),
+        "g_force": lambda: c.num(F.coalesce(r("g_force"), r("gForce")), True),
+        "sensors.gps": gps_struct,
+        "sensors.accelerometer": lambda: xyz(f"{s}.accelerometer"),
+        "sensors.gyroscope": lambda: xyz(f"{s}.gyroscope"),
+        "sensors.magnetometer": mag_struct,
+        "sensors.barometric_pressure": lambda: c.num(F.coalesce(r(f"{s}.barometric_pressure"), r(f"{s}.barometric.pressure"))),
+        "sensors.device": dev_struct,
+    }
+    columns = [built[name]().alias(name) for name in asked if not name.startswith("sensors.")]
+    parts = [built[name]().alias(name.partition(".")[2]) for name in asked if name.startswith("sensors.")]
+    if parts:
+        columns.append(F.when(r(s).isNotNull(), F.struct(*parts)).alias(s))
+    return columns
+
+
+def _coerced(value_col: str, asked: tuple[str, ...]) -> Column:
+    """The canonical struct of a message read as text, once (a lambda's
+    variable is worked out once), and coerced."""
+    def build(raw: Column) -> Column:
+        c = _Coerce()
+        columns = canonical_columns(c, raw, asked)
+        return F.struct(*columns, raw["_corrupt_record"].alias("_corrupt_record"), c.any_error().alias("_type_error"))
+
+    text = F.from_json(F.col(value_col), _trimmed(RAW_TELEMETRY, asked), JSON_OPTIONS)
+    return F.get(F.transform(F.array(text), build), F.lit(0))
+
+
+@session_cached
+def _canonical(value_col: str, asked: tuple[str, ...]) -> Column:
+    """The canonical struct of a message whose typed reading is in ``_PARSED``;
+    a message that one rejects is coerced."""
+    typed, parsed = _Typed(), F.col(_PARSED)
+    strict = F.struct(*canonical_columns(typed, parsed, asked), F.lit(None).cast("string").alias("_corrupt_record"),
+                      typed.any_error().alias("_type_error"))
+    return F.when(parsed["_corrupt_record"].isNull(), strict).otherwise(_coerced(value_col, asked))
 
 
 def parse_telemetry(df: DataFrame, value_col: str = "value", keep_value: bool = True,
-                    carry: tuple[str, ...] = ()) -> DataFrame:
+                    carry: tuple[str, ...] = (), fields: tuple[str, ...] | None = None) -> DataFrame:
     """JSON text column -> canonical telemetry + ``_corrupt_record`` and
     ``_type_error`` helper columns (consumed by :func:`split_quarantine`);
-    ``carry`` columns of the input are passed through."""
-    # Parse through a one-element explode: a predicate on generated output
-    # cannot be pushed below the Generate, so the quarantine filter and every
-    # field access read the parsed struct instead of Catalyst substituting
-    # (and re-running) from_json once per field reference.
+    ``carry`` columns of the input are passed through. ``fields`` names the
+    canonical columns (and parts of ``sensors``, as ``sensors.gps``) to read;
+    only those are parsed and returned."""
+    # Both steps go through a one-element explode: a predicate on generated
+    # output cannot be pushed below the Generate, so the quarantine filter and
+    # every field access read the struct that is there instead of Catalyst
+    # substituting (and re-running) the parse once per field reference.
+    asked = _asked(tuple(fields) if fields is not None else None)
+    schema = _trimmed(RAW_TYPED, asked)
     parsed = df.select(F.col(value_col), *carry, F.explode(F.array(
-        F.from_json(F.col(value_col), RAW_TELEMETRY, JSON_OPTIONS))).alias(_R))
-    c = _Coerce()
-    cols = canonical_columns(c)
+        F.from_json(F.col(value_col), schema, JSON_OPTIONS))).alias(_PARSED))
+    made = parsed.select(value_col, *carry, F.explode(F.array(_canonical(value_col, asked))).alias(_CANONICAL))
     extra = [F.col(value_col).alias("value")] if keep_value else []
-    # Leaves are built with the canonical types, so no cast of the whole
-    # struct is needed (such a cast would hide its fields from Catalyst).
-    return parsed.select(*cols, _r("_corrupt_record").alias("_corrupt_record"),
-                         c.any_error().alias("_type_error"), *extra, *carry)
+    return made.select(f"{_CANONICAL}.*", *extra, *carry)
 
 
 def canonicalise(df: DataFrame, value_col: str = "value") -> DataFrame:

@@ -161,3 +161,64 @@ def test_file_source(spark, tmp_path):
     good, bad = prepare(read_telemetry(spark, str(path)))
     assert good.count() == 5
     assert [r["reason"] for r in bad.collect()] == ["malformed_json"]
+
+
+VALUES = ["5", "5.5", "-0.0", '"7"', '" 8 "', '"x"', '""', "true", '"TRUE"', '"0"', "0", "null", "[1]", '{"a":1}',
+          '"NaN"', '"INF"', "99999999999", "12345678901234567890", '"1d"', "8.7", "8.0", '"2024-07-24T10:30:00Z"', "NaN"]
+LEAVES = ["message_id", "policy_id", "policyId", "vin", "timestamp", "speed_mph", "speedMph", "currentStreet", "g_force", "gForce",
+          "sensors", "sensors.gps", "sensors.gps.lat", "sensors.gps.latitude", "sensors.gps.speed_ms", "sensors.gps.satellite_count",
+          "sensors.gps.gps_fix_time", "sensors.accelerometer", "sensors.accelerometer.x", "sensors.magnetometer.heading",
+          "sensors.barometric_pressure", "sensors.barometric", "sensors.device", "sensors.deviceHealth", "sensors.device.screen_on",
+          "sensors.device.charging", "sensors.device.signal_strength", "sensors.device.batteryLevel", "other", "sensors.other"]
+
+
+def _with(path, text):
+    """A message whose ``path`` holds the JSON ``text``."""
+    m = message(1)
+    node, keys = m, path.split(".")
+    for k in keys[:-1]:
+        node = node[k]
+    node[keys[-1]] = "@@"
+    return json.dumps(m).replace('"@@"', text)
+
+
+def test_typed_reading_equals_coercion(spark, monkeypatch):
+    """Every kind of value in every place, read with typed leaves first and
+    read as text only, gives the same columns and the same reasons."""
+    from impactlens.sources import ingest
+
+    docs = [_with(path, v) for path in LEAVES for v in VALUES]
+    docs += [json.dumps(message(1)), "", " ", "{", "[]", "{}", "[1]", json.dumps([message(1)]), json.dumps(message(1)) + "x",
+             json.dumps(message(1))[:-1], "null", '"a"', '{"g_force": 1, "g_force": "2"}', '{"vin": "\\u0000é", "sensors": {}}']
+    rows = spark.createDataFrame(list(enumerate(docs)), "i int, value string").union(
+        spark.createDataFrame([(-1, None)], "i int, value string"))
+
+    def read():
+        df = with_event_time(parse_telemetry(rows, carry=("i",)))
+        return {r.i: str(r) for r in df.withColumn("reason", ingest.quarantine_reason(df)).collect()}
+
+    got = read()
+    monkeypatch.setattr(ingest, "_canonical", ingest._coerced)
+    want = read()
+    assert len(got) == len(docs) + 1
+    assert {docs[i]: (got[i], want[i]) for i in got if got[i] != want[i]} == {}
+
+
+def test_numbers_beyond_double_are_infinite(spark):
+    docs = ['{"g_force": 1e400}', '{"g_force": "1e400"}', '{"g_force": -1e400}']
+    got = [(r.g_force, r._type_error) for r in parse_telemetry(frame(spark, docs)).collect()]
+    assert got == [(float("inf"), False), (float("inf"), False), (float("-inf"), False)]
+
+
+def test_only_asked_fields_are_parsed(spark):
+    docs = [message(1, g_force="2.5", vin="A"), message(2, vin=None, speed_mph="junk")]
+    df = parse_telemetry(frame(spark, docs), keep_value=False, fields=("vin", "g_force"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "StructField(vin" in plan and "StructField(gForce" in plan
+    assert not any(f"StructField({name}" in plan for name in ("sensors", "speed_mph", "policy_id", "timestamp"))
+    assert [(r.vin, r.g_force, r._type_error) for r in df.orderBy("g_force").collect()] == [(None, 1.0, False), ("A", 2.5, False)]
+    part = parse_telemetry(frame(spark, docs), fields=("message_id", "sensors.gps", "sensors.device"))
+    assert part.schema["sensors"].dataType.names == ["gps", "device"]
+    assert part.filter("sensors.gps.lat IS NOT NULL").count() == 2
+    with pytest.raises(ValueError, match="unknown fields"):
+        parse_telemetry(frame(spark, docs), fields=("speed",))
