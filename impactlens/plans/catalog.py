@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, TimestampType
 
 from ..config import POLICY_FIRST_PARTITIONS, StorageConfig
+from ..functions.sqlfuncs import register_table_function
 from ..operators import detect as det
 from ..operators.enrich import (
     LEAVES, PRESENCE, device_health, enrich, environment, gps_quality, heading, motion,
@@ -29,6 +30,7 @@ from ..operators.stats import (
 from ..operators.trips import trip_distance
 from ..schema import CRASH_REPORT, TELEMETRY
 from ..session import ensure_utc, scratch_path
+from ..sources.filestats import archived_daily_counts
 from ..sources.fixture import as_damaged_json, as_json, as_json_layouts, json_text, telemetry
 from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_event_time
 from ..sources.messages import stream_messages
@@ -213,6 +215,18 @@ def q_top_patterns(spark, sf_dir):
     return _round_headings(preview(_patterns(spark, sf_dir), "patterns"))
 
 
+@query("patterns_compared")
+def q_patterns_compared(spark, sf_dir):
+    """G2/D1: one statement over the results of two threshold sets."""
+    register_table_function(spark, good_rows(spark, sf_dir))
+    return spark.sql("""
+        SELECT coalesce(usual.message_id, strict.message_id) AS message_id, usual.crash_type AS usual_type,
+               strict.crash_type AS strict_type
+        FROM crashPatterns() AS usual
+        FULL OUTER JOIN crashPatterns(gLimit => 2.5D, rolloverLimit => 4.0D, lateralLimit => 1.5D) AS strict
+          ON usual.message_id = strict.message_id""")
+
+
 @query("crash_events")
 def q_crash_events(spark, sf_dir):
     df = crash_events(enrich(good_rows(spark, sf_dir)), "batch")
@@ -374,6 +388,14 @@ def q_archive_roundtrip(spark, sf_dir):
     return stored_sample(_archived(spark, sf_dir, "parquet"))
 
 
+@query("archive_daily_counts")
+def q_archive_daily_counts(spark, sf_dir):
+    """D5 of an archive from its files' footers."""
+    path = scratch_path(spark, "archive-daily")
+    archive_telemetry(good_rows(spark, sf_dir), StorageConfig(path=path, partition_cols=("date",)))
+    return archived_daily_counts(spark, path)
+
+
 @query("archive_policy_first")
 def q_archive_policy_first(spark, sf_dir):
     return stored_sample(_archived(spark, sf_dir, "policy", POLICY_FIRST_PARTITIONS))

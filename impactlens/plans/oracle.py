@@ -148,6 +148,17 @@ ORACLE.update({
     "storage_stats": _q(_STORAGE),
     "top_storage": _q(_STORAGE + " ORDER BY date DESC, record_count DESC, policy_id ASC NULLS FIRST LIMIT 10"),
     "daily_counts": _q(_DAILY),
+    "archive_daily_counts": _q(_DAILY),
+    "patterns_compared": _q("""SELECT message_id, CASE WHEN batch_is_crash THEN batch_crash_type END AS usual_type,
+          CASE WHEN strict THEN strict_type END AS strict_type
+        FROM (SELECT *, total_g_force >= 2.5e0 OR (speed_mph <= 5.0e0 AND total_g_force >= 2.0e0) OR gyro_magnitude >= 4.0e0
+                  OR lateral_g_force >= 1.5e0 OR vertical_g_force >= 2.0e0 AS strict,
+                CASE WHEN gyro_magnitude >= 4.0e0 THEN 'ROLLOVER' WHEN abs(gz) >= 2.0e0 THEN 'SPINNING'
+                     WHEN lateral_g_force >= 1.5e0 THEN 'SIDE_IMPACT' WHEN vertical_g_force >= 2.0e0 THEN 'VERTICAL_IMPACT'
+                     WHEN speed_mph <= 5.0e0 AND total_g_force >= 2.0e0 THEN 'SUDDEN_STOP'
+                     WHEN total_g_force >= 2.5e0 THEN 'HIGH_G_FORCE' ELSE 'UNKNOWN' END AS strict_type
+              FROM g)
+        WHERE batch_is_crash OR strict"""),
     "recent_days": _q(_DAILY + " ORDER BY date DESC LIMIT 7"),
     "batch_summary": _q("""SELECT count(*) AS rows,
         count(*) FILTER (WHERE event_us IS NOT NULL) AS good_rows,

@@ -80,3 +80,12 @@ def test_archive_reads_prune_and_push_down(spark, tmp_path):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(g_force,4\.0\)", plan)
     got = alerts.collect()
     assert got and all("2024-01-08" <= r["event_time_utc"][:10] <= "2024-01-14" for r in got)
+
+
+def test_daily_counts_come_from_footers(spark, sf_small):
+    """The scan returns counts, not rows: one aggregated row per file."""
+    df = entry.queries()["archive_daily_counts"](spark, sf_small)
+    plan = _plan(df)
+    assert re.search(r"PushedAggregation: \[COUNT\(\*\)\]", plan) and re.search(r"PushedGroupBy: \[date\]", plan)
+    held = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert "parquet" in held and df.count() > 5

@@ -60,3 +60,19 @@ def test_means_do_not_depend_on_order(spark):
     odd = spark.createDataFrame([(1.0,), (math.nan,), (None,)], "x double")
     assert math.isnan(odd.agg(exact_avg(F.col("x"))).collect()[0][0])
     assert odd.limit(0).agg(exact_avg(F.col("x"))).collect()[0][0] is None
+
+
+def test_table_function_with_thresholds_as_arguments(spark):
+    """Two threshold sets in one statement; the defaults are those registered."""
+    from impactlens.functions.sqlfuncs import crash_patterns_sql, register_table_function
+
+    docs = [message(1, az=9.81), message(2, ax=25.0), message(3, az=35.0), message(4, az=60.0),
+            message(5, sensors__gyroscope__y=3.5), message(6, speed_mph=1.0, ax=18.0)]
+    register_table_function(spark, _good(spark, docs))
+    usual = {r.message_id: r.crash_type for r in spark.sql("SELECT * FROM crashPatterns()").collect()}
+    assert usual == {r.message_id: r.crash_type for r in spark.sql(crash_patterns_sql()).collect()} and usual
+    both = spark.sql("""SELECT a.message_id, a.crash_type AS one, b.crash_type AS other
+        FROM crashPatterns(lateralLimit => 2.0D, gLimit => 1D) a LEFT JOIN crashPatterns(rolloverLimit => 9.9D) b USING (message_id)""")
+    got = {r.message_id: (r.one, r.other) for r in both.collect()}
+    assert got[2] == ("SIDE_IMPACT", None) and got[5] == ("ROLLOVER", None) and got[1] == ("HIGH_G_FORCE", None)
+    assert got[4][1] == usual[4]
