@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, TimestampType
@@ -34,13 +35,14 @@ from ..sources.filestats import archived_daily_counts
 from ..sources.fixture import as_damaged_json, as_json, as_json_layouts, json_text, telemetry
 from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_event_time
 from ..sources.messages import stream_messages
+from ..sources.outbox import published, write_outbox
 from ..sources.sinks import (
     accident_alerts, archive_crash_reports, archive_telemetry, archive_with_fallback,
     publish_crash_reports, read_archive, report_archive_schema, stored_sample)
 from ..streaming.baseline import start_running_anomalies
 from ..streaming.jobs import (
     TRIGGER_INTERVAL, drain, judge, quarantined, read_trips, read_window_parts, read_windowed_stats,
-    start_crash_fanout, start_foreach_batch, start_trips, start_window_parts, start_windowed_stats, windowed_driving_stats)
+    start_crash_fanout, start_foreach_batch, start_report_outbox, start_trips, start_window_parts, start_windowed_stats, windowed_driving_stats)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -649,6 +651,29 @@ def q_stream_magnetic_running(spark, sf_dir):
     return back.select("message_id", "vin", r6("mag_magnitude"), r6("baseline_magnitude"), r6("deviation"))
 
 
+@query("stream_outbox")
+def q_stream_outbox(spark, sf_dir):
+    """A8/F5: reports published exactly once although a batch fails half-way
+    (a document after some written ones cannot be made) and is run again."""
+    ensure_utc(spark)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("outbox-in", "outbox-out", "outbox-ckpt"))
+    rows = telemetry(spark, sf_dir)
+    for part in (0, 1):
+        as_json(rows.filter(F.col("message_id") % 2 == part)).write.mode("append").text(src)
+        if part:
+            good, _ = prepare(parse_telemetry(spark.readStream.schema("value string").text(src)))
+            reports, _ = crash_reports(det.analyse(good, "message"), "message")
+            broken = F.when(F.xxhash64("value") % 50 == 0, F.raise_error(F.lit("lost connection"))).otherwise(F.col("value"))
+            failing = publish_crash_reports(reports).select(broken.alias("value"))
+            try:
+                write_outbox(failing, out, ckpt, {"availableNow": True}).awaitTermination()
+            except StreamingQueryException:
+                pass  # the batch is logged and not committed: the next start runs it again
+        start_report_outbox(spark, src, out, ckpt, available_now=True).awaitTermination()
+    docs = published(spark, out).select(F.from_json("value", CRASH_REPORT).alias("r")).select("r.*").drop("processed_timestamp")
+    return _round_headings(docs.select(flatten(docs)))
+
+
 @query("foreach_batch_reports")
 def q_foreach_batch_reports(spark, sf_dir):
     """G3/F3 for external targets: each micro-batch is persisted, its crash

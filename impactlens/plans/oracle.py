@@ -267,6 +267,7 @@ ORACLE.update({
     "stream_bounded_batches": _report(*_MSG_REPORT),
     "stream_restart": _report(*_MSG_REPORT),
     "stream_trigger": _report(*_MSG_REPORT),
+    "stream_outbox": _report(*_MSG_REPORT, extra=""),
     "stream_admission": _q("""SELECT batch_id, count(*) AS messages, count(DISTINCT message_id) AS distinct_messages,
         min(message_id) AS first_id, max(message_id) AS last_id
       FROM (SELECT *, (row_number() OVER (ORDER BY message_id) - 1) // 100 AS batch_id FROM s) GROUP BY batch_id"""),

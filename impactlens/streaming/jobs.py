@@ -27,6 +27,7 @@ from ..operators.report import crash_reports, unbuildable_reason
 from ..sources.ingest import (
     parse_telemetry, prepare, quarantine_reason, read_telemetry, with_event_time)
 from ..sources.messages import stream_messages
+from ..sources.outbox import write_outbox
 from ..sources.sinks import accident_alerts, publish_crash_reports, telemetry_for_archive
 
 TRIGGER_INTERVAL = "2 seconds"
@@ -286,6 +287,18 @@ def start_report_feed(spark: SparkSession, source: str | DataFrame, out: str, ch
     return _trigger(w, available_now, TRIGGER_INTERVAL).start()
 
 
+def start_report_outbox(spark: SparkSession, source: str | DataFrame, out: str, checkpoint: str,
+                        available_now: bool = False, profile: str = "message",
+                        thr: Thresholds = DEFAULT_THRESHOLDS, max_files_per_trigger: int | None = None,
+                        max_messages_per_trigger: int | None = None, interval: str = TRIGGER_INTERVAL) -> StreamingQuery:
+    """Crash reports as JSON documents, published exactly once:
+    :func:`impactlens.sources.outbox.published` reads them."""
+    good, _ = prepare(_source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger))
+    reports, _ = crash_reports(analyse(good, profile, thr), profile, thr=thr)
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    return write_outbox(publish_crash_reports(reports), out, checkpoint, trigger)
+
+
 def start_foreach_batch(spark: SparkSession, source: str | DataFrame, handler, checkpoint: str,
                         profile: str = "message", available_now: bool = False,
                         max_files_per_trigger: int | None = None,
