@@ -31,6 +31,7 @@ from ..operators.stats import (
 from ..operators.trips import trip_distance
 from ..schema import CRASH_REPORT, TELEMETRY
 from ..session import ensure_utc, scratch_path
+from ..sources.compaction import compact_days, read_stream_archive, remove_superseded
 from ..sources.filestats import archived_daily_counts
 from ..sources.fixture import as_damaged_json, as_json, as_json_layouts, json_text, telemetry
 from ..sources.ingest import parse_telemetry, prepare, quarantine_reason, with_event_time
@@ -41,7 +42,7 @@ from ..sources.sinks import (
     publish_crash_reports, read_archive, report_archive_schema, stored_sample)
 from ..streaming.baseline import start_running_anomalies
 from ..streaming.jobs import (
-    TRIGGER_INTERVAL, drain, judge, quarantined, read_trips, read_window_parts, read_windowed_stats,
+    TRIGGER_INTERVAL, drain, judge, open_windows, quarantined, read_trips, read_window_parts, read_windowed_stats,
     start_crash_fanout, start_foreach_batch, start_report_outbox, start_trips, start_window_parts, start_windowed_stats, windowed_driving_stats)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -511,6 +512,23 @@ def q_stream_archive(spark, sf_dir):
     return stored_sample(read_archive(spark, handles.telemetry, ("batch_id", "date")))
 
 
+@query("stream_compaction")
+def q_stream_compaction(spark, sf_dir):
+    """F3/A5: the archive of a stream is compacted twice, with batches (and
+    late rows for days that are over) in between and after."""
+    ensure_utc(spark)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("compact-in", "compact-out", "compact-ckpt"))
+    rows = telemetry(spark, sf_dir)
+    for part in range(3):
+        as_json(rows.filter(F.col("message_id") % 3 == part)).write.mode("append").text(src)
+        handles = start_crash_fanout(spark, src, out, ckpt, available_now=True)
+        handles.await_all()
+        if part < 2:
+            compact_days(spark, handles.telemetry, ("2024-01-11", "2024-01-21")[part])
+    remove_superseded(spark, handles.telemetry)
+    return stored_sample(read_stream_archive(spark, handles.telemetry))
+
+
 @query("stream_quarantine")
 def q_stream_quarantine(spark, sf_dir):
     return spark.read.parquet(_fanout(spark, sf_dir).quarantine).select("message_id", "reason")
@@ -674,6 +692,20 @@ def q_stream_outbox(spark, sf_dir):
     return _round_headings(docs.select(flatten(docs)))
 
 
+@query("stream_open_windows")
+def q_stream_open_windows(spark, sf_dir):
+    """the windows in the state after each of three micro-batches of
+    messages in order of event time, from the checkpoint."""
+    src = _ordered_landing(spark, sf_dir, 4, "event_time")
+    ckpt = scratch_path(spark, "open-ckpt")
+    third = -(-spark.read.text(src).count() // 3)
+    drain(start_windowed_stats(spark, src, scratch_path(spark, "open-out"), ckpt, interval="0 seconds",
+                               max_messages_per_trigger=third))
+    after = [open_windows(spark, ckpt, n).select(F.lit(n).cast("long").alias("batch_id"), "window_start", "policy_id") for n in range(3)]
+    return after[0].unionByName(after[1]).unionByName(after[2]).withColumn(
+        "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("foreach_batch_reports")
 def q_foreach_batch_reports(spark, sf_dir):
     """G3/F3 for external targets: each micro-batch is persisted, its crash

@@ -218,6 +218,13 @@ ORACLE.update({
         WHERE abs(mag_magnitude - baseline_magnitude) > 50.0e0"""),
 })
 
+ORACLE["stream_open_windows"] = _q(""", o AS (
+          SELECT *, (row_number() OVER (ORDER BY event_us NULLS FIRST, message_id) - 1) // ((SELECT count(*) + 2 FROM s) // 3) AS k FROM s),
+        n AS (SELECT k, policy_id, event_us, event_us // 30000000 * 30000000 AS w FROM o WHERE event_us IS NOT NULL AND NOT batch_is_crash),
+        b AS (SELECT batch_id, coalesce((SELECT max(event_us) // 1000 * 1000 - 600000000 FROM n WHERE k < batch_id), 0) AS late
+              FROM range(3) t(batch_id))
+        SELECT DISTINCT batch_id, strftime(make_timestamp(w), '%Y-%m-%d %H:%M:%S') AS window_start, policy_id
+        FROM b JOIN n ON n.k <= batch_id AND w + 30000000 > late""")
 ORACLE["stream_trips"] = ORACLE["trip_distance"]
 ORACLE["stream_magnetic_running"] = _q(""", b AS (
           SELECT message_id, vin, mag_magnitude,
@@ -263,6 +270,7 @@ ORACLE.update({
     "archive_csv": _q("""SELECT message_id, policy_id, vin, g_force, lat AS latitude, date,
         strftime(event_time, '%H') AS hour FROM g"""),
     "stream_archive": _q(_STORED),
+    "stream_compaction": _q(_STORED),
     "stream_quarantine": ORACLE["quarantine"],
     "stream_bounded_batches": _report(*_MSG_REPORT),
     "stream_restart": _report(*_MSG_REPORT),

@@ -178,7 +178,8 @@ def start_windowed_stats(spark: SparkSession, source: str | DataFrame, out: str,
                          available_now: bool = False, watermark: str = "10 minutes",
                          window: str = WINDOW, thr: Thresholds = DEFAULT_THRESHOLDS,
                          max_files_per_trigger: int | None = None,
-                         max_messages_per_trigger: int | None = None) -> StreamingQuery:
+                         max_messages_per_trigger: int | None = None,
+                         interval: str = TRIGGER_INTERVAL) -> StreamingQuery:
     """Windowed statistics. Each micro-batch writes every window it changed
     (update mode), the latest ones included; :func:`read_windowed_stats` reads
     the last state of each. The watermark only bounds what is kept in memory:
@@ -192,7 +193,7 @@ def start_windowed_stats(spark: SparkSession, source: str | DataFrame, out: str,
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     w = stats.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _trigger(w, available_now, TRIGGER_INTERVAL).queryName("impactlens_window_stats").start()
+    return _trigger(w, available_now, interval).queryName("impactlens_window_stats").start()
 
 
 def read_windowed_stats(spark: SparkSession, out: str) -> DataFrame:
@@ -203,6 +204,19 @@ def read_windowed_stats(spark: SparkSession, out: str) -> DataFrame:
             .drop("_n", "batch_id"))
 
 
+def open_windows(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """Windows that :func:`start_windowed_stats` holds in its state after a
+    micro-batch (the last one, if none is named): those that later rows can
+    still change. Read from the checkpoint, also while the query runs."""
+    reader = spark.read.format("statestore")
+    if batch_id is not None:
+        reader = reader.option("batchId", str(batch_id))
+    keys = reader.load(checkpoint).select("key.*")
+    window, policy = keys.columns
+    return keys.select(F.col(f"`{window}`.start").alias("window_start"), F.col(f"`{window}`.end").alias("window_end"),
+                       F.col(f"`{policy}`").alias("policy_id"))
+
+
 def window_parts(df: DataFrame, window: str = WINDOW, thr: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     """What a set of rows adds to the windows of :func:`windowed_driving_stats`:
     fixed-point sums, counts and extremes per window and policy. Parts of any
