@@ -11,7 +11,12 @@ Reading (:func:`salvage`): every record must have a version line, a header
 block, its declared length and matching digests. After a failed check the
 reader searches for the next gzip member or version line that starts a valid
 record and goes on from there; the bytes passed over are reported as a
-quarantined gap (start, end, reason). Compressed and plain records may mix.
+quarantined gap (start, end, reason). Compressed and plain records may mix. A
+member may hold several records: all but the last are reported at the member's
+start, with no bytes of their own; damage inside a member is a gap there, and
+the search goes on behind it. Other writers' records are read too: record ids
+are text (``page_id`` is null unless the id is one of ours), folded header
+lines belong to the line before, a length or an id that is no number is null.
 
 Defined results: a null payload is empty, a null url leaves its header out;
 pages with a null id come after all others when the smallest is sought and are
@@ -46,6 +51,8 @@ MAX_FILE = 32 << 20
 #: First read of a plain record's headers; longer ones are read on.
 HEAD = 1 << 16
 WINDOW = 1 << 18
+#: Archives that one task reads.
+READ_BYTES = 64 << 20
 
 
 def digest(data: bytes) -> str:
@@ -56,9 +63,13 @@ def record_id(page) -> str:
     return f"<urn:page:{'' if page is None else page}>"
 
 
+_PAGE = re.compile(r"<urn:page:(-?[0-9]{1,18})>")
+
+
 def page_of(urn: str | None) -> int | None:
-    page = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(page) if page else None
+    """The page of one of our record ids; null for any other id."""
+    found = _PAGE.fullmatch(urn or "")
+    return int(found[1]) if found else None
 
 
 def record(page, url: str | None, payload: bytes, refers_to, revisits: bool, date: str = DATE) -> bytes:
@@ -89,6 +100,12 @@ class Damaged(ValueError):
     pass
 
 
+def _number(text: str | bytes | None) -> int | None:
+    """A length as a header has it, else null."""
+    text = text.decode("latin-1") if isinstance(text, bytes) else text
+    return int(text) if text and re.fullmatch("[0-9]{1,18}", text) else None
+
+
 def _split(data: bytes) -> tuple[dict, bytes, int]:
     """(headers, block, bytes used) of the record that ``data`` starts with."""
     if not _START.match(data):
@@ -97,16 +114,21 @@ def _split(data: bytes) -> tuple[dict, bytes, int]:
     if end < 0:
         raise Damaged("no end of headers")
     head = {}
+    name = None
     for line in data[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon or not _NAME.fullmatch(name):
+        if name and line[:1] in (b" ", b"\t"):  # folded: more of the line before
+            head[name] = f"{head[name]} {line.decode('utf-8', 'replace').strip()}".strip()
+            continue
+        raw, colon, value = line.partition(b":")
+        if not colon or not _NAME.fullmatch(raw):
             raise Damaged("no header line")
-        head[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = raw.decode("latin-1").strip().lower()
+        head[name] = value.decode("utf-8", "replace").strip()
     if "warc-type" not in head or "warc-record-id" not in head:
         raise Damaged("no record type or id")
-    if not (length := head.get("content-length", "")).isdigit():
+    if (length := _number(head.get("content-length"))) is None:
         raise Damaged("no content length")
-    stop = end + 4 + int(length)
+    stop = end + 4 + length
     if len(data) < stop + 4 or data[stop:stop + 4] != b"\r\n\r\n":
         raise Damaged("block not as long as declared")
     block = data[end + 4:stop]
@@ -129,38 +151,116 @@ class _File:
         return self.handle.read(min(n, self.size - start))
 
 
-def _member_at(f: _File, at: int) -> tuple[dict, bytes, int]:
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            data = f.at(pos, WINDOW)
-            if not data:
-                raise Damaged("member is cut off")
-            out.append(z.decompress(data))
-            if len(out) == 1 and not out[0].startswith(b"WARC/1."[:len(out[0])]):
-                raise Damaged("member holds no record")
-            pos += len(data)
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    data = b"".join(out)
-    head, block, used = _split(data)
-    if used != len(data):
-        raise Damaged("bytes after the record in its member")
-    return head, block, pos - len(z.unused_data)
+class _Unpacked:
+    """The bytes of a gzip member, unpacked as they are asked for; what has
+    been read is dropped, so a member of any size needs one record's memory."""
+
+    def __init__(self, f: _File, at: int):
+        self.f, self.pos, self.z = f, at, zlib.decompressobj(31)
+        self.data, self.error = bytearray(), None
+
+    def more(self) -> bool:
+        """Unpacks some more; false at the end of the member, or of what can be
+        unpacked of it (then ``error`` says why)."""
+        if self.z.eof or self.error:
+            return False
+        try:
+            packed = self.z.unconsumed_tail
+            if not packed:
+                packed = self.f.at(self.pos, WINDOW)
+                self.pos += len(packed)
+                if not packed:
+                    raise Damaged("member is cut off")
+            self.data += self.z.decompress(packed, 4 * WINDOW)
+        except (zlib.error, Damaged) as e:
+            self.error = f"member: {e}" if isinstance(e, zlib.error) else str(e)
+            return False
+        return True
+
+    def fill(self, n: int) -> bool:
+        while len(self.data) < n and self.more():
+            pass
+        return len(self.data) >= n
+
+    @property
+    def end(self) -> int:
+        return self.pos - len(self.z.unused_data)
+
+    def record(self) -> tuple[dict, bytes]:
+        """Takes the record that the data starts with."""
+        if not self.fill(10) or not _START.match(self.data):
+            raise Damaged("no version line")
+        while (end := self.data.find(b"\r\n\r\n")) < 0 and self.more():
+            pass
+        length = _length_of(bytes(self.data[:max(end, 0)]))
+        whole = end + 8 + length if length is not None else 0
+        if whole and not self.fill(whole):
+            raise Damaged(self.error or "block not as long as declared")
+        head, block, used = _split(bytes(self.data[:whole] if whole else self.data))
+        del self.data[:used]
+        return head, block
+
+    def skip(self) -> bool:
+        """Goes on to the next version line; false if there is none."""
+        at = 1
+        while True:
+            found = self.data.find(b"WARC/1.", at)
+            if found >= 0:
+                del self.data[:found]
+                return True
+            del self.data[:max(0, len(self.data) - 6)]
+            at = 0
+            if not self.more():
+                return False
+
+
+def _length_of(headers: bytes) -> int | None:
+    return next((_number(line.partition(b":")[2].strip()) for line in headers.split(b"\r\n")
+                 if line.lower().startswith(b"content-length:")), None)
+
+
+def _member(f: _File, at: int) -> Iterator[tuple]:
+    """("record", headers, block) and ("gap", reason) of a gzip member, then
+    ("end", where it ends). Raises Damaged where nothing more can be unpacked;
+    a member that cannot be checked to its end keeps no last record that has
+    no digest of its own."""
+    unpacked, held, good = _Unpacked(f, at), None, False
+    while unpacked.fill(1):
+        try:
+            head, block = unpacked.record()
+        except Damaged as e:
+            if not good and not _START.match(unpacked.data) or not unpacked.skip():
+                if held:
+                    yield held
+                if unpacked.error or not good:
+                    raise Damaged(unpacked.error or str(e)) from None
+                yield "gap", str(e)
+                yield "end", unpacked.end
+                return
+            yield "gap", str(e)
+            continue
+        if held:
+            yield held
+        held, good = ("record", head, block), True
+    if unpacked.error or not held:
+        if held and "warc-block-digest" in held[1]:
+            yield held
+        raise Damaged(unpacked.error or "member holds no record")
+    yield held
+    yield "end", unpacked.end
 
 
 def _plain_at(f: _File, at: int) -> tuple[dict, bytes, int]:
     data = f.at(at, HEAD)
     while (end := data.find(b"\r\n\r\n")) < 0 and at + len(data) < f.size:
         # Only lines that may be headers are read on.
-        if not all(_NAME.fullmatch(line.partition(b":")[0]) and b":" in line for line in data.split(b"\r\n")[1:-1]):
+        if not all(line[:1] in (b" ", b"\t") or _NAME.fullmatch(line.partition(b":")[0]) and b":" in line
+                   for line in data.split(b"\r\n")[1:-1]):
             raise Damaged("no header line")
         data = f.at(at, 2 * len(data))
-    length = next((line.partition(b":")[2].strip() for line in data[:max(end, 0)].split(b"\r\n")
-                   if line.lower().startswith(b"content-length:")), b"")
-    if not length.isdigit():
+    if (length := _length_of(data[:max(end, 0)])) is None:
         raise Damaged("no content length")
-    if (whole := end + 8 + int(length)) > f.size - at:
+    if (whole := end + 8 + length) > f.size - at:
         raise Damaged("block not as long as declared")
     head, block, used = _split(f.at(at, whole))
     return head, block, at + used
@@ -187,12 +287,27 @@ def salvage(handle, size: int) -> Iterator[tuple]:
         start = f.at(at, 7)
         try:
             if start.startswith(MEMBER):
-                head, block, end = _member_at(f, at)
-            elif start == b"WARC/1.":
-                head, block, end = _plain_at(f, at)
-            else:
+                held = None
+                for kind, *found in _member(f, at):
+                    if gap:
+                        yield "gap", gap[0], at, gap[1], None
+                        gap = None
+                    if kind == "end":
+                        end = found[0]
+                        yield held[0], at, end, *held[3:]
+                        held = None
+                        break
+                    if held:
+                        yield held
+                    held = ("record", at, at, *found) if kind == "record" else ("gap", at, at, f"in member: {found[0]}", None)
+                at = end
+                continue
+            if start != b"WARC/1.":
                 raise Damaged("neither member nor version line")
+            head, block, end = _plain_at(f, at)
         except Damaged as e:
+            if start.startswith(MEMBER) and held:
+                yield held
             gap = gap or (at, str(e))
             at = _next_start(f, at + 1)
             continue
@@ -259,22 +374,24 @@ def write_archives(marked: DataFrame, folder: str, max_file: int = MAX_FILE) ->
         run, "path string, records long, bytes long")
 
 
-def read_archives(paths: DataFrame, files: int) -> DataFrame:
-    """Records and gaps of archives: path, kind, start, stop, reason, page_id,
-    record_type, refers_to, url, payload_bytes, payload_digest, block."""
+def read_archives(paths: DataFrame, parts: int) -> DataFrame:
+    """Records and gaps of archives, in ``parts`` partitions: path, kind, start,
+    stop, reason, page_id, record_type, refers_to, url, payload_bytes,
+    payload_digest, block, record_id, refers_to_id."""
     arrow = pa.schema([("path", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()),
                        ("reason", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()),
                        ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
-                       ("payload_digest", pa.string()), ("block", pa.binary())])
+                       ("payload_digest", pa.string()), ("block", pa.binary()), ("record_id", pa.string()),
+                       ("refers_to_id", pa.string())])
 
     def row(path, kind, start, stop, head, block):
         if kind == "gap":
-            return path, kind, start, stop, head, None, None, None, None, None, None, None
+            return path, kind, start, stop, head, *(None,) * 9
         http = block.partition(b"\r\n\r\n")[0].lower()
-        length = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.startswith(b"content-length:")), None)
-        return (path, kind, start, stop, None, page_of(head.get("warc-record-id")), head.get("warc-type"),
-                page_of(head.get("warc-refers-to")), head.get("warc-target-uri"), length,
-                head.get("warc-payload-digest", "").removeprefix("sha1:") or None, block)
+        length = next((_number(x.partition(b":")[2].strip()) for x in http.split(b"\r\n") if x.startswith(b"content-length:")), None)
+        own, other = head.get("warc-record-id"), head.get("warc-refers-to")
+        return (path, kind, start, stop, None, page_of(own), head.get("warc-type"), page_of(other), head.get("warc-target-uri"),
+                length, head.get("warc-payload-digest", "").removeprefix("sha1:") or None, block, own, other)
 
     def run(batches):
         for batch in batches:
@@ -292,8 +409,9 @@ def read_archives(paths: DataFrame, files: int) -> DataFrame:
                     yield table({f.name: c for f, c in zip(arrow, zip(*rows))}, arrow)
 
     schema = ("path string, kind string, start long, stop long, reason string, page_id long, record_type string, "
-              "refers_to long, url string, payload_bytes long, payload_digest string, block binary")
-    return paths.select("path").repartition(max(1, files), "path").mapInArrow(run, schema)
+              "refers_to long, url string, payload_bytes long, payload_digest string, block binary, record_id string, "
+              "refers_to_id string")
+    return paths.select("path").repartition(max(1, parts), "path").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0,
@@ -304,4 +422,5 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_revisit_bytes
         folder = folder.replace("file:", "", 1) if folder.startswith("file:") else folder
         folder = f"file://{folder}"
     written = materialise(write_archives(mark_revisits(pages, min_revisit_bytes, **names), folder, max_file), "warc-files")
-    return read_archives(written, written.count())
+    packed = written.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return read_archives(written, -(-packed // READ_BYTES))

@@ -36,6 +36,55 @@ def test_salvage():
     assert read(b"") == [] and read(b"abc") == [("gap", 0, 3, "neither member nor version line", None)]
 
 
+FOREIGN = (b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:6d058047-ede2-4a13-be79-90c17c631dd4>\r\n"
+           b"X-Note: a\r\n b\r\n\tc\r\nWARC-Target-URI: http://x/\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n")
+
+
+def foreign(http=b"HTTP/1.1 200 OK\r\nContent-Length: 5, 5\r\n\r\nhello"):
+    return FOREIGN % (len(http), http)
+
+
+def test_foreign_records(spark, tmp_path):
+    """Ids that are no numbers, lengths that are none, folded lines, a file of
+    one member; none stops a task."""
+    own = warc.record(7, "http://x/7", b"seven", None, False)
+    bad = FOREIGN.replace(b"Content-Length: %d", b"Content-Length: 1e3") % b"x"
+    data = {"plain": foreign() + own, "members": warc.member(foreign()) + warc.member(own), "one": warc.member(foreign() * 3 + own),
+            "bad": bad + own, "huge": FOREIGN.replace(b"%d", b"9" * 30) % b"x" + own, "lone": foreign(b"\xff\x00")}
+    for name, raw in data.items():
+        (tmp_path / name).write_bytes(raw)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in data], "path string")
+    got = {}
+    for r in warc.read_archives(paths, 2).collect():
+        got.setdefault(r.path.rpartition("/")[2], []).append(r)
+    assert [(r.page_id, r.payload_bytes, r.record_id[:9]) for r in got["plain"]] == [(None, None, "<urn:uuid"), (7, 5, "<urn:page")]
+    assert [r.record_id[:9] for r in got["members"]] == ["<urn:uuid", "<urn:page"]
+    assert [r.record_id[:9] for r in got["one"]] == ["<urn:uuid"] * 3 + ["<urn:page"]
+    assert [(r.start, r.stop) for r in got["one"]] == [(0, 0)] * 3 + [(0, len(data["one"]))]
+    for name in ("bad", "huge"):
+        assert [(r.kind, r.reason) for r in got[name]][0][0] == "gap" and got[name][-1].page_id == 7
+    assert [(r.kind, r.payload_bytes) for r in got["lone"]] == [("record", None)]
+    head, _, _ = warc._split(foreign())
+    assert head["x-note"] == "a b c"
+
+
+def test_damage_inside_a_shared_member():
+    records = [warc.record(i, "u", b"page %d" % i * 3000, None, False) for i in range(6)]
+    hurt = bytearray(records[2])
+    hurt[len(hurt) // 2] ^= 1
+    whole = warc.member(b"".join([*records[:2], bytes(hurt), *records[3:]])) + warc.member(records[0])
+    found = read(whole)
+    assert [warc.page_of(x[3]["warc-record-id"]) for x in found if x[0] == "record"] == [0, 1, 3, 4, 5, 0]
+    assert [x[3] for x in found if x[0] == "gap"] == ["in member: block digest differs"]
+    assert [x[1] for x in found] == [0, *[x[2] for x in found][:-1]] and found[-1][2] == len(whole)
+    # A stream that breaks off: what came before it stays.
+    cut = whole[:len(warc.member(b"".join(records))) // 2]
+    assert [x[0] for x in read(cut + records[5])][-2:] == ["gap", "record"]
+    junk = read(warc.member(records[0] + b"rest of it"))
+    assert [x[0] for x in junk] == ["record", "gap"] and junk[-1][2] == len(warc.member(records[0] + b"rest of it"))
+    assert [x[0] for x in read(warc.member(b"no record"))] == ["gap"]
+
+
 def test_long_url():
     """Headers of more than 64 KiB, in members and plain; the file may go on or end there."""
     urls = ["http://x/" + "é" * n for n in (5, 11_000, 200_000)]
