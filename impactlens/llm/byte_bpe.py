@@ -12,7 +12,8 @@ part of a character has that whole character's span.
 Decoding reverses the byte table. Ids decode to bytes exactly; as text, bytes
 that are no UTF-8 become U+FFFD. :func:`decode_chunks` decodes a document cut
 anywhere: a character split between two chunks appears whole with the chunk
-that completes it.
+that completes it. An id that is in no table (negative, too large, null)
+decodes to U+FFFD.
 
 Null text is the empty text (no ids). Repeated rows give repeated rows; an
 empty table gives no rows; columns other than the id and the text are ignored.
@@ -91,6 +92,7 @@ class Codec:
         self.bytes_of = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(back[c] for c in token)
+        self._table = [*self.bytes_of, "\ufffd".encode()]
 
     def _learn(self, pieces: Iterable[str]) -> None:
         new = list(pieces)
@@ -127,7 +129,14 @@ class Codec:
                 [b + e for b, (_, e) in zip(base, got.offsets)])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return self.decode_ids(np.frombuffer(ids, dtype="<u4"))
+
+    def decode_ids(self, ids: Iterable[int | None]) -> bytes:
+        n = len(self.bytes_of)
+        known = ids if isinstance(ids, np.ndarray) else [n if i is None or not 0 <= i < n else i for i in ids]
+        if isinstance(known, np.ndarray):
+            known = np.minimum(known, n).tolist()
+        return b"".join(map(self._table.__getitem__, known))
 
 
 @functools.lru_cache(maxsize=2)
@@ -139,7 +148,7 @@ def decode_chunks(chunks: Iterable[Iterable[int]], coder: Codec) -> Iterator[str
     """Text of consecutive chunks of one document's ids; see the module's text."""
     text = codecs.getincrementaldecoder("utf-8")("replace")
     for ids in chunks:
-        yield text.decode(b"".join(coder.bytes_of[i] for i in ids))
+        yield text.decode(coder.decode_ids(list(ids)))
     if rest := text.decode(b"", True):
         yield rest
 
@@ -186,7 +195,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
     arrow = pa.schema([(id_col, kind), ("decoded", pa.binary()), ("text", pa.string())])
 
     def work(coder, batch):
-        got = [coder.decode(np.array(v or [], dtype="<u4").tobytes()) for v in batch.column(1).to_pylist()]
+        got = [coder.decode_ids(v or []) for v in batch.column(1).to_pylist()]
         return {id_col: batch.column(0), "decoded": got, "text": [g.decode("utf-8", "replace") for g in got]}
 
     model = encoded.sparkSession.sparkContext.broadcast(

@@ -63,3 +63,14 @@ def test_documents(spark, sf_small, truth):
     for r in docs.collect():
         ids = truth.encode_ordinary(r.text or "")
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+
+
+def test_ids_outside_the_table(spark, coder):
+    """They decode to U+FFFD; none stops a task."""
+    n = len(coder.bytes_of)
+    assert coder.decode_ids([n, -1, None, 2**40]) == "\ufffd".encode() * 4
+    assert coder.decode(struct.pack("<2I", 2**32 - 1, n)) == "\ufffd".encode() * 2
+    assert list(B.decode_chunks([[n], iter([-5])], coder)) == ["\ufffd", "\ufffd"]
+    hello = ids_of(coder.encode(["hello"])[0])
+    df = spark.createDataFrame([(1, [*hello, 99_999_999]), (2, [-3, None]), (3, None)], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in B.decode(df).collect()} == {1: "hello\ufffd", 2: "\ufffd\ufffd", 3: ""}
