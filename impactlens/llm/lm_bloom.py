@@ -2,13 +2,25 @@
 
 Counts of words and word pairs are quantised to levels (level q holds counts
 from 2^(q-1) to 2^q - 1) and an n-gram of level q is stored as the q items
-(n-gram, 1) ... (n-gram, q) of one Bloom filter. A count is read by probing
-the items in turn until one is missing. The filter grows with the corpus: every
-item has ``BITS_PER_ITEM`` bits and no n-gram is left out. It is built in
-blocks: an n-gram's probes lie in one block, tasks fill whole blocks. Runs of
-blocks of ``RANGE_BITS`` bits at most are broadcast one by one, and a task that
-probes a chunk of text holds one of them at a time; how many there are does not
-change what is found.
+(n-gram, 1) ... (n-gram, q) of a Bloom filter. A count is read by probing the
+items in turn until one is missing. The filter grows with the corpus: it has
+``BITS_PER_ITEM`` bits for every item there can be, and no n-gram is left out.
+
+A filter of a large corpus fits no worker, so it is not sent to the text; the
+probes go to the filter, and the work grows with the text alone:
+
+1. texts become chunks: files in the shared folder with the documents' ids,
+   the chunk's distinct words (hashes) and where they stand;
+2. a chunk's distinct words and pairs, with their training counts, are dealt
+   by runs of filter blocks, packed as arrays;
+3. the task of a run adds the counts up, fills the run's blocks and probes them
+   with every n-gram it was dealt; levels go back to their chunks in order, and
+   with those of words their exact counts, which the base score needs;
+4. chunks are read with their levels, once to fit the weights, once to score.
+
+An n-gram's block is set by its hash and the number of training tokens; how
+many blocks make a run (``RUN_BLOCKS``) changes no score. A run's task gets a
+frequent n-gram once from every chunk, never once for every place.
 
 The probability of word w after word v is
 ``L * count(v w) / count(v) + (1 - L) * (count(w) + 0.1) / (N + 0.1 (V + 1))``
@@ -16,42 +28,42 @@ with dequantised counts. The weight L depends on the level of v and on how
 many of the three pairs before were known; expectation maximisation fits it
 on all training documents, each position scored without its own count.
 
-The base score needs exact counts: a dictionary of the most frequent words
-(``FREQUENT`` at most) is broadcast, all other words meet their counts in a
-join, which therefore has no hot key.
-
 Documents whose crc32(id as text) mod 10 is 0 are held out. Defined results:
 null text is empty (its end is its only token); without training documents
 counts are 0, every base probability is 1 (log 0); repeated rows count as
 often as they occur; a null id counts as the empty text for the remainder (held
 out); empty tables give no rows; columns other than the id and the text are
-ignored. No text is cut.
+ignored. No text is cut; a task holds one chunk or one run.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .byte_bpe import _id_type
 from .common import byte_sizes, materialise, slices, texts_of
 from .words import P, mix, word_hashes
 
-RANGE_BITS = 1 << 28
 BITS_PER_ITEM = 9
 PROBES = 5
 BLOCK = 1 << 19
-FREQUENT = 1 << 18
+#: Blocks that one task fills and probes at a time (64 KiB each).
+RUN_BLOCKS = 64
 CHUNK_BYTES = 8 << 20
 LEVELS = 40
 #: The end of a text; no word is empty, so its hash is free.
 END = np.uint64(0x2D06800538D394C2)
-RUN = 3
+KNOWN = 3
+#: Sets pairs apart from words of the same hash.
+PAIR = np.uint64(0x8F14C2B6A93D5E71)
 
 
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +84,32 @@ def pairs_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def level_of(counts):
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+    """0 for none, q for counts from 2^(q-1) to 2^q - 1."""
+    return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 0)
 
 
 #: The middle of each level's counts.
 COUNT_OF = np.array([0.0] + [(2.0 ** (q - 1) + 2.0 ** q - 1) / 2 for q in range(1, LEVELS + 1)])
 
 
+def blocks_for(tokens: int) -> int:
+    """Blocks for the items of so many training tokens: the levels of all words
+    sum to one item a token at most, and so do those of all pairs."""
+    return max(1, -(-2 * tokens * BITS_PER_ITEM // BLOCK))
+
+
+def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
+    """Block of each n-gram; grows with its hash."""
+    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
 class Filter:
-    """Blocks of bits in runs of ``per`` blocks, each an array or its broadcast."""
+    """A run of blocks, from block ``first`` on, as an array of bytes."""
 
-    def __init__(self, parts: list[np.ndarray | Broadcast], blocks: int, per: int):
-        self.parts, self.blocks, self.per = parts, blocks, per
+    def __init__(self, blocks: int, first: int = 0, count: int | None = None):
+        self.blocks, self.first = blocks, first
+        self.flags = np.zeros((blocks if count is None else count) * BLOCK, bool)
+        self.bits = np.zeros(0, np.uint8)
 
     @staticmethod
     def places(items: np.ndarray, level: int):
@@ -94,179 +120,254 @@ class Filter:
             yield (x & np.uint64(BLOCK - 1)).astype(np.int64)
             x = x + step
 
-    def _bits(self, part: int) -> np.ndarray:
-        found = self.parts[part]
-        if not isinstance(found, Broadcast):
-            return found
-        bits = found.value
-        if len(self.parts) > 1 and getattr(found, "_path", None):  # read again when it is next asked for
-            found.__dict__.pop("_value", None)
-        return bits
+    def _base(self, h: np.ndarray) -> np.ndarray:
+        return (block_of(h, self.blocks) - self.first) * BLOCK
 
-    def levels(self, items: np.ndarray) -> np.ndarray:
-        """Level of each n-gram: probes until an item is missing."""
-        block = ((items >> np.uint64(32)) * np.uint64(self.blocks) >> np.uint64(32)).astype(np.int64)
-        if len(self.parts) == 1:
-            return self._probe(self._bits(0), items, block * (BLOCK // 8))
-        out = np.zeros(len(items), np.int64)
-        order = np.argsort(block)
-        ends = np.searchsorted(block[order], np.arange(len(self.parts) + 1) * self.per)
-        for part in np.flatnonzero(np.diff(ends)):
-            own = order[ends[part]:ends[part + 1]]
-            out[own] = self._probe(self._bits(part), items[own], (block[own] - part * self.per) * (BLOCK // 8))
-        return out
+    def add(self, h: np.ndarray, q: np.ndarray, salt: np.uint64 = np.uint64(0)) -> None:
+        """Stores n-grams of the levels q; before :meth:`seal`."""
+        base, items = self._base(h), h ^ salt
+        for level in range(1, int(q.max(initial=0)) + 1):
+            own = np.flatnonzero(q >= level)
+            for place in self.places(items[own], level):
+                self.flags[base[own] + place] = True
+
+    def seal(self) -> Filter:
+        self.bits, self.flags = np.packbits(self.flags, bitorder="little"), np.zeros(0, bool)
+        return self
 
-    def _probe(self, bits: np.ndarray, items: np.ndarray, base: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(items), np.int64)
-        alive = np.arange(len(items))
+    def levels(self, h: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+        """Level of each n-gram: probes until an item is missing."""
+        out = np.zeros(len(h), np.int64)
+        alive, items, base = np.arange(len(h)), h ^ salt, self._base(h)
         for level in range(1, LEVELS + 1):
             for place in self.places(items, level):
-                place = place[alive] if len(alive) < len(items) else place
-                hit = (bits[base[alive] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0
-                alive = alive[hit]
-                if not len(alive):
-                    return out
-            out[alive] = level
-            if len(alive) < len(items) // 2:  # go on with the few
-                out[alive] = np.maximum(out[alive], self._rest(bits, items[alive], base[alive], level))
-                return out
-        return out
-
-    def _rest(self, bits, items, base, level):
-        out = np.full(len(items), level, np.int64)
-        alive = np.arange(len(items))
-        for q in range(level + 1, LEVELS + 1):
-            own = items[alive]
-            ok = np.ones(len(alive), bool)
-            for place in self.places(own, q):
-                ok &= (bits[base[alive] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[ok]
+                at = base + place
+                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                if not hit.all():
+                    # A probe's places follow from the items, which go on with the few.
+                    alive, items, base = alive[hit], items[hit], base[hit]
+                    break
+            else:
+                out[alive] = level
+                continue
+            ok = np.ones(len(items), bool)
+            for place in self.places(items, level):
+                at = base + place
+                ok &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            alive, items, base = alive[ok], items[ok], base[ok]
             if not len(alive):
                 break
-            out[alive] = q
+            out[alive] = level
         return out
 
 
 @dataclass
-class Model:
-    filter: Filter | None
-    tokens: int
-    vocabulary: int
-    frequent: np.ndarray  # sorted hashes
-    counts: np.ndarray
-    weights: np.ndarray | None = None  # by level of the word before, known pairs before
+class Chunk:
+    """Documents of one chunk: ids, whether held out, tokens of each; distinct
+    words in order of their hashes, and the word at every place (an end first)."""
+
+    ids: pa.Array
+    held: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs, in order, and the pair that ends at every place."""
+        return np.unique(pairs_of(self.words[self.at]), return_inverse=True)
+
+    def trained(self) -> np.ndarray:
+        """Whether each place (but the first end) belongs to a training text."""
+        return np.repeat(~self.held, self.sizes)
+
+    def save(self, sink) -> None:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in (pa.RecordBatch.from_arrays([self.ids, pa.array(self.held), pa.array(self.sizes)], names=["id", "held", "size"]),
+                      pa.RecordBatch.from_arrays([pa.array(self.words)], names=["word"]),
+                      pa.RecordBatch.from_arrays([pa.array(self.at.astype(np.uint32))], names=["at"])):
+            with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                out.write_batch(batch)
 
-    def send(self, spark: SparkSession):
-        """A function that gives the model in a task; the filter is not loaded with it."""
-        rest, probed = spark.sparkContext.broadcast(replace(self, filter=None)), self.filter
-        return lambda: replace(rest.value, filter=probed)
+    @staticmethod
+    def load(path: str) -> Chunk:
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(at) as source:
+            docs, words, places = (pa.ipc.open_stream(source).read_all().combine_chunks() for _ in range(3))
+        column = lambda t, name: t.column(name).to_numpy()
+        return Chunk(docs.column("id").combine_chunks() if isinstance(docs.column("id"), pa.ChunkedArray) else docs.column("id"),
+                     column(docs, "held"), column(docs, "size"), column(words, "word"), column(places, "at"))
 
-    @property
-    def total(self) -> float:
-        return self.tokens + 0.1 * (self.vocabulary + 1)
 
-    def parts(self, tokens: np.ndarray, sizes: np.ndarray, leave_out: bool):
-        """Per position: word and pair probability, cell of the weight table."""
-        distinct, back = np.unique(tokens, return_inverse=True)
-        levels = self.filter.levels(distinct)[back]
-        known = self.filter.levels(pairs_of(tokens))
-        less = 1.0 if leave_out else 0.0
-        count = np.maximum(COUNT_OF[levels] - less, 0)
-        seen = np.maximum(COUNT_OF[known] - less, 0)
-        word = (count[1:] + 0.1) / self.total
-        pair = np.minimum(np.where(count[:-1] > 0, seen / np.maximum(count[:-1], 1), 0.0), 1.0)
-        hit = seen > 0
-        at = np.arange(len(hit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        before = np.zeros(len(hit), np.int64)
-        for k in range(1, RUN + 1):
-            before[k:] += hit[:-k] & (at[k:] >= k)
-        return word, pair, levels[:-1] * (RUN + 1) + before, distinct, back
+def held_out(id_col: str):
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 10 == 0
 
-    def scores(self, tokens, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        word, pair, cell, distinct, back = self.parts(tokens, sizes, False)
-        share = self.weights[cell]
-        logs = np.log10(share * pair + (1 - share) * word)
-        return np.add.reduceat(logs, np.cumsum(sizes) - sizes), distinct, back
 
+def _shared(spark: SparkSession, name: str) -> str:
+    folder = scratch_path(spark, name)
+    return folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
 
-def _train_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(~held_out(id_col)).select(text_col)
 
+def write_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Writes the chunks; (chunk, path, tokens, trained): one row each. Only
+    files that successful tasks report are read."""
+    folder = _shared(docs.sparkSession, "lm-chunks")
 
-def held_out(id_col: str):
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 10 == 0
+    def run(batches):
+        task, n = TaskContext.get(), 0
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for a, b in slices(byte_sizes(batch.column(1)), CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                tokens, sizes = stream(texts_of(part.column(1)))
+                words, at = np.unique(tokens, return_inverse=True)
+                held = part.column(2).to_numpy(zero_copy_only=False)
+                name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{n:06d}.arrow"
+                with fs.open_output_stream(f"{root}/{name}") as sink:
+                    Chunk(part.column(0), held, sizes, words, at).save(sink)
+                n += 1
+                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "tokens": [int(sizes.sum())],
+                                                  "trained": [int(sizes[~held].sum())]})
+
+    rows = docs.select(id_col, text_col, held_out(id_col).alias("_held"))
+    return materialise(rows.mapInArrow(run, "path string, tokens long, trained long")
+                       .withColumn("chunk", F.monotonically_increasing_id()), "lm-list")
 
 
-def _count(rows: DataFrame, of_pairs: bool) -> DataFrame:
-    """(h, c): counts of words and ends, or of pairs, summed per chunk of text
-    before the shuffle."""
+def _deal(listed: DataFrame, blocks: int, run_blocks: int) -> DataFrame:
+    """(run, chunk, words, word_counts, pairs, pair_counts): the distinct
+    n-grams of every chunk and their training counts, by run of blocks."""
+    names = ["run", "chunk", "words", "word_counts", "pairs", "pair_counts"]
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(byte_sizes(batch.column(0)), 4 * CHUNK_BYTES):
-                tokens, _ = stream(texts_of(batch.column(0).slice(a, b - a)))
-                h, c = np.unique(pairs_of(tokens) if of_pairs else tokens[1:], return_counts=True)
-                for i in range(0, len(h), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i:i + (1 << 16)].view(np.int64)), pa.array(c[i:i + (1 << 16)])], ["h", "c"])
-
-    return rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+            for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                chunk = Chunk.load(path)
+                pairs, pair_at = chunk.pairs()
+                weight = chunk.trained().astype(float)
+                counts = [np.bincount(at, weight, n).astype(np.uint32) for at, n in ((chunk.at[1:], len(chunk.words)), (pair_at, len(pairs)))]
+                runs = [block_of(h, blocks) // run_blocks for h in (chunk.words, pairs)]
+                for r in np.union1d(runs[0], runs[1]).tolist():
+                    (a, b), (c, d) = (np.searchsorted(x, [r, r + 1]) for x in runs)
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, (
+                        [r], [key], [chunk.words[a:b].tobytes()], [counts[0][a:b].tobytes()],
+                        [pairs[c:d].tobytes()], [counts[1][c:d].tobytes()]))))
+
+    return listed.select("chunk", "path").repartition(F.col("chunk")).mapInArrow(
+        run, "run long, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def _answer(dealt: DataFrame, blocks: int, run_blocks: int) -> DataFrame:
+    """(run, chunk, fresh, word_levels, word_counts, pair_levels): what the
+    blocks say, for each row of :func:`_deal` in its order. ``fresh``, in one
+    row of a run: its number of different training words."""
+    names = ["run", "chunk", "fresh", "word_levels", "word_counts", "pair_levels"]
+
+    def whole(rows):
+        first = rows[0][0] * run_blocks
+        probed = Filter(blocks, first, min(run_blocks, blocks - first))
+        found = []
+        for k, salt in ((2, np.uint64(0)), (4, PAIR)):
+            h = np.frombuffer(b"".join(r[k] for r in rows), np.uint64)
+            c = np.frombuffer(b"".join(r[k + 1] for r in rows), np.uint32)
+            distinct, at = np.unique(h, return_inverse=True)
+            total = np.bincount(at, c, len(distinct)).astype(np.int64)
+            probed.add(distinct, level_of(total), salt)
+            found.append((distinct, at, total, salt))
+        probed.seal()
+        (word, word_at, word_total, _), (pair, pair_at, _, _) = found
+        levels = [probed.levels(h, salt).astype(np.uint8)[at] for h, at, _, salt in found]
+        counts = word_total[word_at]
+        fresh, a, b = int((word_total > 0).sum()), 0, 0
+        for r in rows:
+            n, m = len(r[2]) // 8, len(r[4]) // 8
+            yield pa.RecordBatch.from_pydict(dict(zip(names, (
+                [r[0]], [r[1]], [fresh], [levels[0][a:a + n].tobytes()], [counts[a:a + n].tobytes()], [levels[1][b:b + m].tobytes()]))))
+            fresh, a, b = 0, a + n, b + m
 
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if rows and rows[0][0] != row[0]:
+                    yield from whole(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from whole(rows)
 
-_LEVEL = "cast(floor(log2(c)) as int) + 1"
+    ordered = dealt.repartition(F.col("run")).sortWithinPartitions("run", "chunk")
+    return ordered.mapInArrow(run, "run long, chunk long, fresh long, word_levels binary, word_counts binary, pair_levels binary")
 
 
-def build_filter(items: DataFrame, bits: int = RANGE_BITS) -> Filter:
-    """The filter of (h, q), sized by its items. Whole blocks are filled in
-    tasks; the driver gets ``bits`` bits at a time."""
-    held = items.agg(F.sum("q")).first()[0] or 0
-    blocks, per = max(1, -(-held * BITS_PER_ITEM // BLOCK)), max(1, bits // BLOCK)
-    block = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(blocks), 32).cast("int")
+def _collected(answers: DataFrame) -> DataFrame:
+    """One row per chunk: the answers of all runs, one after the other."""
+    names = ["chunk", "fresh", "word_levels", "word_counts", "pair_levels"]
 
     def run(batches):
-        filled: dict[int, np.ndarray] = {}
+        held = None
         for batch in batches:
-            own, h, q = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            order = np.argsort(own, kind="stable")
-            ends = np.flatnonzero(np.diff(own[order])) + 1
-            for part in np.split(order, ends) if len(order) else []:
-                flags = filled.setdefault(int(own[part[0]]), np.zeros(BLOCK, bool))
-                for level in range(1, int(q[part].max()) + 1):
-                    for place in Filter.places(h[part[q[part] >= level]], level):
-                        flags[place] = True
-        for k, flags in filled.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
-    dealt = items.select(block.alias("block"), "h", "q").repartition("block")
-    done = materialise(dealt.mapInArrow(run, "block int, bits binary"), "lm-bits")
-    parts = []
-    for first in range(0, blocks, per):
-        part = np.zeros(min(per, blocks - first) * BLOCK // 8, np.uint8)
-        for r in done.where(F.col("block").between(first, first + per - 1)).collect():
-            at = (r.block - first) * (BLOCK // 8)
-            part[at:at + BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
-        parts.append(items.sparkSession.sparkContext.broadcast(part))
-    return Filter(parts, blocks, per)
-
-
-def _fit_weights(rows: DataFrame, model: Model) -> np.ndarray:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if held and held[0] != row[0]:
+                    yield pa.RecordBatch.from_pydict({k: [v if isinstance(v, int) else b"".join(v)] for k, v in zip(names, held)})
+                    held = None
+                held = held or [row[0], 0, [], [], []]
+                held[1] += row[1]
+                for k in (2, 3, 4):
+                    held[k].append(row[k])
+        if held:
+            yield pa.RecordBatch.from_pydict({k: [v if isinstance(v, int) else b"".join(v)] for k, v in zip(names, held)})
+
+    ordered = answers.repartition(F.col("chunk")).sortWithinPartitions("chunk", "run")
+    return ordered.select(*names).mapInArrow(run, "chunk long, fresh long, word_levels binary, word_counts binary, pair_levels binary")
+
+
+@dataclass
+class Model:
+    """What all chunks share; what the filter says comes with each chunk."""
+
+    tokens: int
+    vocabulary: int
+    weights: np.ndarray | None = None  # by level of the word before, known pairs before
+
+    @property
+    def total(self) -> float:
+        return self.tokens + 0.1 * (self.vocabulary + 1)
+
+    def parts(self, chunk: Chunk, word_levels: np.ndarray, pair_levels: np.ndarray, leave_out: bool):
+        """Per place: word and pair probability, cell of the weight table."""
+        levels, known = word_levels.astype(np.int64)[chunk.at], pair_levels.astype(np.int64)[chunk.pairs()[1]]
+        less = 1.0 if leave_out else 0.0
+        count = np.maximum(COUNT_OF[levels] - less, 0)
+        seen = np.maximum(COUNT_OF[known] - less, 0)
+        word = (count[1:] + 0.1) / self.total
+        pair = np.minimum(np.where(count[:-1] > 0, seen / np.maximum(count[:-1], 1), 0.0), 1.0)
+        hit = seen > 0
+        at = np.arange(len(hit)) - np.repeat(np.cumsum(chunk.sizes) - chunk.sizes, chunk.sizes)
+        before = np.zeros(len(hit), np.int64)
+        for k in range(1, KNOWN + 1):
+            before[k:] += hit[:-k] & (at[k:] >= k)
+        return word, pair, levels[:-1] * (KNOWN + 1) + before
+
+
+def _fit_weights(answered: DataFrame, model: Model) -> np.ndarray:
     """EM over a table of (cell, ratio of pair to word probability)."""
-    cells, ratios = (LEVELS + 1) * (RUN + 1), 64
-    sent = model.send(rows.sparkSession)
+    cells, ratios = (LEVELS + 1) * (KNOWN + 1), 64
 
     def run(batches):
-        m = sent()
         total = np.zeros(cells * ratios, np.int64)
         for batch in batches:
-            for a, b in slices(byte_sizes(batch.column(0)), CHUNK_BYTES):
-                tokens, sizes = stream(texts_of(batch.column(0).slice(a, b - a)))
-                word, pair, cell, _, _ = m.parts(tokens, sizes, True)
+            for path, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                chunk = Chunk.load(path)
+                word, pair, cell = model.parts(chunk, np.frombuffer(words, np.uint8), np.frombuffer(pairs, np.uint8), True)
                 with np.errstate(divide="ignore"):
                     ratio = np.where(pair > 0, np.clip(np.rint(2 * np.log2(pair / word)) + 20, 1, ratios - 1), 0).astype(np.int64)
-                total += np.bincount(cell * ratios + ratio, minlength=cells * ratios)
+                total += np.bincount((cell * ratios + ratio)[chunk.trained()], minlength=cells * ratios)
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
+    rows = answered.select("path", "word_levels", "pair_levels")
     got = rows.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(cells * ratios)
     for r in got:
@@ -281,71 +382,41 @@ def _fit_weights(rows: DataFrame, model: Model) -> np.ndarray:
     return weight
 
 
-def train(docs: DataFrame, bits: int = RANGE_BITS, frequent: int = FREQUENT, id_col: str = "doc_id",
-          text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the exact counts (h, c) of the training tokens that are
-    not in its dictionary. The filter is held ``bits`` bits at a time."""
-    rows = _train_rows(docs, id_col, text_col)
-    words = materialise(_count(rows, False), "lm-words")
-    tokens, vocabulary = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    tokens = tokens or 0
-    pairs = materialise(_count(rows, True), "lm-pairs")
-    level = F.expr(_LEVEL).alias("q")
-    items = words.select("h", level).unionByName(pairs.select("h", level))
-    # From the most frequent down, in bins of counts, as long as they fit.
-    bins = words.groupBy(F.floor(16 * F.log2("c")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"))
-    threshold, held = 1 << 62, 0
-    for r in sorted(bins.collect(), key=lambda r: -r["bin"]):
-        if held + r["n"] > frequent:
-            break
-        threshold, held = r["low"], held + r["n"]
-    common = words.where(F.col("c") >= threshold).toArrow()  # FREQUENT rows at most
-    h, c = common["h"].to_numpy().view(np.uint64), common["c"].to_numpy()
-    order = np.argsort(h)
-    model = Model(build_filter(items, bits), int(tokens), int(vocabulary), h[order], c[order])
-    model.weights = _fit_weights(rows, model)
-    return model, words.where(F.col("c") < threshold)
-
-
-def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def answer_chunks(docs: DataFrame, run_blocks: int = RUN_BLOCKS, id_col: str = "doc_id",
+                  text_col: str = "text") -> tuple[DataFrame, Model]:
+    """(path, word_levels, word_counts, pair_levels) of every chunk of
+    ``docs``, and the model without its weights."""
+    listed = write_chunks(docs, id_col, text_col)
+    trained = int(listed.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0])
+    blocks = blocks_for(trained)
+    answers = _answer(_deal(listed, blocks, run_blocks), blocks, run_blocks)
+    collected = materialise(_collected(answers).join(listed.select("chunk", "path"), "chunk"), "lm-answers")
+    fresh = int(collected.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0])
+    return collected, Model(trained, fresh)
+
+
+def score(docs: DataFrame, run_blocks: int = RUN_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Learns from the training documents and scores all: id, held_out,
+    n_tokens, n_known, train_tokens, base_score, score."""
     sql, kind = _id_type(docs, id_col)
-    sent = model.send(docs.sparkSession)
+    answered, model = answer_chunks(docs, run_blocks, id_col, text_col)
+    model.weights = _fit_weights(answered, model)
 
     def run(batches):
-        m = sent()
         for batch in batches:
-            for a, b in slices(byte_sizes(batch.column(1)), CHUNK_BYTES):
-                part = batch.slice(a, b - a)
-                tokens, sizes = stream(texts_of(part.column(1)))
-                scores, distinct, back = m.scores(tokens, sizes)
-                at = np.minimum(np.searchsorted(m.frequent, distinct), max(0, len(m.frequent) - 1))
-                common = m.frequent[at] == distinct if len(m.frequent) else np.zeros(len(distinct), bool)
-                count = np.where(common, m.counts[at], 0) if len(m.counts) else np.zeros(len(distinct))
-                logs = np.where(common, np.log10((count + 0.1) / m.total), 0.0)
-                starts, own = np.cumsum(sizes) - sizes, back[1:]
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                other = ~common[own]
-                key, times = np.unique(doc[other] * np.int64(len(distinct)) + own[other], return_counts=True)
-                ends = np.searchsorted(key, np.arange(len(sizes) + 1) * np.int64(len(distinct)))
-                h = distinct[key % len(distinct)].view(np.int64) if len(key) else np.zeros(0, np.int64)
+            for path, words, counts, pairs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                chunk = Chunk.load(path)
+                word, pair, cell = model.parts(chunk, np.frombuffer(words, np.uint8), np.frombuffer(pairs, np.uint8), False)
+                share = model.weights[cell]
+                logs = np.log10(share * pair + (1 - share) * word)
+                count = np.frombuffer(counts, np.int64)[chunk.at[1:]]
+                base = np.log10((count + 0.1) / model.total)
+                starts = np.cumsum(chunk.sizes) - chunk.sizes
+                n = len(chunk.sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(sizes), pa.array(np.add.reduceat(common[own].astype(np.int64), starts)),
-                     pa.array(np.add.reduceat(logs[own], starts)), pa.array(scores),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h)),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(times))],
-                    [id_col, "held_out", "n_tokens", "common", "base", "score", "h", "times"])
-
-    scored = docs.select(id_col, text_col, held_out(id_col).alias("_held")).mapInArrow(
-        run, f"`{id_col}` {sql}, held_out boolean, n_tokens long, common long, base double, score double, "
-             "h array<long>, times array<long>")
-    scored = materialise(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
-    asked = scored.select("_row", F.explode(F.arrays_zip("h", "times")).alias("x")).select("_row", "x.h", "x.times")
-    found = asked.join(rare, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = found.groupBy("_row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 0.1) / F.lit(model.total))).alias("more"))
-    joined = scored.drop("h", "times").join(sums, "_row", "left")
-    return joined.select(id_col, "held_out", "n_tokens", (F.col("common") + F.coalesce("known", F.lit(0))).alias("n_known"),
-                         F.lit(model.tokens).cast("long").alias("train_tokens"),
-                         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+                    [chunk.ids.cast(kind), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
+                     pa.array(np.full(n, model.tokens)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))],
+                    [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return answered.select("path", "word_levels", "word_counts", "pair_levels").mapInArrow(
+        run, f"`{id_col}` {sql}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
