@@ -21,8 +21,9 @@ first; what leaves a block is the links that join components. No cap limits
 buckets, partners or candidates.
 
 Defined results: null, empty and blank texts have an empty set, link with
-nothing and stay; a row with a null id has a null component and stays; rows of
-one id are one document for components, and each row is returned. Empty tables
+nothing and stay; a row with a null id has a null component and stays; each row
+is returned, with the component of its own text (rows of one id that hold
+unlike texts share the id's links; :func:`drop_copies` tells them apart). Empty tables
 give no rows. Columns other than the id and the text are ignored
 (:func:`drop_copies` returns all).
 """
@@ -33,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import in_blocks, map_groups
@@ -313,17 +314,70 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
                       (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
 
 
+def _with_digests(rows: DataFrame, width: int, text_col: str) -> DataFrame:
+    """``rows`` with the digest of each text's set as ``_digest``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    schema = StructType([*rows.schema.fields, StructField("_digest", BinaryType())])
+    names, at = to_arrow_schema(schema).names, rows.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for a, b in slices(byte_sizes(batch.column(at)), CHUNK_BYTES):
+                for items in shingle_sets(texts_of(batch.column(at).slice(a, b - a)), width):
+                    found.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _own_nodes(docs: DataFrame, unlike: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a number of its own (``_node``) for every id and set: the
+    id, but for ids in ``unlike``, whose rows hold unlike texts. Of those the
+    least digest has the id and the others come after all ids."""
+    own = docs[id_col].cast("long")
+    plain = docs.join(unlike, own == unlike["_unlike"], "left_anti").withColumn("_node", F.col(id_col).cast("long"))
+    rows = materialise(_with_digests(docs.join(unlike, own == unlike["_unlike"], "left_semi"), width, text_col), "near-unlike")
+    sets = materialise(rows.select(F.col(id_col).cast("long").alias("_id"), F.col("_digest").alias("_set")).distinct(), "near-unlike-sets")
+    first = sets.groupBy(F.col("_id").alias("_first_id")).agg(F.min("_set").alias("_first"))
+    last = docs.agg(F.max(F.col(id_col).cast("long"))).first()[0]
+    # Numbers in the order of (id, digest), whatever the partitions.
+    rest = (sets.join(first, (F.col("_id") == F.col("_first_id")) & (F.col("_set") == F.col("_first")), "left_anti")
+            .repartitionByRange("_id", "_set").sortWithinPartitions("_id", "_set")
+            .withColumn("_after", F.lit(max(last, 0) + 1) + F.monotonically_increasing_id()))
+    rest = materialise(rest, "near-unlike-nodes")
+    named = rows.join(rest, (rows[id_col].cast("long") == rest["_id"]) & (rows["_digest"] == rest["_set"]), "left")
+    return plain.unionByName(named.withColumn("_node", F.coalesce("_after", F.col(id_col).cast("long")))
+                             .select(*docs.columns, "_node"))
+
+
 def drop_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: its
-    smallest id. Of several rows with that same id one stays; all rows without
-    id stay."""
-    found = materialise(near_duplicates(docs, percent, width, id_col, text_col), "near-found")
-    gone = materialise(found.where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "near-gone")
-    own = docs[id_col].cast("long")
-    kept = docs.join(gone, own == gone["_gone"], "left_anti")
-    repeated = materialise(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(
-        F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), "near-again")
+    smallest id. Rows of one id and equal sets are one document, of which the
+    row with the smallest text (then the smallest hash of the whole row)
+    stays; rows of one id and unlike texts are documents of their own, of
+    which all but the least digest's count as after every id. All rows
+    without id stay. Ids are below 2^62."""
+    signed = materialise(signatures(docs, width, id_col, text_col).select("id", F.coalesce("digest", F.lit(b"")).alias("digest")), "near-ids")
+    repeated = materialise(signed.where("id is not null").groupBy(F.col("id").alias("_again")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1"), "near-again")
+    columns, node = docs.columns, id_col
+    unlike = materialise(repeated.where("x <> y").select(F.col("_again").alias("_unlike")), "near-unlike-ids")
+    if not unlike.isEmpty():
+        node = "_node"
+        docs = materialise(_own_nodes(docs, unlike, width, id_col, text_col), "near-nodes")
+    found = near_duplicates(docs, percent, width, node, text_col)
+    gone = materialise(found.where("not kept").select(F.col(node).alias("_gone")).distinct(), "near-gone")
+    kept = docs.join(gone, docs[node].cast("long") == gone["_gone"], "left_anti")
     if repeated.isEmpty():
-        return kept
-    again = own == repeated["_again"]
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))
+        return kept.select(*columns)
+    again = repeated.select("_again") if node == id_col else repeated.select("_again").unionByName(
+        docs.where(F.col("_node") != F.col(id_col)).select(F.col("_node").alias("_again")).distinct())
+    again = materialise(again, "near-again-nodes")
+    same = kept[node].cast("long") == again["_again"]
+    hashed = [f.name for f in docs.schema if f.name in columns and "map<" not in f.dataType.simpleString()]
+    one = Window.partitionBy(F.col(node).cast("long")).orderBy(text_col, F.xxhash64(*hashed))
+    several = kept.join(again, same, "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return kept.join(again, same, "left_anti").unionByName(several).select(*columns)

@@ -106,6 +106,35 @@ def test_odd_rows(spark):
     assert O.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_repeated_ids(spark):
+    """No unlike text goes because of its id; what stays does not depend on
+    the order or the partitions of the rows."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "plain words of another kind here")
+    near = " ".join(f"w{i}" for i in range(60))
+    cases = [
+        ([(1, a), (5, a), (5, b)], [(1, a), (5, b)]),
+        ([(1, None), (1, ""), (1, a), (2, None), (4, b), (4, b), (4, b.upper())], [(1, None), (1, a), (2, None), (4, b.upper())]),
+        ([(None, a), (None, a), (7, a), (7, c), (8, c)], [(None, a), (None, a), (7, a), (8, c)]),
+        ([(3, near + " x"), (3, a), (4, near + " y"), (4, b), (9, near + " z")], None),
+    ]
+    for rows, want in cases:
+        kept = set()
+        for k in range(2):
+            df = spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, _node string").drop("_node")
+            out = O.drop_copies(df.repartition(k + 1, "text"))
+            assert out.columns == ["doc_id", "text"]
+            kept.add(tuple(sorted(((r.doc_id, r.text) for r in out.collect()), key=str)))
+        assert len(kept) == 1
+        if want is None:  # one of the near copies, and all unlike texts
+            texts = [t for _, t in kept.pop()]
+            assert sorted(t[:3] for t in texts) == sorted(["w0 ", a[:3], b[:3]])
+        elif (7, c) in rows:
+            got = kept.pop()
+            assert set(got) <= set(rows) and len(got) == 4 and {t for _, t in got} == {a, c}
+        else:
+            assert kept.pop() == tuple(sorted(want, key=str))
+
+
 def test_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in read_table(spark, sf, "documents").collect()]
