@@ -60,6 +60,29 @@ def test_null_ids(spark):
         (0, 3, 0, True), (4, 3, 4, True), (5, 3, 4, False), (5, 3, 4, False), (6, 0, 6, True)]
 
 
+def test_planted_links(spark):
+    """With default parameters but small buckets: pairs whose cosine is just
+    above the threshold are found, none just below is linked."""
+    rng = np.random.default_rng(9)
+    rows, close = [], 0
+    for k in range(1500):
+        cosine = 0.93 + (1 if k % 3 else -1) * (0.0001 + 0.0099 * rng.random())
+        x, y = rng.normal(size=(2, 48))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        rows += [(2 * k, x.tolist(), 0), (2 * k + 1, (cosine * x + np.sqrt(1 - cosine**2) * y).tolist(), 0)]
+        close += cosine >= 0.93
+    signs, tables = E.plan(len(rows), 0.93, 0.999, 4)
+    assert signs >= 9 and tables >= 15
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(df, bucket=4).collect()}
+    want = {2 * k: (int(k % 3 > 0), 2 * k) for k in range(1500)} | {2 * k + 1: (int(k % 3 > 0), 2 * k + (k % 3 == 0)) for k in range(1500)}
+    assert close == 1000 and all(got[i][0] <= want[i][0] for i in want)
+    found = sum(got[i] == want[i] for i in want if want[i][0])
+    assert found >= 0.99 * 2 * close
+
+
 def test_recall(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in read_table(spark, "/root/testdata/sf0.001", "embeddings").collect()]
     want = brute(rows)
