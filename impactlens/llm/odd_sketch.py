@@ -333,13 +333,14 @@ def _with_digests(rows: DataFrame, width: int, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _own_nodes(docs: DataFrame, unlike: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def _own_nodes(docs: DataFrame, rows: DataFrame, unlike: DataFrame, id_col: str) -> DataFrame:
     """``docs`` with a number of its own (``_node``) for every id and set: the
-    id, but for ids in ``unlike``, whose rows hold unlike texts. Of those the
-    least digest has the id and the others come after all ids."""
+    id, but for ids in ``unlike``, whose ``rows`` (with digests) hold unlike
+    texts. Of those the least digest has the id and the others come after all
+    ids."""
     own = docs[id_col].cast("long")
     plain = docs.join(unlike, own == unlike["_unlike"], "left_anti").withColumn("_node", F.col(id_col).cast("long"))
-    rows = materialise(_with_digests(docs.join(unlike, own == unlike["_unlike"], "left_semi"), width, text_col), "near-unlike")
+    rows = rows.join(unlike, rows[id_col].cast("long") == unlike["_unlike"], "left_semi")
     sets = materialise(rows.select(F.col(id_col).cast("long").alias("_id"), F.col("_digest").alias("_set")).distinct(), "near-unlike-sets")
     first = sets.groupBy(F.col("_id").alias("_first_id")).agg(F.min("_set").alias("_first"))
     last = docs.agg(F.max(F.col(id_col).cast("long"))).first()[0]
@@ -353,6 +354,14 @@ def _own_nodes(docs: DataFrame, unlike: DataFrame, width: int, id_col: str, text
                              .select(*docs.columns, "_node"))
 
 
+def _first_rows(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Of the rows of each key the one with the smallest text, then the
+    smallest hash of the whole row."""
+    hashed = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    one = Window.partitionBy(F.col(key).cast("long")).orderBy(text_col, F.xxhash64(*hashed))
+    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+
+
 def drop_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: its
     smallest id. Rows of one id and equal sets are one document, of which the
@@ -360,24 +369,23 @@ def drop_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     stays; rows of one id and unlike texts are documents of their own, of
     which all but the least digest's count as after every id. All rows
     without id stay. Ids are below 2^62."""
-    signed = materialise(signatures(docs, width, id_col, text_col).select("id", F.coalesce("digest", F.lit(b"")).alias("digest")), "near-ids")
-    repeated = materialise(signed.where("id is not null").groupBy(F.col("id").alias("_again")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1"), "near-again")
-    columns, node = docs.columns, id_col
-    unlike = materialise(repeated.where("x <> y").select(F.col("_again").alias("_unlike")), "near-unlike-ids")
-    if not unlike.isEmpty():
-        node = "_node"
-        docs = materialise(_own_nodes(docs, unlike, width, id_col, text_col), "near-nodes")
+    again = materialise(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_again"))
+                        .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), "near-again")
+    columns, node, repeated = docs.columns, id_col, not again.isEmpty()
+    if repeated:
+        rows = materialise(_with_digests(docs.join(again, docs[id_col].cast("long") == again["_again"], "left_semi"), width, text_col), "near-repeated")
+        unlike = materialise(rows.groupBy(F.col(id_col).cast("long").alias("_unlike")).agg(
+            F.min("_digest").alias("x"), F.max("_digest").alias("y")).where("x <> y").select("_unlike"), "near-unlike-ids")
+        if not unlike.isEmpty():
+            node = "_node"
+            docs = materialise(_own_nodes(docs, rows, unlike, id_col), "near-nodes")
+            again = materialise(again.unionByName(docs.where(F.col("_node") != F.col(id_col)).select(
+                F.col("_node").alias("_again")).distinct()), "near-again-nodes")
     found = near_duplicates(docs, percent, width, node, text_col)
     gone = materialise(found.where("not kept").select(F.col(node).alias("_gone")).distinct(), "near-gone")
     kept = docs.join(gone, docs[node].cast("long") == gone["_gone"], "left_anti")
-    if repeated.isEmpty():
-        return kept.select(*columns)
-    again = repeated.select("_again") if node == id_col else repeated.select("_again").unionByName(
-        docs.where(F.col("_node") != F.col(id_col)).select(F.col("_node").alias("_again")).distinct())
-    again = materialise(again, "near-again-nodes")
+    if not repeated:
+        return kept
     same = kept[node].cast("long") == again["_again"]
-    hashed = [f.name for f in docs.schema if f.name in columns and "map<" not in f.dataType.simpleString()]
-    one = Window.partitionBy(F.col(node).cast("long")).orderBy(text_col, F.xxhash64(*hashed))
-    several = kept.join(again, same, "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    several = _first_rows(kept.join(again, same, "left_semi"), node, text_col)
     return kept.join(again, same, "left_anti").unionByName(several).select(*columns)
