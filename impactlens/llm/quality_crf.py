@@ -246,7 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, max_lines: int
                 yield table({"id": [str(key)], "y": [y], "bins": [bins[:max_lines].tobytes()],
                              "visible": [visible[:max_lines].tobytes()]}, arrow)
 
-    got = sorted(rows.mapInArrow(run, "id string, y int, bins binary, visible binary").limit(2 * max_docs).collect())
+    # More rows than max_docs only where ids repeat; which of them is not left to chance.
+    made = rows.mapInArrow(run, "id string, y int, bins binary, visible binary")
+    got = sorted(made.orderBy("id", "y", "bins", "visible").limit(2 * max_docs).collect())
     bins = np.frombuffer(b"".join(r.bins for r in got), np.uint8).reshape(-1, WIDTH)
     visible = np.frombuffer(b"".join(r.visible for r in got), np.int64)
     return train(bins, visible, np.array([len(r.visible) // 8 for r in got], dtype=np.int64), [r.y for r in got])
