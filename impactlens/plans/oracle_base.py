@@ -29,7 +29,7 @@ raw AS (
               || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') || '000' END AS ts_text,
     CASE WHEN p IN (5, 21, 29) THEN 3.0e0 WHEN p = 35 THEN 5.0e0
          ELSE 5.1e0 + ((i * 7) % 700) / 10.0e0 END AS speed_mph,
-    CASE i % 4 WHEN 0 THEN 'Harbour Rd' WHEN 1 THEN 'Main St' WHEN 2 THEN 'Oak Ave'
+    CASE i % 4 WHEN 0 THEN 'Harbour Rd' WHEN 1 THEN 'Mill Lane' WHEN 2 THEN 'Oak Ave'
          ELSE '5th Ave' END AS current_street,
     CASE WHEN p = 5 THEN 2.5e0 WHEN p IN (6, 32, 33) THEN 5.0e0
          WHEN p IN (7, 19, 25, 26, 27) THEN 4.2e0 WHEN p = 8 THEN 3.7e0 WHEN p = 9 THEN 4.0e0

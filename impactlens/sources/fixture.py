@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 # Street names cycled by event_id % 4.
-STREETS = ("Harbour Rd", "Main St", "Oak Ave", "5th Ave")
+STREETS = ("Harbour Rd", "Mill Lane", "Oak Ave", "5th Ave")
 
 
 def _case(default: str, overrides: dict) -> str:

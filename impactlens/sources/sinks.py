@@ -20,7 +20,7 @@ from __future__ import annotations
 import logging
 from typing import NamedTuple
 
-from py4j.protocol import Py4JJavaError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,22 +90,73 @@ class Archived(NamedTuple):
     cause: str | None = None
 
 
+def _is_data_error(error: Exception) -> bool:
+    """Whether the frame's own rows made a write fail (SQL states of data
+    exceptions, raised errors and user code): no other target would mend it."""
+    cause = error.java_exception if isinstance(error, Py4JJavaError) else getattr(error, "_origin", None)
+    while cause is not None:
+        try:
+            state = cause.getSqlState()
+        except Py4JError:  # an exception that has none
+            state = None
+        if state and state[:2] in ("22", "38", "39", "P0"):
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def archive_with_fallback(df: DataFrame, cfg: StorageConfig, batch_id: str | int) -> Archived:
     """Primary archive; if that write fails, unpartitioned JSON keyed by
     ``batch_id`` (a re-run of the same batch overwrites its own fallback, never
-    duplicates). Faults of the frame itself (a wrong column, an unknown save
-    mode) are raised, as no write would mend them."""
+    duplicates; :func:`restore_fallback` takes it into the archive). Faults of
+    the frame itself (a wrong column, an unknown save mode, a row that cannot
+    be computed) are raised, as no write would mend them."""
     telemetry_for_archive(df).schema  # analyses the frame
     save_mode(cfg.mode)
     try:
         return Archived(archive_telemetry(df, cfg))
     except (Py4JJavaError, PySparkException) as e:
+        if _is_data_error(e):
+            raise
         path = f"{cfg.path.rstrip('/')}/fallback/{batch_id}"
         log.warning("archive of batch %s failed, writing %s: %s", batch_id, path, e)
         df.withColumn("write_timestamp", F.current_timestamp()).write.mode("overwrite").json(path)
         return Archived(path, True, str(e))
 
 
+def restore_fallback(spark, cfg: StorageConfig, batch_id: str | int) -> str | None:
+    """Takes the fallback of a batch into the archive and removes it; ``None``
+    if there is none. The rows are written beside the archive first, complete,
+    then their files are moved in one by one, so a restore that was interrupted
+    goes on where it was when it is run again, and no row is there twice."""
+    root = cfg.path.rstrip("/")
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    held, stage = path_of(f"{root}/fallback/{batch_id}"), path_of(f"{root}/_restore-{batch_id}")
+    fs = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done, whole = path_of(stage, "_done"), path_of(stage, "_SUCCESS")
+    if fs.exists(done):  # only its last step was missing
+        fs.delete(stage, True)
+    if not fs.exists(held):
+        return None
+    if not fs.exists(whole):
+        schema = StructType([*TELEMETRY.fields, StructField("event_time", TimestampType())])
+        parts = list(cfg.partition_cols) if cfg.partitioning_enabled else []
+        _write(telemetry_for_archive(spark.read.schema(schema).json(held.toString())), stage.toString(), cfg.fmt, parts,
+               cfg.compression, "overwrite", cfg.max_records_per_file)
+    files, staged = [], fs.resolvePath(stage).toString()
+    found = fs.listFiles(stage, True)
+    while found.hasNext():
+        files.append(found.next().getPath())
+    for file in files:
+        if file.getName().startswith("part-"):
+            target = path_of(f"{root}/{file.toString()[len(staged) + 1:]}")
+            fs.mkdirs(target.getParent())
+            fs.rename(file, target)
+    fs.rename(held, done)
+    fs.delete(stage, True)
+    return cfg.path
+
+
 def archive_crash_reports(reports: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
                           compression: str | None = "snappy", partitioning_enabled: bool = True,
                           enabled: bool = True) -> str | None:

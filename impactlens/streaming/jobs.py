@@ -56,12 +56,6 @@ def windowed_driving_stats(df: DataFrame, window: str = WINDOW,
                       "message_count")
 
 
-def observed(df: DataFrame, name: str = "telemetry") -> DataFrame:
-    """Progress metrics per micro-batch without extra jobs."""
-    return df.observe(name, F.count(F.lit(1)).alias("messages"),
-                      F.count_if(F.col("is_crash")).alias("crashes"))
-
-
 @dataclass
 class FanOut:
     """A running fan-out and the folders of its outputs."""
@@ -78,17 +72,23 @@ class FanOut:
     def drain(self) -> None:
         drain(self.query)
 
-    def metrics(self) -> list[dict]:
-        """Counts of every micro-batch in order, those before a restart
-        included; the query's own progress holds the last ones only."""
+    def batch_counts(self) -> DataFrame:
+        """messages, crashes and batch_id of every micro-batch so far, those
+        before a restart included; the query's own progress holds the last
+        ones only."""
         spark = SparkSession.active()
+        schema = "messages long, crashes long, batch_id long"
         try:
-            rows = spark.read.schema("messages long, crashes long, batch_id long").parquet(self.counts)
+            return spark.read.schema(schema).parquet(self.counts)
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":  # no batch ran yet
-                return []
+                return spark.createDataFrame([], schema)
             raise
-        return [{"messages": r["messages"], "crashes": r["crashes"]} for r in rows.orderBy("batch_id").collect()]
+
+    def metrics(self, last: int = 1000) -> list[dict]:
+        """Counts of the ``last`` micro-batches, in order."""
+        rows = self.batch_counts().orderBy(F.desc("batch_id")).limit(last).collect()
+        return [{"messages": r["messages"], "crashes": r["crashes"]} for r in reversed(rows)]
 
 
 def drain(query: StreamingQuery) -> None:
@@ -149,7 +149,7 @@ def start_crash_fanout(spark: SparkSession, source: str | DataFrame, out: str, c
     helpers = ("_corrupt_record", "_type_error", "value")
     raw = _source(spark, source, checkpoint, available_now, max_files_per_trigger, max_messages_per_trigger)
     stored = [c for c in raw.columns if c not in helpers] + ["event_time"]
-    judged = observed(judge(raw, profile, thr))
+    judged = judge(raw, profile, thr)
     found = FanOut(None, f"{out}/telemetry", f"{out}/reports", f"{out}/quarantine",
                    f"{out}/counts")
 

@@ -5,6 +5,17 @@ from helpers import analysed, by_id, message
 
 from impactlens.operators.report import crash_reports
 
+# The sensors all four messages share.
+SENSORS = {
+    "gps": {"lat": 40.7128, "lon": -74.0060, "altitude": 0.0, "speed": 15.0, "bearing": 45.0,
+            "accuracy": 5.0, "satellite_count": 8, "fix_time": "2024-07-24T10:30:00Z"},
+    "gyroscope": {"x": 0.0, "y": 0.0, "z": 0.0},
+    "magnetometer": {"x": 23.0, "y": -12.0, "z": 45.0, "heading": 45.0},
+    "barometric_pressure": 1013.25,
+    "device": {"battery_level": 0.85, "signal_strength": -65, "device_orientation": "portrait",
+               "screen_on": True, "charging": False},
+}
+
 CASES = {
     1: dict(speed=35.0, ax=6.0, ay=5.5, az=1.0, g=8.2),   # high g
     2: dict(speed=2.0, ax=1.5, ay=1.2, az=1.0, g=2.1),    # sudden stop
@@ -27,7 +38,9 @@ EXPECTED = {
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    docs = [message(i, **kw) for i, kw in CASES.items()]
+    docs = [message(i, speed=kw["speed"], g=kw["g"],
+                    sensors=SENSORS | {"accelerometer": {a: kw[f"a{a}"] for a in "xyz"}})
+            for i, kw in CASES.items()]
     msg, bad = analysed(spark, docs, "message")
     assert bad.count() == 0
     batch, _ = analysed(spark, docs, "batch")

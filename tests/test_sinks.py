@@ -5,14 +5,15 @@ import os
 import pytest
 from helpers import analysed, frame, message
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from impactlens.config import POLICY_FIRST_PARTITIONS, StorageConfig
 from impactlens.operators.report import crash_reports
-from impactlens.schema import CRASH_REPORT
+from impactlens.schema import CRASH_REPORT, TELEMETRY
 from impactlens.sources.ingest import parse_telemetry, prepare
-from impactlens.sources.sinks import (accident_alerts, archive_crash_reports,
+from impactlens.sources.sinks import (accident_alerts, append_alerts, archive_crash_reports,
                                       archive_telemetry, archive_with_fallback,
-                                      publish_crash_reports, read_archive, save_mode)
+                                      publish_crash_reports, read_archive, restore_fallback, save_mode)
 
 
 def _good(spark, docs):
@@ -66,6 +67,58 @@ def test_fallback(spark, tmp_path, caplog):
         archive_with_fallback(good, StorageConfig(path=base, mode="sometimes"), batch_id=9)
 
 
+def test_formats_that_are_not_there(spark, tmp_path):
+    """``delta`` is a data source of its own: without it the write fails, which
+    says so, and the fallback takes the batch."""
+    good = _good(spark, [message(1), message(2)])
+    cfg = StorageConfig(path=str(tmp_path / "d"), fmt="delta")
+    with pytest.raises(Exception, match="delta"):
+        archive_telemetry(good, cfg)
+    got = archive_with_fallback(good, cfg, batch_id="b")
+    assert got.fallback and "delta" in got.cause and spark.read.json(got.path).count() == 2
+
+
+def test_rows_that_cannot_be_computed_are_raised(spark, tmp_path):
+    good = _good(spark, [message(1), message(2)])
+    broken = good.withColumn("g_force", F.when(F.col("message_id") == 2, F.raise_error(F.lit("bad row"))).otherwise(F.col("g_force")))
+    with pytest.raises(Exception, match="bad row"):
+        archive_with_fallback(broken, StorageConfig(path=str(tmp_path / "x")), batch_id=1)
+    assert not os.path.exists(tmp_path / "x" / "fallback")
+
+
+@pytest.mark.parametrize("interrupted", [False, True])
+def test_restore_fallback(spark, tmp_path, monkeypatch, interrupted):
+    """A batch in the fallback joins the archive, once, also if the first
+    attempt stopped between its files."""
+    good = _good(spark, [message(i, timestamp=f"2024-07-2{i}T10:30:00Z") for i in range(1, 5)])
+    base = str(tmp_path / "a")
+    cfg = StorageConfig(path=base, partition_cols=("date",))
+    archive_telemetry(good.filter("message_id = 1"), cfg)
+    taken = StorageConfig(path=base, mode="error", partition_cols=("date",))
+    assert archive_with_fallback(good.filter("message_id > 1"), taken, batch_id=7).fallback
+    if interrupted:  # one file moved in, then the end
+        schema = StructType([*TELEMETRY.fields, StructField("event_time", TimestampType())])
+        held = spark.read.schema(schema).json(f"{base}/fallback/7")
+        archive_telemetry(held, StorageConfig(path=f"{base}/_restore-7", partition_cols=("date",)))
+        day = "date=2024-07-22"
+        os.makedirs(f"{base}/{day}", exist_ok=True)
+        for f in os.listdir(f"{base}/_restore-7/{day}"):
+            os.rename(f"{base}/_restore-7/{day}/{f}", f"{base}/{day}/{f}")
+    assert restore_fallback(spark, cfg, 7) == base and restore_fallback(spark, cfg, 7) is None
+    back = read_archive(spark, base, ("date",))
+    assert sorted((r.message_id, r.date) for r in back.collect()) == [(i, f"2024-07-2{i}") for i in range(1, 5)]
+    assert not [f for f in os.listdir(base) if f.startswith("_restore")]
+
+
+def test_append_alerts(spark, tmp_path):
+    good = _good(spark, [message(1, g=4.5), message(2, g=9.0), message(3)])
+    path = str(tmp_path / "alerts")
+    for _ in range(2):
+        append_alerts(accident_alerts(good), path)
+    rows = spark.read.parquet(path).collect()
+    assert sorted(r.message_id for r in rows) == [1, 1, 2, 2] and {r.alert_type for r in rows} == {"potential_accident"}
+
+
 def test_reports_partitions_and_published_json(spark, tmp_path):
     df, _ = analysed(spark, [message(1, g=9.0), message(2, g=5.0, speed=30.0)])
     reports, _ = crash_reports(df, "message")
