@@ -58,6 +58,9 @@ BLOCK = 1 << 19
 #: Blocks that one task fills and probes at a time (64 KiB each).
 RUN_BLOCKS = 64
 CHUNK_BYTES = 8 << 20
+#: Chunks and runs of one task. Their tables are small beside their work, so
+#: the number of tasks is said, not left to the size of the tables.
+TASK_CHUNKS, TASK_RUNS = 8, 2
 LEVELS = 40
 #: The end of a text; no word is empty, so its hash is free.
 END = np.uint64(0x2D06800538D394C2)
@@ -234,7 +237,7 @@ def write_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        .withColumn("chunk", F.monotonically_increasing_id()), "lm-list")
 
 
-def _deal(listed: DataFrame, blocks: int, run_blocks: int) -> DataFrame:
+def _deal(listed: DataFrame, blocks: int, run_blocks: int, tasks: int = 1) -> DataFrame:
     """(run, chunk, words, word_counts, pairs, pair_counts): the distinct
     n-grams of every chunk and their training counts, by run of blocks."""
     names = ["run", "chunk", "words", "word_counts", "pairs", "pair_counts"]
@@ -253,7 +256,7 @@ def _deal(listed: DataFrame, blocks: int, run_blocks: int) -> DataFrame:
                         [r], [key], [chunk.words[a:b].tobytes()], [counts[0][a:b].tobytes()],
                         [pairs[c:d].tobytes()], [counts[1][c:d].tobytes()]))))
 
-    return listed.select("chunk", "path").repartition(F.col("chunk")).mapInArrow(
+    return listed.select("chunk", "path").repartition(tasks, "chunk").mapInArrow(
         run, "run long, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
 
 
@@ -296,11 +299,12 @@ def _answer(dealt: DataFrame, blocks: int, run_blocks: int) -> DataFrame:
         if rows:
             yield from whole(rows)
 
-    ordered = dealt.repartition(F.col("run")).sortWithinPartitions("run", "chunk")
+    runs = -(-blocks // run_blocks)
+    ordered = dealt.repartition(-(-runs // TASK_RUNS), "run").sortWithinPartitions("run", "chunk")
     return ordered.mapInArrow(run, "run long, chunk long, fresh long, word_levels binary, word_counts binary, pair_levels binary")
 
 
-def _collected(answers: DataFrame) -> DataFrame:
+def _collected(answers: DataFrame, tasks: int) -> DataFrame:
     """One row per chunk: the answers of all runs, one after the other."""
     names = ["chunk", "fresh", "word_levels", "word_counts", "pair_levels"]
 
@@ -318,7 +322,7 @@ def _collected(answers: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pydict({k: [v if isinstance(v, int) else b"".join(v)] for k, v in zip(names, held)})
 
-    ordered = answers.repartition(F.col("chunk")).sortWithinPartitions("chunk", "run")
+    ordered = answers.repartition(tasks, "chunk").sortWithinPartitions("chunk", "run")
     return ordered.select(*names).mapInArrow(run, "chunk long, fresh long, word_levels binary, word_counts binary, pair_levels binary")
 
 
@@ -387,10 +391,10 @@ def answer_chunks(docs: DataFrame, run_blocks: int = RUN_BLOCKS, id_col: str = "
     """(path, word_levels, word_counts, pair_levels) of every chunk of
     ``docs``, and the model without its weights."""
     listed = write_chunks(docs, id_col, text_col)
-    trained = int(listed.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0])
-    blocks = blocks_for(trained)
-    answers = _answer(_deal(listed, blocks, run_blocks), blocks, run_blocks)
-    collected = materialise(_collected(answers).join(listed.select("chunk", "path"), "chunk"), "lm-answers")
+    trained, chunks = map(int, listed.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count(F.lit(1))).first())
+    blocks, tasks = blocks_for(trained), max(1, -(-chunks // TASK_CHUNKS))
+    answers = _answer(_deal(listed, blocks, run_blocks, tasks), blocks, run_blocks)
+    collected = materialise(_collected(answers, tasks).join(listed.select("chunk", "path"), "chunk"), "lm-answers")
     fresh = int(collected.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0])
     return collected, Model(trained, fresh)
 
