@@ -300,7 +300,9 @@ def _answer(dealt: DataFrame, blocks: int, run_blocks: int) -> DataFrame:
             yield from whole(rows)
 
     runs = -(-blocks // run_blocks)
-    ordered = dealt.repartition(-(-runs // TASK_RUNS), "run").sortWithinPartitions("run", "chunk")
+    # Neighbouring runs go to a task by number: a hash would pile some up.
+    task = F.floor(F.col("run") / F.lit(TASK_RUNS)).cast("int")
+    ordered = dealt.repartitionById(-(-runs // TASK_RUNS), task).sortWithinPartitions("run", "chunk")
     return ordered.mapInArrow(run, "run long, chunk long, fresh long, word_levels binary, word_counts binary, pair_levels binary")
 
 
