@@ -15,8 +15,9 @@ patterns. Texts and ids are never shuffled: each piece's checksum is taken
 where it is tokenised (``with_ids`` carries the ids along for
 :func:`sequences`).
 
-White space separates words in the vocabulary's own rules, so words are
-encoded one by one and remembered (a bounded number per worker).
+White space separates words in the vocabulary's own rules, so the distinct words
+of some texts are encoded one by one and remembered (a bounded number per
+worker); their ids then go to all places of the words at once.
 
 Defined results: null text is empty: one piece, the end id; a null doc_id is
 carried like any other; repeated rows are packed as often as they occur; an
@@ -37,6 +38,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,16 +51,16 @@ CHUNK_BYTES = 2 << 20
 _RANK_BITS = 48
 
 
-#: A run of symbols after a letter: the vocabulary's rules end a token there.
-_SYMBOLS = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]+")
+#: A symbol after a letter: the vocabulary's rules end a token before it.
+_SYMBOL = re.compile(rb"[!-/:-@\[-`{-~](?<=[a-z].)")
 
 
-def _words(text: str) -> list[bytes]:
-    """Parts of a text that are encoded independently. The vocabulary folds
-    case and never joins letters and symbols, so both are done here once, where
-    no special token (``<|...``) can be in the way."""
+def _spaced(text: str) -> bytes:
+    """A text whose words, between white space, are encoded independently. The
+    vocabulary folds case and never joins letters and symbols, so both are done
+    here once, where no special token (``<|...``) can be in the way."""
     raw = text.encode("utf-8", "replace")
-    return raw.split() if b"<|" in raw else _SYMBOLS.sub(rb" \g<0>", raw.lower()).split()
+    return raw if b"<|" in raw else _SYMBOL.sub(rb" \g<0>", raw.lower())
 
 
 class WordCoder:
@@ -85,14 +87,20 @@ class WordCoder:
                 last = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_words(t) for t in texts]
-        new = set().union(*split).difference(self.known)
+        split = pc.ascii_split_whitespace(pa.array(map(_spaced, texts), pa.string()))
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.binary()).to_pylist()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
-            new = set().union(*split)
-        self._learn(list(new))
-        of = self.known.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+            new = words
+        self._learn([w for w in new if w])
+        # Each word's ids once, then in all its places: the taken values lie one after another.
+        ids = pa.array([self.known[w] if w else b"" for w in words], pa.large_binary()).take(found.indices)
+        _, ends, raw = ids.buffers()
+        bounds = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(raw or b"")
+        return [bytes(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
 @functools.lru_cache(maxsize=2)

@@ -27,6 +27,22 @@ def test_word_by_word(texts):
     assert got == [ids(t) for t in texts]
 
 
+def test_repeated_words_are_looked_up_once():
+    """The work for a word in Python grows with the distinct words of a chunk."""
+    looked = []
+
+    class Known(dict):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    own = K.WordCoder(PATH)
+    own.known = Known()
+    texts = ["of the end, " * 500, "", " \t\n", "the\u00a0end of<|x|>" * 3]
+    assert [[*np.frombuffer(r, "<u4").tolist(), 1] for r in own.encode(texts)] == [ids(t) for t in texts]
+    assert own.encode([""]) == [b""] and len(looked) < 20
+
+
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 60), max_size=12))
 def test_plan(histogram):
     plan = K.shortest_pack_first(histogram, 50)
