@@ -1,5 +1,6 @@
 """Archives, fallback, report partitions, published JSON and alerts."""
 
+import glob
 import os
 
 import pytest
@@ -32,6 +33,20 @@ def test_default_layout_keeps_string_partitions(spark, tmp_path):
     assert "processed_timestamp" in back.columns
 
 
+def test_one_task_makes_all_folders_of_a_policy(spark, tmp_path):
+    days = [message(10 * p + d, policy_id=f"P{p}", timestamp=f"2024-07-{d:02d}T10:00:00Z") for p in range(6) for d in range(1, 10)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        path = archive_telemetry(_good(spark, days), StorageConfig(path=str(tmp_path / "t"), partition_cols=POLICY_FIRST_PARTITIONS))
+    finally:
+        spark.conf.set(coalesce, held)
+    for p in range(6):
+        files = glob.glob(f"{path}/policy_id=P{p}/year=2024/month=07/date=*/part-*.parquet")
+        assert len(files) == 9 and len({os.path.basename(f).split("-")[1] for f in files}) == 1
+
+
 def test_formats(spark, tmp_path):
     good = _good(spark, [message(1)])
     csv = str(tmp_path / "csv")
