@@ -1,5 +1,6 @@
 """Streams admitted by messages: limits, spans, restarts, the running trigger."""
 
+import datetime as dt
 import json
 import os
 import time
@@ -7,6 +8,7 @@ import time
 import pytest
 from helpers import message
 
+from impactlens.plans import catalog
 from impactlens.sources import messages as M
 from impactlens.streaming import jobs
 
@@ -131,3 +133,57 @@ def test_running_trigger(spark, tmp_path):
     # Triggers lie on whole intervals.
     assert len(starts) == 3 and (seconds[2] - seconds[1]) % 60 >= 2 and all(s % 2 == 0 for s in seconds[1:])
     assert len(spark.read.text(out).collect()) == 3
+
+
+def test_shares_make_the_batches_of_one_stream(spark, tmp_path, monkeypatch):
+    """Shares cut within files, at their ends and past empty ones; what comes or
+    grows later is admitted by one of them."""
+    monkeypatch.setattr(M, "SNAPSHOT", 2)
+    folder = str(tmp_path / "in")
+    for name, n in {"a": 11, "b": 0, "c": 5, "d": 8, "e": 9}.items():
+        _land(folder, name, [f"{name} {i}" for i in range(n)] + ([""] if name != "e" else []))
+
+    def batches(name, share, most=4):
+        got = []
+        while True:  # a restart before every batch
+            found = M.Admissions(folder, str(tmp_path / name), share.begin, share.stop)
+            n = found.admit(most)
+            if n == found.planned:
+                return got
+            got.append(_read(found, n, folder))
+            found.take(n)
+            found.done(n)
+
+    whole = batches("whole", M.Share())
+    assert [len(b) for b in whole] == [4] * 8 + [1]
+    for most, least, firsts in ((3, 1, [0, 3, 6]), (9, 1, list(range(9))), (9, 2, [0, 2, 4, 6, 8]), (1, 1, [0])):
+        cut = M.shares(spark, folder, most, least, 4)
+        assert [s.first for s in cut] == firsts and sum(s.batches for s in cut) == 9
+        own = [batches(f"{most}-{least}-{s.first}", s) for s in cut]
+        assert [len(b) for b in own] == [s.batches for s in cut] and sum(own, []) == whole
+    cut = M.shares(spark, folder, 3, 1, 4)
+    _land(folder, "aa", ["late"])
+    with open(os.path.join(folder, "d"), "a") as f:
+        f.write("grown\n")
+    more = [batches(f"3-1-{s.first}", s) for s in cut]
+    assert sorted(sum(sum(more, []), [])) == ["grown", "late"]
+    os.makedirs(tmp_path / "empty")
+    assert M.shares(spark, str(tmp_path / "empty"), 3) == [M.Share()]
+
+
+def test_admission_by_streams_side_by_side(spark, tmp_path, monkeypatch):
+    """A hundred messages a micro-batch, numbered as by one stream, while the
+    shares of the folder run at once."""
+    start = dt.datetime(2024, 1, 3)
+    spark.createDataFrame([(i * 3, start + dt.timedelta(seconds=i), i % 9) for i in range(1350)], "event_id long, ts timestamp, user_id long") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    drained, running = catalog.drain, []
+
+    def drain(*queries):
+        running.extend(q.isActive for q in queries)
+        drained(*queries)
+
+    monkeypatch.setattr(catalog, "drain", drain)
+    rows = sorted(catalog.QUERIES["stream_admission"](spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in rows] == [(k, n, n, 300 * k, 3 * (100 * k + n - 1)) for k, n in [*((k, 100) for k in range(13)), (13, 50)]]
+    assert len(running) == 4 and all(running)
