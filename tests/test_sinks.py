@@ -11,6 +11,7 @@ from pyspark.sql.types import StructField, StructType, TimestampType
 from impactlens.config import POLICY_FIRST_PARTITIONS, StorageConfig
 from impactlens.operators.report import crash_reports
 from impactlens.schema import CRASH_REPORT, TELEMETRY
+from impactlens.sources import sinks
 from impactlens.sources.ingest import parse_telemetry, prepare
 from impactlens.sources.sinks import (accident_alerts, append_alerts, archive_crash_reports,
                                       archive_telemetry, archive_with_fallback,
@@ -47,6 +48,26 @@ def test_one_task_makes_all_folders_of_a_policy(spark, tmp_path):
         assert len(files) == 9 and len({os.path.basename(f).split("-")[1] for f in files}) == 1
 
 
+def test_small_files_of_policies_are_shared_out(spark, tmp_path, monkeypatch):
+    """However few bytes: several tasks make the folders, and a task reads many
+    of their files, but no more than it may."""
+    days = [message(10 * p + d, policy_id=f"P{p}", timestamp=f"2024-07-{d:02d}T10:00:00Z") for p in range(6) for d in range(1, 10)]
+    merging = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    path = archive_telemetry(_good(spark, days), StorageConfig(path=str(tmp_path / "t"), partition_cols=POLICY_FIRST_PARTITIONS))
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == merging == "true"
+    files = glob.glob(f"{path}/policy_id=*/year=2024/month=07/date=*/part-*.parquet")
+    assert len(files) == 54 and len({os.path.basename(f).split("-")[1] for f in files}) > 1
+    back = read_archive(spark, path, POLICY_FIRST_PARTITIONS)
+    assert back.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(sinks, "FILES_PER_TASK", 20)
+    assert read_archive(spark, path, POLICY_FIRST_PARTITIONS).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(sinks, "BYTES_PER_TASK", 1)
+    most = read_archive(spark, path, POLICY_FIRST_PARTITIONS)
+    assert most.rdd.getNumPartitions() > 3
+    for rows in (back, most):
+        assert sorted(r.message_id for r in rows.collect()) == [10 * p + d for p in range(6) for d in range(1, 10)]
+
+
 def test_formats(spark, tmp_path):
     good = _good(spark, [message(1)])
     csv = str(tmp_path / "csv")
