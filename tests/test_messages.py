@@ -8,6 +8,7 @@ import time
 import pytest
 from helpers import message
 
+from impactlens import session
 from impactlens.plans import catalog
 from impactlens.sources import messages as M
 from impactlens.streaming import jobs
@@ -187,3 +188,29 @@ def test_admission_by_streams_side_by_side(spark, tmp_path, monkeypatch):
     rows = sorted(catalog.QUERIES["stream_admission"](spark, str(tmp_path)).collect())
     assert [tuple(r) for r in rows] == [(k, n, n, 300 * k, 3 * (100 * k + n - 1)) for k, n in [*((k, 100) for k in range(13)), (13, 50)]]
     assert len(running) == 4 and all(running)
+
+
+def test_admission_keeps_light_checkpoints(spark, tmp_path, monkeypatch):
+    """A thousand small batches start no process for every file of a local
+    checkpoint; a class that was chosen stays."""
+    start = dt.datetime(2024, 1, 3)
+    spark.createDataFrame([(i, start + dt.timedelta(seconds=i), i % 9) for i in range(250)], "event_id long, ts timestamp, user_id long") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    key, drained, seen = "spark.sql.streaming.checkpointFileManagerClass", catalog.drain, []
+
+    def drain(*queries):
+        seen.append(spark.conf.get(key, None))
+        drained(*queries)
+
+    monkeypatch.setattr(catalog, "drain", drain)
+    rows = sorted(catalog.QUERIES["stream_admission"](spark, str(tmp_path)).collect())
+    assert [tuple(r)[:2] for r in rows] == [(0, 100), (1, 100), (2, 50)]
+    assert seen[0].endswith(".FileSystemBasedCheckpointFileManager") and spark.conf.get(key, None) is None
+    chosen = seen[0].replace("FileSystemBased", "FileContextBased")
+    spark.conf.set(key, chosen)
+    try:
+        with session.light_checkpoints(spark, str(tmp_path)):
+            assert spark.conf.get(key) == chosen
+        assert spark.conf.get(key) == chosen
+    finally:
+        spark.conf.unset(key)
